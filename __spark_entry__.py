@@ -333,4 +333,189 @@ SELECT sample_id, image_date, strftime(image_date, '%Y-%m-%d') AS image_date_tex
     s["unit_map"] = f"""WITH {PARAMS}
 SELECT sample_id, parameter, CASE parameter WHEN 'Clorofila a' THEN 'μg/L' WHEN 'Turbidez' THEN 'NTU'
        WHEN 'Transparência da Água' THEN 'm' WHEN 'Sólidos Dissolvidos Totais' THEN 'mg/L' END AS unit FROM params"""
+    _oracle_batch2(s)
     return s
+
+
+SCENE_SAMPLES = """ss AS (
+  SELECT o_orderkey AS sample_id, CAST(o_orderdate AS DATE) AS sample_date,
+         -52e0 + CAST(o_custkey % 40 AS DOUBLE) * 5e-2 AS longitude,
+         -19e0 + CAST(o_custkey % 30 AS DOUBLE) * 5e-2 AS latitude FROM orders)"""
+SCENES = """sc AS (
+  SELECT o_orderkey AS scene_id,
+         (-52e0 + CAST(o_orderkey % 40 AS DOUBLE) * 5e-2) - 12e-2 AS min_lon,
+         (-19e0 + CAST(o_orderkey % 30 AS DOUBLE) * 5e-2) - 12e-2 AS min_lat,
+         (-52e0 + CAST(o_orderkey % 40 AS DOUBLE) * 5e-2) + 12e-2 AS max_lon,
+         (-19e0 + CAST(o_orderkey % 30 AS DOUBLE) * 5e-2) + 12e-2 AS max_lat,
+         o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS acquired_at,
+         o_totalprice % 100 AS cloud_pct FROM orders)"""
+BEST = SCENE_SAMPLES + ",\n" + SCENES + """,
+cand AS (SELECT ss.sample_id, sc.scene_id, sc.cloud_pct, sc.acquired_at, sc.min_lon, sc.min_lat,
+                abs(epoch(sc.acquired_at) - epoch(CAST(ss.sample_date AS TIMESTAMP))) AS dt
+         FROM ss JOIN sc ON ss.longitude BETWEEN sc.min_lon AND sc.max_lon
+                        AND ss.latitude BETWEEN sc.min_lat AND sc.max_lat
+                        AND sc.acquired_at >= CAST(ss.sample_date - 30 AS TIMESTAMP)
+                        AND sc.acquired_at < CAST(ss.sample_date + 30 AS TIMESTAMP)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY cloud_pct, dt, scene_id) AS rn FROM cand),
+best AS (SELECT ss.*, rk.scene_id, rk.cloud_pct, rk.acquired_at, rk.min_lon AS scene_min_lon,
+                rk.min_lat AS scene_min_lat, CAST(rk.acquired_at AS DATE) AS image_date
+         FROM ss LEFT JOIN rk ON ss.sample_id = rk.sample_id AND rk.rn = 1)"""
+
+SCENE_PIXELS = """spix AS (
+  SELECT l_orderkey AS scene_id, CAST(l_linenumber % 2 AS BIGINT) AS px,
+         CAST(floor(l_linenumber / 2) % 2 AS BIGINT) AS py,
+         300e0 + sum(l_quantity) * 20 AS B2, 250e0 + sum(round(l_extendedprice)) % 900 AS B3,
+         200e0 + sum(round(l_discount * 100)) * 30 AS B4, 150e0 + sum(round(l_tax * 100)) * 25 AS B5,
+         CAST(100e0 + count(*) * 400 AS DOUBLE) AS B8, 80e0 + max(l_quantity) * 12 AS B11
+  FROM lineitem GROUP BY ALL)"""
+
+BAND_NAMES = ["B2", "B3", "B4", "B5", "B8", "B11"]
+OK_RULE = ("coalesce(B2 IS NOT NULL AND B3 IS NOT NULL AND B4 IS NOT NULL AND B5 IS NOT NULL AND B8 IS NOT NULL "
+           "AND B11 IS NOT NULL AND (B5 + B4) <> 0 AND (B8 + B4) <> 0 AND (B3 + B11) <> 0 AND B2 <> 0 "
+           "AND B3 <> 0 AND B4 <> 0, false)")
+
+
+def _enrichment_sql() -> str:
+    idx = {"NDCI": "(B5 - B4) / (B5 + B4)", "NDVI": "(B8 - B4) / (B8 + B4)",
+           "FAI": f"B8 - (B4 + (B11 - B4) * {FAI_K})", "MNDWI": "(B3 - B11) / (B3 + B11)",
+           "B3_B2_ratio": "B3 / B2", "B4_B3_ratio": "B4 / B3", "B5_B4_ratio": "B5 / B4"}
+    cols = [f"round(CASE WHEN ok THEN {b} END, 6) AS {b}" for b in BAND_NAMES]
+    cols += [f"round(CASE WHEN ok THEN {e} END, 6) AS {n}" for n, e in idx.items()]
+    return f"""WITH {BEST}, {SCENE_PIXELS},
+kp AS (SELECT best.*, CAST(floor((longitude - scene_min_lon) / 12e-2) AS BIGINT) AS px,
+              CAST(floor((latitude - scene_min_lat) / 12e-2) AS BIGINT) AS py FROM best),
+j AS (SELECT kp.*, spix.B2, spix.B3, spix.B4, spix.B5, spix.B8, spix.B11
+      FROM kp LEFT JOIN spix ON kp.scene_id = spix.scene_id AND kp.px = spix.px AND kp.py = spix.py),
+o AS (SELECT *, {OK_RULE} AS ok FROM j),
+e AS (SELECT sample_id, sample_date, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude,
+             {", ".join(cols)},
+             CASE WHEN ok THEN image_date END AS Image_Date,
+             round(CASE WHEN ok THEN cloud_pct END, 6) AS Cloud_Percentage FROM o)
+SELECT *, CAST(month(Image_Date) AS INTEGER) AS Month,
+       CAST(floor((month(Image_Date) % 12 + 3) / 3) AS INTEGER) AS Season FROM e"""
+
+
+def _prep(prefix: str, target: str, thr: int = 10) -> str:
+    """Preprocessing chain for one target: cloud filter, NULL target, IQR
+    keep, exact 80/20 md5 split (features are complete after the cloud
+    filter, so median imputation changes nothing)."""
+    return f"""{prefix}0 AS (SELECT * FROM train WHERE Cloud_Percentage <= {thr} AND {target} IS NOT NULL),
+{prefix}f AS ({_iqr(prefix + '0', target)}),
+{prefix}1 AS (SELECT {prefix}0.*, {target} AS label FROM {prefix}0, {prefix}f
+              WHERE {target} BETWEEN {prefix}f.lo AND {prefix}f.hi),
+{prefix}2 AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(sample_id AS VARCHAR) || '|42'), sample_id)
+                        <= ceil(0.2 * count(*) OVER ()) AS is_test FROM {prefix}1)"""
+
+
+RAW_TURB = "(B4 - B3) / NULLIF(B4 + B3, 0)"
+RAW_CHL = "(1e0 / NULLIF(B3, 0) - 1e0 / NULLIF(B4, 0)) * B8"
+
+
+def _oracle_batch2(s: dict) -> None:
+    # -- sources / sinks
+    s["csv_round_trip"] = f"WITH {SAMPLES} SELECT {SAMPLE_COLS} FROM samples"
+    s["latest_snapshot"] = """WITH m AS (SELECT user_id, max(ts) AS mt FROM events GROUP BY user_id)
+SELECT e.event_id, e.user_id, e.ts, e.event_type, round(e.value, 6) AS value
+FROM events e JOIN m ON e.user_id = m.user_id AND e.ts = m.mt"""
+    s["resume_anti"] = ("SELECT doc_id, lang, n_chars FROM documents d "
+                        "WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+    # -- joins
+    s["lookup_left"] = ("SELECT doc_id, lang, source, n_chars, quality, toxic "
+                        "FROM documents LEFT JOIN labels USING (doc_id)")
+    s["override_upsert"] = """WITH st AS (SELECT s_name AS point, -18e0 - s_acctbal / 10000e0 AS latitude,
+                   -51e0 - CAST(s_nationkey AS DOUBLE) / 100e0 AS longitude FROM supplier),
+fx AS (SELECT s_name AS point, -18.5e0 + CAST(s_suppkey AS DOUBLE) / 1000e0 AS latitude,
+              -51.5e0 + CAST(s_suppkey AS DOUBLE) / 1000e0 AS longitude FROM supplier WHERE s_suppkey % 3 = 0)
+SELECT st.point, round(coalesce(fx.latitude, st.latitude), 6) AS latitude,
+       round(coalesce(fx.longitude, st.longitude), 6) AS longitude FROM st LEFT JOIN fx USING (point)"""
+    s["harmonise_union"] = """
+SELECT 'cemig_turbidity' AS source, 'C' || CAST(c_custkey AS VARCHAR) AS point, CAST(NULL AS DATE) AS "date",
+       round(CAST(c_nationkey AS DOUBLE), 6) AS latitude, round(CAST(-c_nationkey AS DOUBLE), 6) AS longitude,
+       round(c_acctbal, 6) AS turbidity, CAST(NULL AS DOUBLE) AS chlorophyll FROM customer
+UNION ALL SELECT 'cemig_both', 'S' || CAST(s_suppkey AS VARCHAR), NULL, NULL, NULL,
+       round(CAST(s_nationkey AS DOUBLE), 6), round(s_acctbal, 6) FROM supplier
+UNION ALL SELECT 'codevasf', 'R' || CAST(p_partkey AS VARCHAR), NULL, -18.2e0, -45.1e0, NULL,
+       round(p_retailprice, 6) FROM part
+UNION ALL SELECT 'guaicuy', 'O' || CAST(o_orderkey AS VARCHAR), CAST(o_orderdate AS DATE), NULL, NULL,
+       round(o_totalprice / 1000e0, 6), NULL FROM orders"""
+    # -- scenes
+    s["best_scene"] = (f"WITH {BEST} SELECT sample_id, scene_id, round(cloud_pct, 6) AS cloud_pct, image_date "
+                       "FROM best")
+    s["coverage"] = (f"WITH {BEST} SELECT count(*) AS total, count(scene_id) AS with_image, "
+                     "round(CAST(count(scene_id) AS DOUBLE) * 100e0 / count(*), 6) AS pct_with_image FROM best")
+    s["cell_contains"] = (f"WITH {SCENE_SAMPLES}, {SCENES} SELECT ss.sample_id, count(*) AS n_scenes FROM ss JOIN sc "
+                          "ON ss.longitude BETWEEN sc.min_lon AND sc.max_lon "
+                          "AND ss.latitude BETWEEN sc.min_lat AND sc.max_lat GROUP BY ss.sample_id")
+    s["pixel_sample"] = """WITH pts AS (SELECT o_orderkey AS sample_id, o_custkey % 50 AS scene_id,
+                    CAST(o_orderkey % 1000 AS DOUBLE) + 5e-1 AS x_m, o_totalprice % 70 AS y_m FROM orders),
+k AS (SELECT sample_id, scene_id, CAST(floor(x_m / 10e0) AS BIGINT) AS px,
+             CAST(floor(y_m / 10e0) AS BIGINT) AS py FROM pts),
+pix AS (SELECT l_suppkey % 50 AS scene_id, l_partkey % 100 AS px, CAST(l_linenumber AS BIGINT) AS py,
+               sum(l_quantity) AS B2, CAST(count(*) AS DOUBLE) AS B3, max(l_quantity) AS B4,
+               min(l_quantity) AS B5, sum(round(l_tax * 100)) AS B8, sum(round(l_discount * 100)) AS B11
+        FROM lineitem GROUP BY ALL)
+SELECT k.sample_id, k.scene_id, k.px, k.py, round(B2, 6) AS B2, round(B3, 6) AS B3, round(B4, 6) AS B4,
+       round(B5, 6) AS B5, round(B8, 6) AS B8, round(B11, 6) AS B11
+FROM k LEFT JOIN pix ON k.scene_id = pix.scene_id AND k.px = pix.px AND k.py = pix.py"""
+    s["scene_enrichment"] = _enrichment_sql()
+    # -- learning, exact parts
+    med = ", ".join(f"quantile_cont({b}, 0.5) AS m_{b}" for b in BAND_NAMES)
+    s["impute_median"] = (f"WITH {BANDS}, m AS (SELECT {med} FROM bands) SELECT sample_id, "
+                          + ", ".join(f"round(coalesce({b}, m_{b}), 6) AS {b}" for b in BAND_NAMES)
+                          + " FROM bands, m")
+    stats = ", ".join(f"avg({b}) AS m_{b}, stddev_pop({b}) AS s_{b}" for b in BAND_NAMES)
+    s["standardise"] = (f"""WITH {BANDS},
+sp AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(sample_id AS VARCHAR) || '|42'), sample_id)
+                 <= ceil(0.2 * count(*) OVER ()) AS is_test FROM bands),
+st AS (SELECT {stats} FROM sp WHERE NOT is_test)
+SELECT sample_id, is_test, """ + ", ".join(
+        f"round(({b} - m_{b}) / CASE WHEN s_{b} IS NULL OR s_{b} = 0 OR isnan(s_{b}) THEN 1e0 ELSE s_{b} END, 6) AS {b}"
+        for b in BAND_NAMES) + " FROM sp, st")
+    s["hash_split"] = (f"WITH {SAMPLES} SELECT sample_id, row_number() OVER (ORDER BY md5(CAST(sample_id AS VARCHAR) "
+                       "|| '|42'), sample_id) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM samples")
+    s["regression_metrics"] = (f"WITH {METRICS} SELECT model, n, round(rmse, 6) AS rmse, round(mae, 6) AS mae, "
+                               "round(r2, 6) AS r2 FROM mm")
+    both = TRAIN + ",\n" + _prep("tp", "turbidity") + ",\n" + _prep("cp", "chlorophyll")
+    s["ols_calibration"] = f"""WITH {both},
+tt AS (SELECT label, {RAW_TURB} AS x FROM tp2 WHERE NOT is_test),
+ct AS (SELECT label, {RAW_CHL} AS x FROM cp2 WHERE NOT is_test)
+SELECT 'Turbidez' AS parameter, count(*) FILTER (WHERE x IS NOT NULL AND label IS NOT NULL) AS n,
+       round(regr_slope(label, x), 6) AS slope, round(regr_intercept(label, x), 6) AS intercept,
+       round(regr_r2(label, x), 6) AS r2 FROM tt
+UNION ALL
+SELECT 'Clorofila a', count(*) FILTER (WHERE x IS NOT NULL AND label IS NOT NULL), round(regr_slope(label, x), 6),
+       round(regr_intercept(label, x), 6), round(regr_r2(label, x), 6) FROM ct"""
+    turb = TRAIN + ",\n" + _prep("tp", "turbidity")
+    s["calibrated_index"] = f"""WITH {turb},
+c AS (SELECT regr_slope(label, {RAW_TURB}) AS a, regr_intercept(label, {RAW_TURB}) AS b FROM tp2 WHERE NOT is_test)
+SELECT sample_id, round({RAW_TURB}, 6) AS raw_index,
+       round(coalesce(a * {RAW_TURB} + b, {RAW_TURB}), 6) AS calibrated FROM tp2, c WHERE is_test"""
+
+    def _val(prefix, raw, param, unit):
+        return f"""SELECT '{param}' AS parameter, '{unit}' AS unit, 'Index_Based' AS method,
+       round(CASE WHEN count(*) * var_pop(label) = 0 THEN CASE WHEN sum((p - label) * (p - label)) = 0 THEN 1e0 ELSE 0e0 END
+             ELSE 1 - sum((p - label) * (p - label)) / (count(*) * var_pop(label)) END, 6) AS r2,
+       round(sqrt(avg((p - label) * (p - label))), 6) AS rmse
+FROM (SELECT label, coalesce(a * {raw} + b, {raw}) AS p FROM {prefix}2,
+        (SELECT regr_slope(label, {raw}) AS a, regr_intercept(label, {raw}) AS b FROM {prefix}2 WHERE NOT is_test)
+      WHERE is_test) q WHERE p IS NOT NULL AND label IS NOT NULL"""
+    s["index_validation"] = (f"WITH {both} " + _val("tp", RAW_TURB, "Turbidez", "NTU") + " UNION ALL "
+                             + _val("cp", RAW_CHL, "Clorofila a", "μg/L"))
+    s["kfold_ols"] = f"""WITH {turb},
+tr AS (SELECT sample_id, label AS y, {RAW_TURB} AS x FROM tp2 WHERE NOT is_test),
+fo AS (SELECT *, CAST(ntile(5) OVER (ORDER BY md5(CAST(sample_id AS VARCHAR) || '|42'), sample_id) - 1 AS INTEGER)
+                 AS fold FROM tr),
+tot AS (SELECT count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM fo),
+pf AS (SELECT fold, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM fo GROUP BY fold),
+tr2 AS (SELECT fold, tot.n - pf.n AS m, tot.sx - pf.sx AS sx, tot.sy - pf.sy AS sy, tot.sxx - pf.sxx AS sxx,
+               tot.sxy - pf.sxy AS sxy FROM pf, tot),
+co AS (SELECT fold, (m * sxy - sx * sy) / (m * sxx - sx * sx) AS w, sy / m - (m * sxy - sx * sy) / (m * sxx - sx * sx) * sx / m AS b FROM tr2),
+sc AS (SELECT fo.fold, count(*) AS n, sum((b + w * x - y) * (b + w * x - y)) AS sse, var_pop(y) AS v
+       FROM fo JOIN co USING (fold) GROUP BY fo.fold)
+SELECT fold, n, round(CASE WHEN n * v = 0 THEN CASE WHEN sse = 0 THEN 1e0 ELSE 0e0 END ELSE 1 - sse / (n * v) END, 6) AS r2
+FROM sc"""
+    s["ridge_closed"] = f"""WITH {turb},
+tr AS (SELECT label AS y, {RAW_TURB} AS x FROM tp2 WHERE NOT is_test),
+c AS (SELECT sum(x * y) - sum(x) * sum(y) / count(*) AS cxy, sum(x * x) - sum(x) * sum(x) / count(*) AS cxx,
+             avg(x) AS mx, avg(y) AS my FROM tr)
+SELECT 1e0 AS alpha, round(cxy / (cxx + 1e0), 6) AS slope, round(my - cxy / (cxx + 1e0) * mx, 6) AS intercept FROM c"""

@@ -10,6 +10,7 @@ then a p×p solve on those statistics (p = number of features), so a 100-alpha
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -87,7 +88,7 @@ def hash_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int =
         u = F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(16 ** 12)
         return df.withColumn(out, u < test_fraction)
     n = df.count()
-    n_test = math.ceil(test_fraction * n)
+    n_test = math.ceil(Fraction(str(test_fraction)) * n)  # exact decimal, no float rounding
     r = row_number(df.withColumn("_hl_h", h), ["_hl_h", key], "_hl_rn")
     return r.withColumn(out, F.col("_hl_rn") <= n_test).drop("_hl_h", "_hl_rn")
 
@@ -177,16 +178,21 @@ def lasso_solve(s, alpha: float, tol: float = 1e-4, max_iter: int = 1000, w0=Non
     g, c = cxx / n, cxy / n
     p = len(mx)
     w = np.zeros(p) if w0 is None else w0.copy()
+    diag = np.diag(g).copy()
+    gw = g @ w
     for _ in range(max_iter):
         dmax = 0.0
         for j in range(p):
-            if g[j, j] <= 0:
+            if diag[j] <= 0:
                 continue
-            rho = c[j] - g[j] @ w + g[j, j] * w[j]
-            new = np.sign(rho) * max(abs(rho) - alpha, 0.0) / g[j, j]
-            dmax = max(dmax, abs(new - w[j]))
-            w[j] = new
-        if dmax <= tol * max(1e-12, np.max(np.abs(w)) if w.any() else 1.0):
+            old = w[j]
+            rho = c[j] - gw[j] + diag[j] * old
+            new = math.copysign(max(abs(rho) - alpha, 0.0), rho) / diag[j]
+            if new != old:
+                gw += g[:, j] * (new - old)
+                w[j] = new
+                dmax = max(dmax, abs(new - old))
+        if dmax <= tol * max(1e-12, float(np.max(np.abs(w))) if w.any() else 1.0):
             break
     return w, my - mx @ w
 
@@ -225,11 +231,16 @@ def linear_cv(fold_stats: dict, kind: str, alphas=None):
     else:
         alphas = alphas or lasso_alpha_grid(total)
     best = None
-    for a in alphas:
+    warm = {}
+    for a in alphas:  # lasso alphas descend: each fold warm-starts from the previous alpha
         r2s, mses = [], []
-        for s in fold_stats.values():
+        for f, s in fold_stats.items():
             tr = _add(total, s, -1.0)
-            w, b = ridge_solve(tr, a) if kind == "ridge" else lasso_solve(tr, a)
+            if kind == "ridge":
+                w, b = ridge_solve(tr, a)
+            else:
+                w, b = lasso_solve(tr, a, w0=warm.get(f))
+                warm[f] = w
             r2s.append(r2_from_stats(s, w, b))
             mses.append(sse_from_stats(s, w, b) / s["n"])
         score = float(np.mean(r2s)) if kind == "ridge" else -float(np.mean(mses))
@@ -266,6 +277,28 @@ def fold_r2_linear(df: DataFrame, features, target: str, kind: str, fold: str =
     return scores
 
 
+def fold_linear_scores(df: DataFrame, features, target: str, alpha: float = 0.0, fold: str = "fold") -> DataFrame:
+    """K-fold scores of a (ridge, alpha >= 0; OLS at 0) linear fit: fold
+    statistics in one aggregate, train = total - fold, coefficients joined
+    back (k rows), R² per fold in a second aggregate."""
+    st = gram_stats(df, features, target, [fold])
+    total = None
+    for s in st.values():
+        total = s if total is None else _add(total, s)
+    rows = []
+    for (f,), s in st.items():
+        w, b = ridge_solve(_add(total, s, -1.0), alpha)
+        rows.append((f, float(b), *[float(x) for x in w]))
+    coef_cols = [f"_w{i}" for i in range(len(features))]
+    spark = df.sparkSession
+    coefs = spark.createDataFrame(rows, [fold, "_b", *coef_cols])
+    pred = F.col("_b")
+    for f, c in zip(features, coef_cols):
+        pred = pred + F.col(f) * F.col(c)
+    scored = df.join(F.broadcast(coefs), fold, "inner").withColumn("_pred", pred)  # k rows
+    return regression_metrics(scored, target, "_pred", [fold]).select(fold, "n", "r2")
+
+
 # ---------------------------------------------------------------- MLlib regressors
 def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
@@ -273,13 +306,15 @@ def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
 
 
 def random_forest(n_trees: int = 100, max_depth: int = 30, min_leaf: int = 1, feature_subset: str = "all",
-                  bootstrap: bool = True, max_bins: int = 256, label: str = "label"):
+                  bootstrap: bool = True, max_bins: int = 32, label: str = "label"):
     """RandomForestRegressor with the field scripts' settings (unlimited depth
-    -> MLlib's maximum 30; every feature considered at each split)."""
+    -> MLlib's maximum 30; every feature considered at each split).  Splits
+    are searched on ``max_bins`` quantile bins per feature (exact thresholds
+    are a single-machine luxury); node ids are cached for deep trees."""
     from pyspark.ml.regression import RandomForestRegressor
     return RandomForestRegressor(numTrees=n_trees, maxDepth=min(max_depth, 30), minInstancesPerNode=min_leaf,
                                  featureSubsetStrategy=feature_subset, bootstrap=bootstrap, maxBins=max_bins,
-                                 seed=SEED, labelCol=label, featuresCol="features")
+                                 cacheNodeIds=True, seed=SEED, labelCol=label, featuresCol="features")
 
 
 def gradient_boosting(label: str = "label"):
@@ -292,21 +327,36 @@ def gradient_boosting(label: str = "label"):
 def rff_columns(df: DataFrame, features, n_components: int = 100, gamma: float | None = None,
                 seed: int = SEED, prefix: str = "rff") -> tuple[DataFrame, list[str]]:
     """Random Fourier features approximating an RBF kernel (Rahimi & Recht
-    2007): z = sqrt(2/D)·cos(Wx + b), W ~ N(0, 2γ), as Column math.
-    gamma defaults to 1/p (standardised inputs)."""
+    2007): z = sqrt(2/D)·cos(Wx + b), W ~ N(0, 2γ); gamma defaults to 1/p
+    (standardised inputs).  One numpy matrix product per Arrow batch
+    (``mapInPandas``); the seeded W is the same on every executor."""
     p = len(features)
     gamma = gamma if gamma is not None else 1.0 / p
     rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, p))
+    w = rng.normal(0.0, math.sqrt(2 * gamma), size=(p, n_components))
     b = rng.uniform(0, 2 * math.pi, size=n_components)
     scale = math.sqrt(2.0 / n_components)
-    cols = {}
-    for i in range(n_components):
-        e = F.lit(float(b[i]))
-        for j, f in enumerate(features):
-            e = e + F.col(f) * F.lit(float(w[i, j]))
-        cols[f"{prefix}{i}"] = F.lit(scale) * F.cos(e)
-    return df.withColumns(cols), list(cols)
+    names = [f"{prefix}{i}" for i in range(n_components)]
+    feats = list(features)
+
+    def project(batches):
+        import pandas as pd
+        for pdf in batches:
+            x = pdf[feats].to_numpy(dtype="float64", na_value=np.nan)
+            z = scale * np.cos(x @ w + b)
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(z, columns=names)], axis=1)
+
+    schema = df.schema
+    from pyspark.sql.types import DoubleType, StructField, StructType
+    out_schema = StructType(list(schema.fields) + [StructField(n, DoubleType(), True) for n in names])
+    return df.mapInPandas(project, out_schema), names
+
+
+def right_size(df: DataFrame, n_rows: int, rows_per_partition: int = 200_000) -> DataFrame:
+    """Fewer, fuller partitions for small training sets (iterative fitters
+    pay per-task overhead on every iteration); large sets keep theirs."""
+    want = max(1, math.ceil(n_rows / rows_per_partition))
+    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
 
 
 def huber_regression(label: str = "label", reg: float = 0.0, epsilon: float = 1.35):

@@ -12,6 +12,7 @@ the bracket.  The result equals numpy/pandas ``quantile`` (linear) and SQL
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +40,10 @@ def exact_quantiles(df: DataFrame, value: str, probs, group_by=(), names=None,
     probs = [float(p) for p in probs]
     m = len(probs)
     names = list(names) if names else [f"q{i}" for i in range(m)]
+    # the narrow value column is read by every pass: keep it (spills to disk)
     base = (df.select(*group_by, F.col(value).cast("double").alias("_v"))
-            .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
+            .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
 
     # pass 1: count, range and a sketch bracket per wanted quantile
     lo_p = [max(0.0, p - _MARGIN) for p in probs]
@@ -130,5 +133,12 @@ def exact_quantiles(df: DataFrame, value: str, probs, group_by=(), names=None,
     if group_by:
         wide = picked.groupBy(*group_by).agg(*out)
         groups = df.select(*group_by).distinct()
-        return groups.join(wide, group_by, "left")
-    return picked.agg(*out)  # a global aggregate always yields exactly one row
+        res = groups.join(wide, group_by, "left")
+    else:
+        res = picked.agg(*out)  # a global aggregate always yields exactly one row
+    # materialise the (one row per group) result, then release the inputs
+    res = res.persist(StorageLevel.MEMORY_AND_DISK)
+    res.count()
+    base.unpersist()
+    st.unpersist()
+    return res

@@ -42,6 +42,14 @@ def _sample_keys(samples: DataFrame, lon: str, lat: str, date: str, cell_deg: fl
             .withColumn("_tb", F.explode(F.sequence(first, last))))
 
 
+def _seconds_between(a, b):
+    """b - a in whole seconds for TIMESTAMP_NTZ values (no time-zone or DST
+    dependence)."""
+    days = F.unix_date(b.cast("date")) - F.unix_date(a.cast("date"))
+    sod = lambda t: F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+    return days.cast("long") * 86400 + sod(b) - sod(a)
+
+
 def contains(lon: str = "longitude", lat: str = "latitude"):
     """Point inside a scene footprint (inclusive bounding box)."""
     return (F.col(lon).between(F.col("min_lon"), F.col("max_lon"))
@@ -69,7 +77,7 @@ def best_scene(samples: DataFrame, scenes: DataFrame, key: str = "sample_id",
     Ties on cloud % go to the scene closest in time, then the lowest
     ``scene_id``.  Samples without a scene keep NULL scene columns.  Output:
     the sample columns + ``scene_id``, ``image_date``, ``cloud_pct``,
-    ``acquired_at``.
+    ``acquired_at`` and the scene's raster origin ``scene_min_lon``/``scene_min_lat``.
 
     ``scenes`` needs: scene_id, min_lon, min_lat, max_lon, max_lat,
     acquired_at (timestamp), cloud_pct.
@@ -83,12 +91,13 @@ def best_scene(samples: DataFrame, scenes: DataFrame, key: str = "sample_id",
     at = F.col("acquired_at").cast("timestamp_ntz")
     cand = (smk.join(sk, ["_cx", "_cy", "_tb"], "inner")
             .where(contains(lon, lat) & (at >= lo) & (at < hi))
-            .withColumn("_dt", F.abs(F.unix_micros(at.cast("timestamp")) - F.unix_micros(start.cast("timestamp")))))
+            .withColumn("_dt", F.abs(_seconds_between(start, at))))
     # min_by keeps the partial/final aggregate; no sort of the candidates
     best = (cand.groupBy(key)
-            .agg(F.min_by(F.struct("scene_id", "cloud_pct", "acquired_at"),
+            .agg(F.min_by(F.struct("scene_id", "cloud_pct", "acquired_at", "min_lon", "min_lat"),
                           F.struct("cloud_pct", "_dt", "scene_id")).alias("_b"))
-            .select(key, "_b.scene_id", "_b.cloud_pct", "_b.acquired_at"))
+            .select(key, "_b.scene_id", "_b.cloud_pct", "_b.acquired_at",
+                    F.col("_b.min_lon").alias("scene_min_lon"), F.col("_b.min_lat").alias("scene_min_lat")))
     return (samples.join(best, key, "left")
             .withColumn("image_date", F.col("acquired_at").cast("date")))
 
@@ -105,3 +114,11 @@ def sample_pixels(points: DataFrame, pixels: DataFrame, x: str = "x_m", y: str =
     scene and snapped pixel indices; no pixel -> NULL bands)."""
     p = pixel_keys(points, x, y, res)
     return p.join(pixels.select("scene_id", "px", "py", *bands), ["scene_id", "px", "py"], "left")
+
+
+def scene_pixel_keys(df: DataFrame, lon: str = "longitude", lat: str = "latitude",
+                     res_deg: float = 0.12) -> DataFrame:
+    """Pixel indices of a point in its scene's raster (origin at the
+    footprint's min corner, square pixels of ``res_deg``)."""
+    return (df.withColumn("px", F.floor((F.col(lon) - F.col("scene_min_lon")) / F.lit(res_deg)).cast("long"))
+            .withColumn("py", F.floor((F.col(lat) - F.col("scene_min_lat")) / F.lit(res_deg)).cast("long")))

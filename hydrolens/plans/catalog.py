@@ -275,3 +275,211 @@ def q_slug(spark, sf):
 def q_unit_map(spark, sf):
     p = SI.parameter_rows(spark, sf)
     return p.select("sample_id", "parameter", T.unit_of("parameter").alias("unit"))
+
+
+# ---------------------------------------------------------------- sources / sinks
+def q_csv_round_trip(spark, sf):
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources.csv_io import read_csv, write_csv
+    s = SI.samples(spark, sf)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv_round_trip/{uuid.uuid4().hex}"
+    write_csv(s, path)
+    return rounded(read_csv(spark, path, s.schema))
+
+
+def q_latest_snapshot(spark, sf):
+    from ..operators.joins import latest_per_group
+    e = SI.table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    return rounded(latest_per_group(e, ["user_id"], "ts"))
+
+
+def q_resume_anti(spark, sf):
+    from ..operators.joins import resume_pending
+    docs = SI.table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    return resume_pending(docs, SI.table(spark, sf, "labels"), "doc_id")
+
+
+# ---------------------------------------------------------------- joins
+def q_lookup_left(spark, sf):
+    from ..operators.joins import lookup_left
+    docs = SI.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    return lookup_left(docs, SI.table(spark, sf, "labels"), "doc_id")
+
+
+def q_override_upsert(spark, sf):
+    from ..operators.joins import override
+    return rounded(override(SI.stations(spark, sf), SI.station_fixes(spark, sf), "point",
+                            ["latitude", "longitude"]))
+
+
+def q_harmonise_union(spark, sf):
+    from ..operators.joins import harmonise_union
+    return rounded(harmonise_union(SI.field_sources(spark, sf)))
+
+
+def q_best_scene(spark, sf):
+    from ..operators.scenes import best_scene
+    b = best_scene(SI.scene_samples(spark, sf), SI.scenes(spark, sf))
+    return rounded(b.select("sample_id", "scene_id", "cloud_pct", "image_date"))
+
+
+def q_cell_contains(spark, sf):
+    from ..operators.scenes import containing_scenes
+    pairs = containing_scenes(SI.scene_samples(spark, sf), SI.scenes(spark, sf))
+    return pairs.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_scenes"))
+
+
+def q_pixel_sample(spark, sf):
+    from ..operators.scenes import sample_pixels
+    return rounded(sample_pixels(SI.pixel_points(spark, sf), SI.pixels(spark, sf))
+                   .drop("x_m", "y_m"))
+
+
+def q_scene_enrichment(spark, sf):
+    from .enrich import enrichment_job
+    return rounded(enrichment_job(spark, sf))
+
+
+# ---------------------------------------------------------------- learning: exact pieces
+def q_impute_median(spark, sf):
+    from ..operators.learn import impute_median
+    return rounded(impute_median(SI.bands(spark, sf), S.BANDS))
+
+
+def q_standardise(spark, sf):
+    from ..operators.learn import fit_scaler, hash_split, standardise
+    b = hash_split(SI.bands(spark, sf), "sample_id")
+    sc = fit_scaler(b.where(~F.col("is_test")), S.BANDS)
+    return rounded(standardise(b, S.BANDS, sc))
+
+
+def q_hash_split(spark, sf):
+    from ..operators.learn import hash_split
+    return hash_split(SI.samples(spark, sf).select("sample_id"), "sample_id")
+
+
+def q_regression_metrics(spark, sf):
+    return rounded(_model_metrics(spark, sf))
+
+
+VALIDATION = {"Turbidez": "turbidity", "Clorofila a": "chlorophyll"}
+
+
+def _validation_split(spark, sf, target, cloud=10):
+    from ..operators.learn import hash_split
+    from .train import preprocess
+    prep, feats = preprocess(SI.training_rows(spark, sf), target, cloud_threshold=cloud, cloud_required=True)
+    return hash_split(prep, "sample_id")
+
+
+def q_ols_calibration(spark, sf):
+    from .validate import calibrate
+    rows = []
+    for param, target in VALIDATION.items():
+        s = _validation_split(spark, sf, target)
+        c = calibrate(s.where(~F.col("is_test")), param)
+        rows.append((param, int(c["n"]), c["slope"], c["intercept"], c["r2"]))
+    return rounded(spark.createDataFrame(rows, "parameter string, n long, slope double, intercept double, r2 double"))
+
+
+def q_calibrated_index(spark, sf):
+    from .validate import calibrate
+    s = _validation_split(spark, sf, "turbidity")
+    c = calibrate(s.where(~F.col("is_test")), "Turbidez")
+    raw = S.raw_estimator("Turbidez")
+    t = s.where(F.col("is_test"))
+    return rounded(t.select("sample_id", raw.alias("raw_index"),
+                            S.calibrated(raw, F.lit(c["slope"]), F.lit(c["intercept"])).alias("calibrated")))
+
+
+def q_index_validation(spark, sf):
+    from .validate import validate
+    out = None
+    for param, target in VALIDATION.items():
+        _, m, unit = validate(SI.training_rows(spark, sf), param, target, with_ml=False)
+        m = m.select(F.lit(param).alias("parameter"), F.lit(unit).alias("unit"), "method", "r2", "rmse")
+        out = m if out is None else out.unionByName(m)
+    return rounded(out)
+
+
+def _turbidity_train(spark, sf):
+    s = _validation_split(spark, sf, "turbidity")
+    return s.where(~F.col("is_test")).withColumn("raw_index", S.raw_estimator("Turbidez"))
+
+
+def q_kfold_ols(spark, sf):
+    from ..operators.learn import assign_folds, fold_linear_scores
+    f = assign_folds(_turbidity_train(spark, sf), "sample_id", 5)
+    return rounded(fold_linear_scores(f, ["raw_index"], "label", alpha=0.0))
+
+
+def q_ridge_closed(spark, sf):
+    from ..operators.learn import gram_stats, ridge_solve
+    st = gram_stats(_turbidity_train(spark, sf), ["raw_index"], "label")[()]
+    w, b = ridge_solve(st, 1.0)
+    return rounded(spark.createDataFrame([(1.0, float(w[0]), float(b))], "alpha double, slope double, intercept double"))
+
+
+# ---------------------------------------------------------------- learning: models (rows-only checks)
+def _tm_split(spark, sf, target="turbidity"):
+    from .train import preprocess, split_and_scale
+    prep, feats = preprocess(SI.training_rows(spark, sf), target, cloud_threshold=20)
+    train, test, _ = split_and_scale(prep, feats)
+    return train, test, feats
+
+
+def _model_query(kind):
+    def q(spark, sf):
+        from .train import fit_predict
+        train, test, feats = _tm_split(spark, sf)
+        pred, _ = fit_predict(kind, train, test, feats)
+        return rounded(pred)
+    q.__doc__ = f"Test-row predictions of the {kind} model (turbidity, cloud <= 20)."
+    return q
+
+
+q_rf_regression = _model_query("RandomForest")
+q_gbt_regression = _model_query("GradientBoosting")
+q_lasso_cv = _model_query("Lasso")
+q_ridge_cv = _model_query("Ridge")
+q_rff_huber = _model_query("SVR")
+
+
+def q_kfold_rf(spark, sf):
+    from .train import cv_scores
+    train, _, feats = _tm_split(spark, sf)
+    sc = cv_scores("RandomForest", train, feats)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(sc)], "fold int, r2 double")
+
+
+def q_feature_importance(spark, sf):
+    from .train import feature_importances, fit_predict
+    train, test, feats = _tm_split(spark, sf)
+    _, m = fit_predict("RandomForest", train, test, feats)
+    return rounded(feature_importances(spark, m, feats))
+
+
+def q_permutation_importance(spark, sf):
+    from .train import fit_predict, permutation_importance
+    train, test, feats = _tm_split(spark, sf)
+    _, m = fit_predict("RandomForest", train, test, feats)
+    return rounded(permutation_importance(m, train, feats))
+
+
+def q_rf_random_search(spark, sf):
+    from .train import random_search
+    train, _, feats = _tm_split(spark, sf)
+    _, _, results = random_search(train, feats, n_iter=30)
+    rows = [(i, str(d["n_estimators"]), str(d["max_depth"]), d["min_samples_split"], d["min_samples_leaf"],
+             str(d["max_features"]), bool(d["bootstrap"]), m, s) for i, (d, m, s) in enumerate(results)]
+    return spark.createDataFrame(rows, "draw int, n_estimators string, max_depth string, min_samples_split int, "
+                                       "min_samples_leaf int, max_features string, bootstrap boolean, "
+                                       "cv_mean double, cv_std double")
+
+
+def q_model_comparison(spark, sf):
+    from .train import comparison_frame, train_models
+    res = train_models(SI.training_rows(spark, sf), "turbidity", cloud_threshold=20)
+    return rounded(comparison_frame(spark, res["rows"]))

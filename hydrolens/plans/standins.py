@@ -126,7 +126,7 @@ def scenes(spark, sf_dir) -> DataFrame:
     h = F.lit(0.12)
     return o.select(k.alias("scene_id"), (cx - h).alias("min_lon"), (cy - h).alias("min_lat"),
                     (cx + h).alias("max_lon"), (cy + h).alias("max_lat"),
-                    F.timestampadd("HOUR", (k % 24).cast("int"), F.col("o_orderdate")).alias("acquired_at"),
+                    (F.col("o_orderdate") + F.make_dt_interval(hours=(k % 24).cast("int"))).alias("acquired_at"),
                     (F.col("o_totalprice") % 100).alias("cloud_pct"))
 
 

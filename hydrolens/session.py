@@ -18,13 +18,16 @@ RUNTIME_CONF = {
 
 
 def build_session(master: str = "local[*]", app: str = "hydrolens",
-                  shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
+                  shuffle_partitions: int = 8, extra: dict | None = None,
+                  driver_memory: str = "16g") -> SparkSession:
     """Create (or reuse) a session configured for this package.
 
     The UI stays off: nothing here serves pages or opens extra ports.
     """
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.driver.memory", driver_memory)
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for k, v in {**RUNTIME_CONF, **(extra or {})}.items():
         b = b.config(k, v)
