@@ -340,13 +340,13 @@ SELECT sample_id, parameter, CASE parameter WHEN 'Clorofila a' THEN 'μg/L' WHEN
 SCENE_SAMPLES = """ss AS (
   SELECT o_orderkey AS sample_id, CAST(o_orderdate AS DATE) AS sample_date,
          -52e0 + CAST(o_custkey % 40 AS DOUBLE) * 5e-2 AS longitude,
-         -19e0 + CAST(o_custkey % 30 AS DOUBLE) * 5e-2 AS latitude FROM orders)"""
+         -19e0 + CAST(floor(o_custkey / 40) AS DOUBLE) * 5e-2 AS latitude FROM orders)"""
 SCENES = """sc AS (
   SELECT o_orderkey AS scene_id,
          (-52e0 + CAST(o_orderkey % 40 AS DOUBLE) * 5e-2) - 12e-2 AS min_lon,
-         (-19e0 + CAST(o_orderkey % 30 AS DOUBLE) * 5e-2) - 12e-2 AS min_lat,
+         (-19e0 + CAST(floor(o_orderkey / 400) AS DOUBLE) * 5e-2) - 12e-2 AS min_lat,
          (-52e0 + CAST(o_orderkey % 40 AS DOUBLE) * 5e-2) + 12e-2 AS max_lon,
-         (-19e0 + CAST(o_orderkey % 30 AS DOUBLE) * 5e-2) + 12e-2 AS max_lat,
+         (-19e0 + CAST(floor(o_orderkey / 400) AS DOUBLE) * 5e-2) + 12e-2 AS max_lat,
          o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS acquired_at,
          o_totalprice % 100 AS cloud_pct FROM orders)"""
 BEST = SCENE_SAMPLES + ",\n" + SCENES + """,

@@ -41,11 +41,17 @@ def category_codes(df: DataFrame, column: str, out: str | None = None) -> DataFr
 def fit_medians(df: DataFrame, features) -> dict[str, float | None]:
     """Exact median of each feature (linear interpolation) -> fitted scalars."""
     features = list(features)
+    # only columns that have a gap need a median
+    gaps = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first().asDict()
+    todo = [f for f in features if gaps[f]]
+    if not todo:
+        return {f: None for f in features}
+    features = todo
     long = df.select(*[F.col(f).cast("double").alias(f) for f in features]) \
              .unpivot([], features, "_hl_feature", "_hl_value")
     rows = exact_quantiles(long, "_hl_value", [0.5], ["_hl_feature"], names=["m"]).collect()
     got = {r["_hl_feature"]: r["m"] for r in rows}  # one scalar per feature
-    return {f: got.get(f) for f in features}
+    return {f: got.get(f) for f in features}  # features without gaps map to None: nothing to fill
 
 
 def impute_median(df: DataFrame, features, medians: dict | None = None) -> DataFrame:

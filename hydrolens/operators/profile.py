@@ -16,9 +16,13 @@ IQR_K = 1.5
 def group_mean_count(df: DataFrame, key: str, value: str, scale: int = 3,
                      mean_name: str = "mean", count_name: str = "n_samples") -> DataFrame:
     """Mean (half-even rounded to ``scale``) and non-NULL count of ``value``
-    per ``key``; NULL keys dropped."""
+    per ``key``; NULL keys dropped.
+
+    The mean is taken over the exact decimal values, so the rounding of a tie
+    (…5 in the next digit) never depends on summation order."""
+    exact = F.avg(F.col(value).cast("decimal(38,18)"))
     return (df.where(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.bround(F.avg(value), scale).alias(mean_name), F.count(value).alias(count_name)))
+            .agg(F.bround(exact, scale).cast("double").alias(mean_name), F.count(value).alias(count_name)))
 
 
 def missing_profile(df: DataFrame, columns=None, scale: int = 2, only_missing: bool = False) -> DataFrame:

@@ -5,8 +5,8 @@ in one task.  Here an approximate sketch (``percentile_approx``: bounded
 memory, map-side combine) first brackets each wanted order statistic; only
 the rows inside the bracket are then ranked exactly.  A bracket that still
 holds more than ``max_candidates`` rows is narrowed again with a sketch over
-the bracket.  Groups of up to ``small_group`` rows use their whole range as
-the bracket.  The result equals numpy/pandas ``quantile`` (linear) and SQL
+the bracket.  Groups of up to ``small_group`` values use their whole range
+as the bracket (one task sorts at most that many doubles).  The result equals numpy/pandas ``quantile`` (linear) and SQL
 ``quantile_cont``.
 """
 
@@ -29,7 +29,7 @@ def _attach(base: DataFrame, stats: DataFrame, group_by: list[str]) -> DataFrame
 
 
 def exact_quantiles(df: DataFrame, value: str, probs, group_by=(), names=None,
-                    small_group: int = 20000, max_candidates: int = 2_000_000,
+                    small_group: int = 1_000_000, max_candidates: int = 2_000_000,
                     max_rounds: int = 4) -> DataFrame:
     """One row per group: ``group_by`` columns + one DOUBLE column per prob.
 
@@ -60,8 +60,16 @@ def exact_quantiles(df: DataFrame, value: str, probs, group_by=(), names=None,
                  F.when(small, F.col("_mn")).otherwise(F.col("_sk")[i]).alias(f"_lo{i}"),
                  F.when(small, F.col("_mx")).otherwise(F.col("_sk")[m + i]).alias(f"_hi{i}")]
     st = st.select(*cols).cache()
+    largest = st.agg(F.max("_n")).first()[0] or 0
+    # every group fits one task: the bracket is the whole group, no counting pass needed
+    rounds = 0 if largest <= small_group else max_rounds
+    if rounds == 0:
+        st_prev = st
+        st = st.select("*", *[x for i in range(m) for x in (F.lit(0).cast("long").alias(f"_b{i}"),
+                                                           F.col("_n").alias(f"_in{i}"))]).cache()
+        st_prev.unpersist()
 
-    for rnd in range(max_rounds):
+    for rnd in range(rounds):
         # pass 2: rows below / inside each bracket
         j = _attach(base, st, group_by)
         cnt = j.groupBy(*group_by).agg(*[

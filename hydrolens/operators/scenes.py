@@ -4,8 +4,9 @@ window, and nearest-pixel band sampling -- all as equi joins.
 A pure interval/containment condition plans as a nested-loop join.  Both
 sides here get equi keys instead: a grid cell (scenes are exploded to the
 few cells their footprint covers, a sample has one) and a time bucket of
-``window_days`` days (a scene has one bucket, a sample is exploded to the
-2-3 buckets its window touches).  Each (sample, scene) pair meets in exactly
+``bucket_days`` days (a scene has one bucket, a sample is exploded to the
+buckets its window touches).  Smaller cells and buckets mean fewer false
+candidates before the exact check, at the price of more exploded rows.  Each (sample, scene) pair meets in exactly
 one (cell, bucket), so no candidate is duplicated; the exact footprint and
 half-open time window are re-checked after the equi join.
 """
@@ -15,29 +16,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_CELL_DEG = 0.25
+DEFAULT_CELL_DEG = 0.25     # ~ a quarter of a Sentinel-2 tile: few cells per footprint, few false candidates
 DEFAULT_WINDOW_DAYS = 30
+DEFAULT_BUCKET_DAYS = 10    # a sample's ±30-day window touches 6-7 buckets; a scene has one
 
 
 def _cell(c, size):
     return F.floor(F.col(c) / F.lit(size)).cast("long")
 
 
-def _scene_keys(scenes: DataFrame, cell_deg: float, window_days: int) -> DataFrame:
+def _scene_keys(scenes: DataFrame, cell_deg: float, bucket_days: int) -> DataFrame:
     """Scenes exploded to the grid cells their footprint covers, + time bucket."""
     day = F.unix_date(F.col("acquired_at").cast("date"))
     return (scenes
             .withColumn("_cx", F.explode(F.sequence(_cell("min_lon", cell_deg), _cell("max_lon", cell_deg))))
             .withColumn("_cy", F.explode(F.sequence(_cell("min_lat", cell_deg), _cell("max_lat", cell_deg))))
-            .withColumn("_tb", F.floor(day / F.lit(window_days)).cast("long")))
+            .withColumn("_tb", F.floor(day / F.lit(bucket_days)).cast("long")))
 
 
 def _sample_keys(samples: DataFrame, lon: str, lat: str, date: str, cell_deg: float,
-                 window_days: int) -> DataFrame:
+                 window_days: int, bucket_days: int) -> DataFrame:
     """Samples with their cell and the time buckets of [date - w, date + w)."""
     d = F.unix_date(F.col(date).cast("date"))
-    first = F.floor((d - window_days) / F.lit(window_days)).cast("long")
-    last = F.floor((d + window_days - 1) / F.lit(window_days)).cast("long")
+    first = F.floor((d - window_days) / F.lit(bucket_days)).cast("long")
+    last = F.floor((d + window_days - 1) / F.lit(bucket_days)).cast("long")
     return (samples.withColumn("_cx", _cell(lon, cell_deg)).withColumn("_cy", _cell(lat, cell_deg))
             .withColumn("_tb", F.explode(F.sequence(first, last))))
 
@@ -70,7 +72,8 @@ def containing_scenes(samples: DataFrame, scenes: DataFrame, key: str = "sample_
 
 def best_scene(samples: DataFrame, scenes: DataFrame, key: str = "sample_id",
                lon: str = "longitude", lat: str = "latitude", date: str = "sample_date",
-               window_days: int = DEFAULT_WINDOW_DAYS, cell_deg: float = DEFAULT_CELL_DEG) -> DataFrame:
+               window_days: int = DEFAULT_WINDOW_DAYS, cell_deg: float = DEFAULT_CELL_DEG,
+               bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
     """For each sample, the least cloudy scene whose footprint contains the
     point and whose acquisition time is in ``[date - w, date + w)``.
 
@@ -83,8 +86,8 @@ def best_scene(samples: DataFrame, scenes: DataFrame, key: str = "sample_id",
     acquired_at (timestamp), cloud_pct.
     """
     sk = _scene_keys(scenes.select("scene_id", "min_lon", "min_lat", "max_lon", "max_lat",
-                                   "acquired_at", "cloud_pct"), cell_deg, window_days)
-    smk = _sample_keys(samples.select(key, lon, lat, date), lon, lat, date, cell_deg, window_days)
+                                   "acquired_at", "cloud_pct"), cell_deg, bucket_days)
+    smk = _sample_keys(samples.select(key, lon, lat, date), lon, lat, date, cell_deg, window_days, bucket_days)
     start = F.col(date).cast("date").cast("timestamp_ntz")
     lo = F.date_sub(F.col(date).cast("date"), window_days).cast("timestamp_ntz")
     hi = F.date_add(F.col(date).cast("date"), window_days).cast("timestamp_ntz")

@@ -130,7 +130,8 @@ def q_joint_range(spark, sf):
 
 def q_coverage(spark, sf):
     from ..operators.scenes import best_scene
-    b = best_scene(SI.scene_samples(spark, sf), SI.scenes(spark, sf))
+    from .enrich import STANDIN_CELL_DEG
+    b = best_scene(SI.scene_samples(spark, sf), SI.scenes(spark, sf), cell_deg=STANDIN_CELL_DEG)
     return rounded(P.coverage(b, "scene_id"))
 
 
@@ -321,13 +322,15 @@ def q_harmonise_union(spark, sf):
 
 def q_best_scene(spark, sf):
     from ..operators.scenes import best_scene
-    b = best_scene(SI.scene_samples(spark, sf), SI.scenes(spark, sf))
+    from .enrich import STANDIN_CELL_DEG
+    b = best_scene(SI.scene_samples(spark, sf), SI.scenes(spark, sf), cell_deg=STANDIN_CELL_DEG)
     return rounded(b.select("sample_id", "scene_id", "cloud_pct", "image_date"))
 
 
 def q_cell_contains(spark, sf):
     from ..operators.scenes import containing_scenes
-    pairs = containing_scenes(SI.scene_samples(spark, sf), SI.scenes(spark, sf))
+    from .enrich import STANDIN_CELL_DEG
+    pairs = containing_scenes(SI.scene_samples(spark, sf), SI.scenes(spark, sf), cell_deg=STANDIN_CELL_DEG)
     return pairs.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_scenes"))
 
 

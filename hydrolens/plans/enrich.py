@@ -17,17 +17,19 @@ from ..operators.scenes import best_scene, scene_pixel_keys
 from . import standins as SI
 
 PIXEL_DEG = 0.12
+STANDIN_CELL_DEG = 0.06
 
 
 def enrich(samples: DataFrame, scenes: DataFrame, pixels: DataFrame, window_days: int = 30,
-           month_from: str = "image", res_deg: float = PIXEL_DEG, key: str = "sample_id") -> DataFrame:
+           month_from: str = "image", res_deg: float = PIXEL_DEG, key: str = "sample_id",
+           cell_deg: float = 0.25) -> DataFrame:
     """Attach the 15 enrichment columns and Month/Season to every sample.
 
     ``month_from``: 'image' (month of the image date) or 'sample' (month of
     the sample date); samples without an image keep NULL Month/Season when
     the month comes from the image.
     """
-    b = best_scene(samples, scenes, key=key, window_days=window_days)
+    b = best_scene(samples, scenes, key=key, window_days=window_days, cell_deg=cell_deg)
     b = scene_pixel_keys(b, res_deg=res_deg)
     j = b.join(pixels.select("scene_id", "px", "py", *BANDS), ["scene_id", "px", "py"], "left")
     j = j.withColumnRenamed("cloud_pct", "Cloud_Percentage").withColumnRenamed("image_date", "Image_Date")
@@ -53,4 +55,6 @@ def scene_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enrichment_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query on the benchmark tables."""
-    return enrich(SI.scene_samples(spark, sf_dir), SI.scenes(spark, sf_dir), scene_pixels(spark, sf_dir))
+    # stand-in footprints are 0.24° wide: cells of 0.06° (a quarter of that)
+    return enrich(SI.scene_samples(spark, sf_dir), SI.scenes(spark, sf_dir), scene_pixels(spark, sf_dir),
+                  cell_deg=STANDIN_CELL_DEG)

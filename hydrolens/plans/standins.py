@@ -109,20 +109,26 @@ def training_rows(spark, sf_dir) -> DataFrame:
 
 
 def scene_samples(spark, sf_dir) -> DataFrame:
-    """Sample points for scene matching: one per order at its station."""
+    """Sample points for scene matching: one per order at its customer's
+    station.  Stations sit on a 0.05° lattice, 40 columns wide, one row per
+    40 customers, so the area grows with the data and the density of
+    scenes per station stays realistic at every scale."""
     o = table(spark, sf_dir, "orders")
+    c = F.col("o_custkey")
     return o.select(F.col("o_orderkey").alias("sample_id"),
                     F.col("o_orderdate").cast("date").alias("sample_date"),
-                    (F.lit(-52.0) + (F.col("o_custkey") % 40).cast("double") * F.lit(0.05)).alias("longitude"),
-                    (F.lit(-19.0) + (F.col("o_custkey") % 30).cast("double") * F.lit(0.05)).alias("latitude"))
+                    (F.lit(-52.0) + (c % 40).cast("double") * F.lit(0.05)).alias("longitude"),
+                    (F.lit(-19.0) + F.floor(c / 40).cast("double") * F.lit(0.05)).alias("latitude"))
 
 
 def scenes(spark, sf_dir) -> DataFrame:
-    """Scene catalogue: footprint box, acquisition time, cloud %."""
+    """Scene catalogue: footprint box (0.24° square), acquisition time,
+    cloud %.  Centres cover the same lattice as the stations (ten orders
+    per customer, so ten scenes per lattice point over the whole period)."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     cx = F.lit(-52.0) + (k % 40).cast("double") * F.lit(0.05)
-    cy = F.lit(-19.0) + (k % 30).cast("double") * F.lit(0.05)
+    cy = F.lit(-19.0) + F.floor(k / 400).cast("double") * F.lit(0.05)
     h = F.lit(0.12)
     return o.select(k.alias("scene_id"), (cx - h).alias("min_lon"), (cy - h).alias("min_lat"),
                     (cx + h).alias("max_lon"), (cy + h).alias("max_lat"),
