@@ -358,13 +358,6 @@ def rff_columns(df: DataFrame, features, n_components: int = 100, gamma: float |
     return df.mapInPandas(project, out_schema), names
 
 
-def right_size(df: DataFrame, n_rows: int, rows_per_partition: int = 200_000) -> DataFrame:
-    """Fewer, fuller partitions for small training sets (iterative fitters
-    pay per-task overhead on every iteration); large sets keep theirs."""
-    want = max(1, math.ceil(n_rows / rows_per_partition))
-    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
-
-
 def huber_regression(label: str = "label", reg: float = 0.0, epsilon: float = 1.35):
     """Robust linear fit on the RFF features: the declared stand-in for the
     kernel SVR (MLlib has no kernel SVR)."""

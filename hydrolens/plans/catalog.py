@@ -471,17 +471,6 @@ def q_permutation_importance(spark, sf):
     return rounded(permutation_importance(m, train, feats))
 
 
-def q_rf_random_search(spark, sf):
-    from .train import random_search
-    train, _, feats = _tm_split(spark, sf)
-    _, _, results = random_search(train, feats, n_iter=30)
-    rows = [(i, str(d["n_estimators"]), str(d["max_depth"]), d["min_samples_split"], d["min_samples_leaf"],
-             str(d["max_features"]), bool(d["bootstrap"]), m, s) for i, (d, m, s) in enumerate(results)]
-    return spark.createDataFrame(rows, "draw int, n_estimators string, max_depth string, min_samples_split int, "
-                                       "min_samples_leaf int, max_features string, bootstrap boolean, "
-                                       "cv_mean double, cv_std double")
-
-
 def q_model_comparison(spark, sf):
     from .train import comparison_frame, train_models
     res = train_models(SI.training_rows(spark, sf), "turbidity", cloud_threshold=20)

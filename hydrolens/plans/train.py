@@ -63,7 +63,7 @@ def split_and_scale(df: DataFrame, feats, key: str = "sample_id", test_fraction:
     train = s.where(~F.col("is_test"))
     scaler = L.fit_scaler(train, feats)
     s = L.standardise(s, feats, scaler)
-    s = L.right_size(s, df.count()).persist(StorageLevel.MEMORY_AND_DISK)
+    s = s.persist(StorageLevel.MEMORY_AND_DISK)
     return s.where(~F.col("is_test")), s.where(F.col("is_test")), scaler
 
 
