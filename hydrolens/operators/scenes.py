@@ -66,7 +66,7 @@ def containing_scenes(samples: DataFrame, scenes: DataFrame, key: str = "sample_
     sc = scenes.withColumn("_cx", F.explode(F.sequence(_cell("min_lon", cell_deg), _cell("max_lon", cell_deg)))) \
                .withColumn("_cy", F.explode(F.sequence(_cell("min_lat", cell_deg), _cell("max_lat", cell_deg))))
     sm = samples.select(key, lon, lat).withColumn("_cx", _cell(lon, cell_deg)).withColumn("_cy", _cell(lat, cell_deg))
-    return (sm.join(sc, ["_cx", "_cy"], "inner").where(contains(lon, lat))
+    return (sm.hint("merge").join(sc, ["_cx", "_cy"], "inner").where(contains(lon, lat))
             .select(key, "scene_id"))
 
 
@@ -92,7 +92,9 @@ def best_scene(samples: DataFrame, scenes: DataFrame, key: str = "sample_id",
     lo = F.date_sub(F.col(date).cast("date"), window_days).cast("timestamp_ntz")
     hi = F.date_add(F.col(date).cast("date"), window_days).cast("timestamp_ntz")
     at = F.col("acquired_at").cast("timestamp_ntz")
-    cand = (smk.join(sk, ["_cx", "_cy", "_tb"], "inner")
+    # both sides grow with the data and the explodes hide their true size
+    # from the static estimate: shuffle both (sort-merge, AQE splits hot cells)
+    cand = (smk.hint("merge").join(sk, ["_cx", "_cy", "_tb"], "inner")
             .where(contains(lon, lat) & (at >= lo) & (at < hi))
             .withColumn("_dt", F.abs(_seconds_between(start, at))))
     # min_by keeps the partial/final aggregate; no sort of the candidates
