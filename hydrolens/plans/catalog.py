@@ -471,6 +471,13 @@ def q_permutation_importance(spark, sf):
     return rounded(permutation_importance(m, train, feats))
 
 
+def q_validation_assembly(spark, sf):
+    """Test rows with Actual, ML_Predicted (forest), Index_Based (calibrated) and the six bands."""
+    from .validate import validate
+    out, _, _ = validate(SI.training_rows(spark, sf), "Turbidez", "turbidity", with_ml=True)
+    return rounded(out)
+
+
 def q_model_comparison(spark, sf):
     from .train import comparison_frame, train_models
     res = train_models(SI.training_rows(spark, sf), "turbidity", cloud_threshold=20)

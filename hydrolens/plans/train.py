@@ -258,3 +258,19 @@ def random_search(train: DataFrame, feats, n_iter: int = 20, k: int = 5, key: st
     ok = [r for r in results if not math.isnan(r[1])]
     best = max(ok, key=lambda r: r[1]) if ok else (None, float("nan"), float("nan"))
     return best[0], best[1], results
+
+
+def train_all_targets(df: DataFrame, targets, **kwargs) -> tuple[list, list]:
+    """Run :func:`train_models` for each target; an error in one target is
+    recorded as a status row and the others go on.  Returns (metric rows,
+    status rows (target, step, error))."""
+    rows, status = [], []
+    for t in targets:
+        try:
+            res = train_models(df, t, **kwargs)
+            rows += res["rows"]
+            status.append((t, "train", None))
+        except Exception as e:  # noqa: BLE001 - failure isolation per target
+            log.exception("target %s failed", t)
+            status.append((t, "train", f"{type(e).__name__}: {e}"))
+    return rows, status
