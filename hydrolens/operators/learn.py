@@ -327,7 +327,7 @@ def gradient_boosting(label: str = "label"):
     """GBTRegressor: 100 stages, step 0.1, depth 3, squared loss."""
     from pyspark.ml.regression import GBTRegressor
     return GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, featureSubsetStrategy="all", seed=SEED,
-                        lossType="squared", labelCol=label, featuresCol="features")
+                        lossType="squared", checkpointInterval=10, labelCol=label, featuresCol="features")
 
 
 def rff_columns(df: DataFrame, features, n_components: int = 100, gamma: float | None = None,

@@ -22,6 +22,7 @@ from ..functions.spectral import FEATURE_COLUMNS
 from ..operators import learn as L
 from ..operators.clean import (drop_null_any, present_features, require_columns, threshold_filter)
 from ..operators.profile import iqr_keep
+from ..session import checkpoint_dir
 
 log = logging.getLogger(__name__)
 
@@ -72,6 +73,10 @@ def fit_predict(kind: str, train: DataFrame, test: DataFrame, feats, key: str =
                 fold_col: str | None = None, rf_params: dict | None = None):
     """Fit one model kind on ``train`` and predict ``test``.
     Returns (predictions(key, label, prediction), fitted model or coefficients)."""
+    if kind in ("RandomForest", "GradientBoosting"):
+        # iterative fitters checkpoint their node ids / residuals every 10
+        # iterations into the cluster's shared folder: lineage stays short
+        checkpoint_dir(train.sparkSession)
     if kind == "RandomForest":
         m = L.random_forest(**(rf_params or {})).fit(L.assemble(train, feats))
         return m.transform(L.assemble(test, feats)).select(key, "label", "prediction"), m
