@@ -46,9 +46,13 @@ def pivot_last_run(df: DataFrame, keys, order: str, parameter: str, value: str,
     keys = list(keys)
     p = previous_row(df, keys, [order])
     starts = (p.where(_key_changed(p, keys)).groupBy(*keys)
-              .agg(F.max(order).alias("_hl_last_start")))
-    last = (df.join(starts, keys, "inner")
-            .where(F.col(order) >= F.col("_hl_last_start")))
+              .agg(F.max(order).alias("_hl_last_start"))
+              .select(*[F.col(k).alias(f"_hl_k{i}") for i, k in enumerate(keys)], "_hl_last_start"))
+    # NULL is a key value like any other (null-safe equality)
+    cond = [df[k].eqNullSafe(starts[f"_hl_k{i}"]) for i, k in enumerate(keys)]
+    last = (df.join(starts, cond, "inner")
+            .where(F.col(order) >= F.col("_hl_last_start"))
+            .drop(*[f"_hl_k{i}" for i in range(len(keys))], "_hl_last_start"))
     aggs = []
     for prm in parameters:
         hit = F.col(parameter) == prm

@@ -15,7 +15,7 @@ SCHEMA = "ord long, point string, sample_date string, parameter string, result d
 
 def _statement(rows):
     out, cur, key = {}, None, None
-    for o, p, d, prm, val, unit in sorted(rows):
+    for o, p, d, prm, val, unit in sorted(rows, key=lambda r: r[0]):
         if (p, d) != key:
             if key is not None:
                 out[key] = cur
@@ -27,7 +27,7 @@ def _statement(rows):
     return out
 
 
-row = st.tuples(st.sampled_from(["A", "B", "C"]), st.sampled_from(["d1", "d2"]), st.sampled_from(["x", "y", "z"]),
+row = st.tuples(st.sampled_from(["A", "B", "C", None]), st.sampled_from(["d1", "d2"]), st.sampled_from(["x", "y", "z"]),
                 st.one_of(st.none(), st.floats(-5, 5, allow_nan=False)), st.one_of(st.none(), st.sampled_from(["u", "v"])))
 
 
