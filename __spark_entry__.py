@@ -7,12 +7,19 @@ stand-in input and the operator's semantics in plain SQL for DuckDB.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hydrolens.functions.geo import utm_inverse_steps
-from hydrolens.plans import catalog as Q
+# importable however this file is loaded (by path, from another working directory)
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
+from hydrolens.functions.geo import utm_inverse_steps  # noqa: E402
+from hydrolens.plans import catalog as Q  # noqa: E402
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
