@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import row_number
+from .ordered import row_number, uniform_hex_bounds
 from .quantiles import exact_quantiles
 
 SEED = 42
@@ -95,21 +95,29 @@ def hash_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int =
         return df.withColumn(out, u < test_fraction)
     n = df.count()
     n_test = math.ceil(Fraction(str(test_fraction)) * n)  # exact decimal, no float rounding
-    r = row_number(df.withColumn("_hl_h", h), ["_hl_h", key], "_hl_rn")
-    return r.withColumn(out, F.col("_hl_rn") <= n_test).drop("_hl_h", "_hl_rn")
+    r = _hash_rank(df.withColumn("_hl_h", h), key)
+    return r.withColumn(out, F.col("_hl_rn") <= n_test).drop("_hl_h", "_hl_hp", "_hl_rn")
+
+
+def _hash_rank(df: DataFrame, key: str) -> DataFrame:
+    """1-based rank in (md5, key) order.  Ranges are cut on the hash's first
+    15 hex digits, which are uniform: no sampling pass is needed."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.withColumn("_hl_hp", F.conv(F.substring("_hl_h", 1, 15), 16, 10).cast("long"))
+    return row_number(d, ["_hl_hp", "_hl_h", key], "_hl_rn", n=n, bounds=uniform_hex_bounds(n))
 
 
 def assign_folds(df: DataFrame, key: str, k: int = 5, seed: int = SEED, out: str = "fold") -> DataFrame:
     """k contiguous folds (sizes differ by at most one, larger first) over the
     md5 order -- the unshuffled K-fold of the train rows."""
     n = df.count()
-    r = row_number(df.withColumn("_hl_h", split_hash(key, seed)), ["_hl_h", key], "_hl_rn")
+    r = _hash_rank(df.withColumn("_hl_h", split_hash(key, seed)), key)
     q, rem = divmod(n, k)
     rn = F.col("_hl_rn")
     big = rem * (q + 1)
     fold = F.when(rn <= big, F.floor((rn - 1) / (q + 1))).otherwise(
         F.lit(rem) + F.floor((rn - big - 1) / F.lit(max(q, 1))))
-    return r.withColumn(out, fold.cast("int")).drop("_hl_h", "_hl_rn")
+    return r.withColumn(out, fold.cast("int")).drop("_hl_h", "_hl_hp", "_hl_rn")
 
 
 # ---------------------------------------------------------------- metrics

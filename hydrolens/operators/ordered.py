@@ -51,11 +51,13 @@ def range_bounds(df: DataFrame, col: str, n: int, sample_rows_per_range: int = 6
     return sorted(set(cuts))
 
 
-def with_range_id(df: DataFrame, col: str, n: int | None = None, out: str = _PID) -> DataFrame:
+def with_range_id(df: DataFrame, col: str, n: int | None = None, out: str = _PID,
+                  bounds: list | None = None) -> DataFrame:
     """Add ``out`` = index of the value range ``col`` falls in (monotone in
-    ``col``; NULL -> 0).  Deterministic: a function of the value only."""
+    ``col``; NULL -> 0).  Deterministic: a function of the value only.
+    ``bounds`` may be given when the distribution is known (e.g. a hash)."""
     n = _n_ranges(df, n)
-    bounds = range_bounds(df, col, n)
+    bounds = range_bounds(df, col, n) if bounds is None else bounds
     if not bounds:
         return df.withColumn(out, F.lit(0))
     if isinstance(df.schema[col].dataType, NumericType):
@@ -71,7 +73,7 @@ def with_range_id(df: DataFrame, col: str, n: int | None = None, out: str = _PID
 
 
 def running_sum(df: DataFrame, value, order_by, out: str, group_by=(), n: int | None = None,
-                inclusive: bool = True) -> DataFrame:
+                inclusive: bool = True, bounds: list | None = None) -> DataFrame:
     """Cumulative sum of ``value`` in ``order_by`` order (within ``group_by``).
 
     ``order_by`` must be a total order (names, ascending).  Rows of one range
@@ -82,7 +84,7 @@ def running_sum(df: DataFrame, value, order_by, out: str, group_by=(), n: int |
     group_by = list(group_by)
     order_by = list(order_by)
     v = F.col(value) if isinstance(value, str) else value
-    r = with_range_id(df.withColumn("_hl_v", v), order_by[0], n)
+    r = with_range_id(df.withColumn("_hl_v", v), order_by[0], n, bounds=bounds)
     frame = Window.partitionBy(_PID, *group_by).orderBy(*_cols(order_by))
     frame = frame.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = r.withColumn("_hl_local", F.coalesce(F.sum("_hl_v").over(frame), F.lit(0)))
@@ -98,9 +100,18 @@ def running_sum(df: DataFrame, value, order_by, out: str, group_by=(), n: int |
             .drop("_hl_v", "_hl_local", "_hl_off", _PID))
 
 
-def row_number(df: DataFrame, order_by, out: str = "rn", group_by=(), n: int | None = None) -> DataFrame:
+def row_number(df: DataFrame, order_by, out: str = "rn", group_by=(), n: int | None = None,
+               bounds: list | None = None) -> DataFrame:
     """1-based row number in ``order_by`` order (within ``group_by``), distributed."""
-    return running_sum(df, F.lit(1).cast("long"), order_by, out, group_by, n)
+    return running_sum(df, F.lit(1).cast("long"), order_by, out, group_by, n, bounds=bounds)
+
+
+def uniform_hex_bounds(n: int, digits: int = 15) -> list[int]:
+    """Range bounds for the numeric value of a hash's first ``digits`` hex
+    digits: a good hash is uniform, so equal-width cuts balance the ranges
+    without reading any data."""
+    top = 16 ** digits
+    return [i * top // n for i in range(1, n)]
 
 
 def previous_row(df: DataFrame, cols, order_by, suffix: str = "_prev", n: int | None = None) -> DataFrame:

@@ -60,7 +60,13 @@ def exact_quantiles(df: DataFrame, value: str, probs, group_by=(), names=None,
                  F.when(small, F.col("_mn")).otherwise(F.col("_sk")[i]).alias(f"_lo{i}"),
                  F.when(small, F.col("_mx")).otherwise(F.col("_sk")[m + i]).alias(f"_hi{i}")]
     st = st.select(*cols).cache()
-    largest = st.agg(F.max("_n")).first()[0] or 0
+    if group_by:
+        largest = st.agg(F.max("_n")).first()[0] or 0
+    else:  # one row of fitted scalars: keep it as a local relation
+        row = st.first()
+        st.unpersist()
+        st = df.sparkSession.createDataFrame([tuple(row)], st.schema)
+        largest = row["_n"] or 0
     # every group fits one task: the bracket is the whole group, no counting pass needed
     rounds = 0 if largest <= small_group else max_rounds
     if rounds == 0:
@@ -138,12 +144,16 @@ def exact_quantiles(df: DataFrame, value: str, probs, group_by=(), names=None,
     q = (F.when(F.col("vk1").isNull() | (F.col("f") == 0), F.col("vk"))
          .otherwise(F.col("vk") + F.col("f") * (F.col("vk1") - F.col("vk"))))
     out = [F.max(F.when(F.col("i") == i, q)).alias(nm) for i, nm in enumerate(names)]
-    if group_by:
-        wide = picked.groupBy(*group_by).agg(*out)
-        groups = df.select(*group_by).distinct()
-        res = groups.join(wide, group_by, "left")
-    else:
-        res = picked.agg(*out)  # a global aggregate always yields exactly one row
+    if not group_by:
+        # a global aggregate yields exactly one row: fetch it, release the inputs
+        row = picked.agg(*out).first()
+        base.unpersist()
+        st.unpersist()
+        schema = ", ".join(f"`{nm}` double" for nm in names)
+        return df.sparkSession.createDataFrame([tuple(row)], schema)
+    wide = picked.groupBy(*group_by).agg(*out)
+    groups = df.select(*group_by).distinct()
+    res = groups.join(wide, group_by, "left")
     # materialise the (one row per group) result, then release the inputs
     res = res.persist(StorageLevel.MEMORY_AND_DISK)
     res.count()
