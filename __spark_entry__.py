@@ -180,6 +180,19 @@ def _missing_sql() -> str:
             f"round(round_even(CAST(missing AS DOUBLE) * 100e0 / n, 2), 6) AS pct_missing FROM u")
 
 
+def _missing_log_sql() -> str:
+    feats = ["B2", "B3", "B4", "B5", "B8", "B11", "NDCI", "NDVI", "FAI", "MNDWI", "B3_B2_ratio",
+             "B4_B3_ratio", "B5_B4_ratio", "Month", "Season"]
+    ints = {"Month", "Season"}
+    parts = []
+    for i, c in enumerate(feats):
+        cond = f"{c} IS NULL" if c in ints else f"{c} IS NULL OR isnan({c})"
+        parts.append(f"SELECT '{c}' AS \"column\", {i} AS pos, count(*) FILTER (WHERE {cond}) AS missing, "
+                     f"count(*) AS n FROM train")
+    return (f"WITH {TRAIN}, u AS ({' UNION ALL '.join(parts)}) SELECT \"column\", pos, missing, "
+            "round(round_even(CAST(missing AS DOUBLE) * 100e0 / n, 1), 6) AS pct_missing FROM u WHERE missing > 0")
+
+
 def _funnel_sql() -> str:
     return f"""WITH {SAMPLES},
 pre AS (SELECT * FROM samples WHERE cloud_pct <= 20 AND turbidity IS NOT NULL),
@@ -241,6 +254,7 @@ def oracle_sql() -> dict[str, str]:
                                   for p in (0.1, 0.25, 0.5, 0.75, 0.9))
                       + " FROM samples GROUP BY point")
     s["missing_profile"] = _missing_sql()
+    s["missing_log"] = _missing_log_sql()
     s["target_summary"] = (f"WITH {SAMPLES} SELECT round(min(turbidity), 6) AS min, round(max(turbidity), 6) AS max, "
                            "round(avg(turbidity), 6) AS mean, round(quantile_cont(turbidity, 0.5), 6) AS median "
                            "FROM samples")

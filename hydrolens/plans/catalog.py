@@ -88,6 +88,13 @@ def q_missing_profile(spark, sf):
     return rounded(P.missing_profile(SI.samples(spark, sf)))
 
 
+def q_missing_log(spark, sf):
+    """Per-feature missing log of the training features: only features with
+    gaps, share in % with one decimal."""
+    t = SI.training_rows(spark, sf).select(*S.FEATURE_COLUMNS)
+    return rounded(P.missing_profile(t, scale=1, only_missing=True))
+
+
 def q_target_summary(spark, sf):
     return rounded(P.target_summary(SI.samples(spark, sf), "turbidity"))
 
