@@ -124,3 +124,31 @@ def test_validation_metrics_and_calibrated_index(spark, kind, golden, metrics, p
     cal = df.select(calibrated(raw_estimator(param), F.lit(slope), F.lit(intercept)).alias("c"), "index").toPandas()
     assert np.allclose(cal["c"], cal["index"], rtol=1e-9, atol=1e-9)
     assert normalized_difference is not None
+
+
+PARAMS = ["Clorofila a", "Transparência da Água", "Sólidos Dissolvidos", "Sólidos Dissolvidos Totais",
+          "Sólidos Sedimentáveis", "Sólidos Suspensos Totais", "Sólidos Totais", "Turbidez"]
+
+
+def test_prepare_field_data_end_to_end(spark):
+    """Long measurements -> last-run pivot -> project -> UTM + overrides ->
+    lookup reproduces the stored located samples."""
+    from hydrolens.plans.prepare import prepare_field_data
+    wide = pd.read_csv(fixture_path("wide_samples.csv"))
+    long = []
+    for i, r in wide.iterrows():
+        for j, p in enumerate(PARAMS):  # empty results stay as rows with NULL, as in a long file
+            long.append((i * 100 + j, r["PONTO"], r["DATA"], p, None if pd.isna(r[p]) else float(r[p]), None))
+    ldf = spark.createDataFrame(long, "ord long, point string, sample_date string, parameter string, "
+                                      "result double, unit string")
+    st = read_csv(spark, fixture_path("stations_utm.csv"), "point string, X int, Y int, description string")
+    fixes = spark.createDataFrame(_overrides(), "point string, latitude double, longitude double")
+    out = prepare_field_data(ldf, st, fixes, PARAMS, PARAMS).toPandas()
+    want = pd.read_csv(fixture_path("wide_samples_located.csv"))
+    assert len(out) == len(want) == 267
+    got = out.set_index(["point", "sample_date"]).sort_index()
+    exp = want.set_index(["PONTO", "DATA"]).sort_index()
+    for p in PARAMS:
+        assert np.allclose(got[p].to_numpy(dtype=float), exp[p].to_numpy(dtype=float), equal_nan=True), p
+    assert np.allclose(got["latitude"].to_numpy(), exp["Latitude"].to_numpy(), atol=1e-8)
+    assert np.allclose(got["longitude"].to_numpy(), exp["Longitude"].to_numpy(), atol=1e-8)
