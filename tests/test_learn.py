@@ -98,3 +98,20 @@ def test_tuning_job_small(spark):
     df = with_spectral_indices(df.withColumn("Image_Date", F.current_date()))
     res = tune.optimise_forest(df, "turbidity", n_iter=2, k=2)
     assert 5 <= len(res["selected_features"]) <= 19 and res["r2"] is not None
+
+
+def test_failure_isolation_per_target(spark):
+    from hydrolens.functions.spectral import with_spectral_indices
+    from hydrolens.plans import train as TR
+    rng = np.random.default_rng(2)
+    data = []
+    for i in range(200):
+        b = rng.uniform(100, 900, 6)
+        data.append((i, 5.0, float(b[0] / 100 + rng.normal()), *map(float, b), 3, 2))
+    df = spark.createDataFrame(data, "sample_id long, Cloud_Percentage double, turbidity double, B2 double, "
+                                     "B3 double, B4 double, B5 double, B8 double, B11 double, Month int, Season int")
+    df = with_spectral_indices(df.withColumn("Image_Date", F.current_date()))
+    rows, status = TR.train_all_targets(df, ["turbidity", "clorofila"], models=["Ridge"], with_cv=False)
+    st = {t: err for t, _, err in status}
+    assert st["turbidity"] is None and "clorofila" in st and st["clorofila"]
+    assert [r[1] for r in rows] == ["Ridge"] and rows[0][4] is not None
