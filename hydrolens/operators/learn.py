@@ -34,8 +34,7 @@ def category_codes(df: DataFrame, column: str, out: str | None = None) -> DataFr
     # one row per category: the ranking window is bounded by the category count
     codes = cats.withColumn("_hl_code", (F.dense_rank().over(Window.orderBy(column)) - 1).cast("int"))
     j = df.join(codes, column, "left")
-    j = j.withColumn(out, F.coalesce(F.col("_hl_code"), F.lit(-1)))
-    return j.drop("_hl_code") if out != column else j.drop("_hl_code")
+    return j.withColumn(out, F.coalesce(F.col("_hl_code"), F.lit(-1))).drop("_hl_code")
 
 
 def fit_medians(df: DataFrame, features) -> dict[str, float | None]:

@@ -48,14 +48,15 @@ def cumulative_cut(df: DataFrame, value: str, order_by, group_by=(), threshold:
     """Keep rows whose cumulative share is <= ``threshold`` (the row that
     crosses is excluded; the test is row-wise, so negative values can make
     later rows qualify again).  If fewer than ``min_keep`` rows qualify, the
-    first ``min_keep`` rows in order are kept instead."""
+    first ``min_keep`` rows in order are kept instead.  Adds ``cumulative``
+    and the 1-based ``position`` in order."""
     group_by = list(group_by)
     c = cumulative_share(df, value, order_by, group_by)
     w = Window.partitionBy(*group_by).orderBy(*order_by)
-    c = c.withColumn("_hl_pos", F.row_number().over(w))
+    c = c.withColumn("position", F.row_number().over(w).cast("long"))
     sel = F.coalesce(F.col("cumulative") <= threshold, F.lit(False))
     c = c.withColumn("_hl_nsel", F.sum(sel.cast("int")).over(Window.partitionBy(*group_by)))
-    keep = F.when(F.col("_hl_nsel") < min_keep, F.col("_hl_pos") <= min_keep).otherwise(sel)
+    keep = F.when(F.col("_hl_nsel") < min_keep, F.col("position") <= min_keep).otherwise(sel)
     return c.where(keep).drop("_hl_nsel")
 
 

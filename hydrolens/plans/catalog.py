@@ -197,7 +197,7 @@ def q_cumulative_share(spark, sf):
 def q_cumulative_cut(spark, sf):
     c = R.cumulative_cut(SI.importances(spark, sf), "importance",
                          [F.col("importance").desc(), F.col("feature")], ["model"])
-    return rounded(c.withColumn("_hl_pos", F.col("_hl_pos").cast("long")).withColumnRenamed("_hl_pos", "position"))
+    return rounded(c)
 
 
 def q_best_model(spark, sf):

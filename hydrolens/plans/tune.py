@@ -23,7 +23,7 @@ def select_by_importance(importance: DataFrame, threshold: float = 0.95, min_kee
     The list has one entry per feature (bounded), so it may be collected."""
     kept = cumulative_cut(importance, "importance_mean",
                           [F.col("importance_mean").desc(), F.col("feature")], [], threshold, min_keep)
-    return [r["feature"] for r in kept.orderBy("_hl_pos").select("feature").collect()]
+    return [r["feature"] for r in kept.orderBy("position").select("feature").collect()]
 
 
 def optimise_forest(df: DataFrame, target: str, cloud_threshold: float = 20, n_iter: int = 20, k: int = 5,
