@@ -246,6 +246,11 @@ def oracle_sql() -> dict[str, str]:
     s["iqr_outliers"] = (f"WITH f AS ({_iqr('events', 'value')}) SELECT event_id, event_type, round(value, 6) AS value "
                          "FROM events, f WHERE value < f.lo OR value > f.hi")
     s["row_funnel"] = _funnel_sql()
+    s["boxplot_fliers"] = """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+           FROM events GROUP BY event_type),
+f AS (SELECT event_type, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT e.event_id, e.event_type, round(e.value, 6) AS value
+FROM events e JOIN f USING (event_type) WHERE e.value < f.lo OR e.value > f.hi"""
     # -- aggregations
     s["group_mean_count"] = (f"WITH {SAMPLES} SELECT point, round(round_even(avg(turbidity), 3), 6) AS mean, "
                              "count(turbidity) AS n_samples FROM samples WHERE point IS NOT NULL GROUP BY point")

@@ -63,6 +63,11 @@ def q_iqr_outliers(spark, sf):
     return rounded(P.iqr_outliers(_events_values(spark, sf), "value"))
 
 
+def q_boxplot_fliers(spark, sf):
+    """Fliers of the per-group boxplots as rows (outside the group's own fences)."""
+    return rounded(P.iqr_outliers(_events_values(spark, sf), "value", ["event_type"]))
+
+
 def q_row_funnel(spark, sf):
     s = SI.samples(spark, sf)
     pre = C.drop_null_any(C.threshold_filter(s, "cloud_pct", 20), ["turbidity"])
