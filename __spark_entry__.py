@@ -320,9 +320,9 @@ SELECT model, feature, round(importance, 6) AS importance, round(cumulative, 6)
 WHERE CASE WHEN nsel < 5 THEN position <= 5 ELSE coalesce(cumulative <= 0.95, false) END"""
     s["best_model"] = (f"WITH {METRICS} SELECT 'value' AS target, arg_max(model, r2) AS best_model, "
                        "round(max(r2), 6) AS best_r2 FROM mm")
-    s["sorted_pairs"] = (f"WITH {PRED} SELECT model, sample_id, {_r('actual', 'predicted')}, "
-                         "CAST(row_number() OVER (PARTITION BY model ORDER BY actual, sample_id) AS BIGINT) AS position "
-                         "FROM pred")
+    s["sorted_pairs"] = (f"WITH {PRED}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY model "
+                         "ORDER BY actual, sample_id) AS BIGINT) AS position FROM pred) "
+                         f"SELECT model, sample_id, {_r('actual', 'predicted')}, position, position - 1 AS index FROM r")
     # -- scalar functions
     s["spectral_indices"] = (f"WITH {TRAIN} SELECT sample_id, "
                              + _r("B2", "B3", "B4", "B5", "B8", "B11", "NDCI", "NDVI", "FAI", "MNDWI",

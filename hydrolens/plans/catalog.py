@@ -212,7 +212,7 @@ def q_best_model(spark, sf):
 
 def q_sorted_pairs(spark, sf):
     s = R.sorted_pairs(SI.predictions(spark, sf), "actual", "sample_id", ["model"])
-    return rounded(s)
+    return rounded(s.withColumn("index", F.col("position") - 1))  # 0-based plot x axis
 
 
 # ---------------------------------------------------------------- scalar functions
