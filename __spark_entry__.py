@@ -21,6 +21,14 @@ if _HERE not in sys.path:
 from hydrolens.functions.geo import utm_inverse_steps  # noqa: E402
 from hydrolens.plans import catalog as Q  # noqa: E402
 
+LLM = PIPELINE = None  # the training-text operators are optional
+try:
+    from hydrolens.llm import queries as LLM  # noqa: E402
+    import corpus_pipeline as PIPELINE  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("hydrolens.llm", "corpus_pipeline"):
+        raise
+
 SF_SMOKE = "/root/testdata/sf0.001"
 
 
@@ -32,7 +40,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name[2:]: fn for name, fn in vars(Q).items() if name.startswith("q_") and callable(fn)}
+    found = {name[2:]: fn for name, fn in vars(Q).items() if name.startswith("q_") and callable(fn)}
+    if LLM is not None:
+        found |= LLM.QUERIES
+    if PIPELINE is not None:
+        found["pipeline"] = PIPELINE.run
+    return found
 
 
 # ---------------------------------------------------------------------------------------------
@@ -360,6 +373,8 @@ SELECT sample_id, image_date, strftime(image_date, '%Y-%m-%d') AS image_date_tex
 SELECT sample_id, parameter, CASE parameter WHEN 'Clorofila a' THEN 'μg/L' WHEN 'Turbidez' THEN 'NTU'
        WHEN 'Transparência da Água' THEN 'm' WHEN 'Sólidos Dissolvidos Totais' THEN 'mg/L' END AS unit FROM params"""
     _oracle_batch2(s)
+    if LLM is not None:
+        s |= {name: sql() for name, sql in LLM.ORACLES.items()}
     return s
 
 
