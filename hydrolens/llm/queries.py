@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op7_decontaminate, op7_sql
 from .host_quality import op3_host_quality, op3_sql
+from .sharding import op5_sharding
 from .simhash import op10_simhash
 from .token_store import op1_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op3_host_quality": op3_host_quality,
+    "op5_sharding": op5_sharding,
     "op7_decontaminate": op7_decontaminate,
     "op10_simhash": op10_simhash,
 }
