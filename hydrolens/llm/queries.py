@@ -10,6 +10,7 @@ from .decontaminate import op7_decontaminate, op7_sql
 from .host_quality import op3_host_quality, op3_sql
 from .sharding import op5_sharding
 from .simhash import op10_simhash
+from .suffix_dedup import op9_suffix_dedup
 from .token_store import op1_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_host_quality": op3_host_quality,
     "op5_sharding": op5_sharding,
     "op7_decontaminate": op7_decontaminate,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
 }
 
