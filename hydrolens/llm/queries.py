@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op7_decontaminate, op7_sql
 from .host_quality import op3_host_quality, op3_sql
+from .mixing import op2_mixing
 from .sharding import op5_sharding
 from .simhash import op10_simhash
 from .suffix_dedup import op9_suffix_dedup
@@ -15,6 +16,7 @@ from .token_store import op1_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_mixing": op2_mixing,
     "op3_host_quality": op3_host_quality,
     "op5_sharding": op5_sharding,
     "op7_decontaminate": op7_decontaminate,
