@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op7_decontaminate, op7_sql
 from .host_quality import op3_host_quality, op3_sql
+from .language_id import op8_language_id
 from .mixing import op2_mixing
 from .sharding import op5_sharding
 from .simhash import op10_simhash
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_host_quality": op3_host_quality,
     "op5_sharding": op5_sharding,
     "op7_decontaminate": op7_decontaminate,
+    "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
 }
