@@ -14,11 +14,13 @@ from .sharding import op5_sharding
 from .simhash import op10_simhash
 from .suffix_dedup import op9_suffix_dedup
 from .token_store import op1_token_store
+from .url_lists import op4_sql, op4_url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_mixing": op2_mixing,
     "op3_host_quality": op3_host_quality,
+    "op4_url_lists": op4_url_lists,
     "op5_sharding": op5_sharding,
     "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
@@ -29,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Where SQL can't express a query, tests hold it against brute force.
 ORACLES: dict[str, Callable[[], str]] = {
     "op3_host_quality": op3_sql,
+    "op4_url_lists": op4_sql,
     "op7_decontaminate": op7_sql,
 }
