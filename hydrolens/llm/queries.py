@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op7_decontaminate, op7_sql
 from .host_quality import op3_host_quality, op3_sql
 from .language_id import op8_language_id
+from .licences import op6_licences
 from .mixing import op2_mixing
 from .sharding import op5_sharding
 from .simhash import op10_simhash
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_host_quality": op3_host_quality,
     "op4_url_lists": op4_url_lists,
     "op5_sharding": op5_sharding,
+    "op6_licences": op6_licences,
     "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
