@@ -11,7 +11,7 @@ is confirmed when it holds most 3-word windows of one of the family's templates.
 
 DataFrame functions and Spark ML only.  A paragraph without a distinctive word
 has no feature and so the model's answer for the empty vector, ``unknown``;
-one expression over the text finds the others, so only they are taken apart.
+a look-up of the words' probes finds the others, so only they are taken apart.
 
 Defined results: a null text has no paragraphs; rows that repeat a doc_id are
 scanned one by one; extra columns are carried untouched by ``scan``; an empty
@@ -112,13 +112,16 @@ def _variants(text: str) -> list[str]:
 
 
 class LicenceModel:
-    """Vocabulary, regression, threshold and the expression that finds the
-    paragraphs with a feature."""
+    """Vocabulary, regression, threshold and the probes: a text with a feature
+    holds one of them as a run of letters and digits."""
 
     def __init__(self, vocabulary: list[str], families: list[str], model: LogisticRegressionModel,
-                 threshold: float, pattern: str):
+                 threshold: float, probes: list[str]):
         self.vocabulary, self.families, self.model = vocabulary, families, model
-        self.threshold, self.pattern = threshold, pattern
+        self.threshold, self.probes = threshold, probes
+
+    def may_match(self, text: Column) -> Column:
+        return F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), F.array(*map(F.lit, self.probes)))
 
     def classify(self, rows: DataFrame) -> DataFrame:
         """``rows`` (paragraph) with family, probability and confirmed."""
@@ -197,15 +200,15 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LicenceModel:
     p = _probabilities(background.where(kept_out), vocabulary, fitted).select(
         F.array_max(F.slice("_p", 1, len(families) - 1)).alias("p"))
     top = p.agg(F.percentile_approx("p", 1 - MAX_FALSE, 10000)).first()[0]
-    pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in sorted(rare, key=len, reverse=True)) + r")(?![a-z0-9])"
-    return LicenceModel(vocabulary, families, fitted, max(0.5, min(0.99, top or 0.0)), pattern)
+    probes = sorted({max(re.findall("[a-z0-9]+", w), key=len) for w in rare})
+    return LicenceModel(vocabulary, families, fitted, max(0.5, min(0.99, top or 0.0)), probes)
 
 
 def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """Believed paragraphs of ``docs`` (text and more): ``doc``, paragraph,
     family, probability, confirmed."""
-    rows = packed(docs, "text").where(F.col("text").rlike(model.pattern))
-    rows = paragraphs(rows).where(F.col("paragraph").rlike(model.pattern))
+    rows = packed(docs, "text").where(model.may_match(F.col("text")))
+    rows = paragraphs(rows).where(model.may_match(F.col("paragraph")))
     return model.classify(rows).where(F.col("family") != UNKNOWN)
 
 
