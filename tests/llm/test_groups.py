@@ -72,13 +72,13 @@ def test_suffix_dedup_odd(odd, empty):
 
 def test_order_is_the_sorted_suffixes():
     rng = random.Random(3)
-    strings = list({bytes(rng.choices(b"abc", k=rng.randint(5, 30))) for _ in range(200)})
+    strings = list({bytes(rng.choices(b"abc", k=rng.randint(6, 30))) for _ in range(200)})
     least = np.arange(len(strings))[::-1] * 10
     files = X.ColumnFiles("file:///nowhere")
-    got, begin = X.least_holders(strings, least, files, match=5)
+    got, begin = X.least_holders(strings, least, files, match=6)
     for i, s in enumerate(strings):
-        for o in range(len(s) - 4):
-            assert got[begin[i] + o] == min(least[j] for j, t in enumerate(strings) if s[o:o + 5] in t)
+        for o in range(len(s) - 5):
+            assert got[begin[i] + o] == min(least[j] for j, t in enumerate(strings) if s[o:o + 6] in t)
 
 
 def test_sharding(spark, odd, empty):
