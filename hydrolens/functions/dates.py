@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The two day-first / ISO layouts the field sources use.
-DATE_FORMATS = ("dd/MM/yyyy", "yyyy-MM-dd")
+# The two day-first / ISO layouts the field sources use (one or
+# two digits for day and month).
+DATE_FORMATS = ("d/M/yyyy", "yyyy-M-d")
 
 
 def _c(c) -> Column:
@@ -20,8 +21,9 @@ def parse_date_multi(c, formats=DATE_FORMATS) -> Column:
     really gets its chance (the sequential fill in the field scripts only saw
     NULLs on its second attempt; here the evident intent is implemented).
     """
-    c = _c(c)
-    return F.coalesce(*[F.try_to_date(F.trim(c), f) for f in formats])
+    # a time of day after the date is left out
+    c = F.regexp_replace(F.trim(_c(c)), r"[ T][0-9]{1,2}:[0-9]{2}.*$", "")
+    return F.coalesce(*[F.try_to_date(c, f) for f in formats])
 
 
 def month_of(c) -> Column:

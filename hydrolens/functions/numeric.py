@@ -12,8 +12,10 @@ def _c(c) -> Column:
 
 def to_double_lenient(c) -> Column:
     """Text -> DOUBLE: trims, accepts a decimal comma ('2,14'), zero padding
-    ('0004.46'); anything else -> NULL (never raises under ANSI mode)."""
-    return F.regexp_replace(F.trim(_c(c).cast("string")), ",", ".").try_cast("double")
+    ('0004.46'); anything else -> NULL (never raises under ANSI mode): no
+    type suffixes, no NaN or Infinity in words."""
+    t = F.replace(F.trim(_c(c).cast("string")), F.lit(","), F.lit("."))
+    return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
 
 
 def nan_to_null(c) -> Column:

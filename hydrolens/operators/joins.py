@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date_multi
 from ..functions.numeric import to_double_lenient
+from .keys import join_on_keys
 
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after checking the size: at most ``max_rows + 1``
-    rows are read for the check.  Larger sides are left to the planner
-    (shuffle join; AQE may still convert at run time)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def _one_per_key(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """``df`` when no key repeats; an error otherwise (rows would multiply)."""
+    again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1)
+    if again:
+        raise ValueError(f"{what}: key {again[0][:-1]} repeats; give `order` so that its last row wins")
+    return df
 
 
 def last_wins(df: DataFrame, key, order: str) -> DataFrame:
@@ -27,19 +25,21 @@ def last_wins(df: DataFrame, key, order: str) -> DataFrame:
             .select(*keys, "_hl_r.*"))
 
 
-def lookup_left(df: DataFrame, lookup: DataFrame, key, order: str | None = None,
-                max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Left equi lookup: unmatched rows keep NULL attributes; a repeated
-    lookup key resolves to its last row by ``order`` (when given)."""
-    if order is not None:
-        lookup = last_wins(lookup, key, order).drop(order)
-    return df.join(broadcast_if_small(lookup, max_broadcast_rows), key, "left")
+def lookup_left(df: DataFrame, lookup: DataFrame, key, order: str | None = None) -> DataFrame:
+    """Left equi lookup: unmatched rows keep NULL attributes.  A repeated
+    lookup key resolves to its last row by ``order``; without ``order`` it is
+    an error.  The planner broadcasts by the lookup's size in bytes."""
+    keys = [key] if isinstance(key, str) else list(key)
+    lookup = last_wins(lookup, key, order).drop(order) if order is not None else _one_per_key(lookup, keys, "lookup_left")
+    return df.join(lookup, key, "left")
 
 
-def override(df: DataFrame, fixes: DataFrame, key: str, columns) -> DataFrame:
-    """Upsert corrected values: ``coalesce(fix.c, df.c)`` per column."""
+def override(df: DataFrame, fixes: DataFrame, key: str, columns, order: str | None = None) -> DataFrame:
+    """Upsert corrected values: ``coalesce(fix.c, df.c)`` per column; repeated
+    fixes as in :func:`lookup_left`."""
+    fixes = last_wins(fixes, key, order) if order is not None else _one_per_key(fixes, [key], "override")
     f = fixes.select(key, *[F.col(c).alias(f"_fix_{c}") for c in columns])
-    j = df.join(broadcast_if_small(f), key, "left")
+    j = df.join(f, key, "left")
     return j.select(*[F.coalesce(F.col(f"_fix_{c}"), F.col(c)).alias(c) if c in columns else F.col(c)
                       for c in df.columns])
 
@@ -54,7 +54,7 @@ def latest_per_group(df: DataFrame, group_by, time_col: str) -> DataFrame:
     """Rows carrying the newest ``time_col`` of their group (all ties kept)."""
     group_by = list(group_by)
     newest = df.groupBy(*group_by).agg(F.max(time_col).alias("_hl_newest"))
-    return (df.join(newest, group_by, "inner").where(F.col(time_col) == F.col("_hl_newest"))
+    return (join_on_keys(df, newest, group_by).where(F.col(time_col).eqNullSafe(F.col("_hl_newest")))
             .drop("_hl_newest"))
 
 
@@ -67,14 +67,25 @@ HARMONISE_ALIASES = {
     "turbidity": ["Turbidez", "turbidez", "turbidity"],
     "chlorophyll": ["Clorofila_a", "Clorofila_a_(µg_l)", "clorofila", "Clorofila", "chlorophyll"],
 }
+# Columns of the long source and how its parameters begin.
+LONG_PARAMETER, LONG_RESULT = ("paramet", "parametro", "parameter"), ("result", "resultado")
+LONG_NAMES = {"turbidity": "turbid", "chlorophyll": "clorofila|chlorophyll"}
 HARMONISED_TYPES = {"point": "string", "date": "date", "latitude": "double", "longitude": "double",
                     "turbidity": "double", "chlorophyll": "double"}
 
 
 def harmonise(df: DataFrame, source: str, aliases=None) -> DataFrame:
     """Rename a source's columns to the harmonised names and types: text
-    dates in either layout, numbers with decimal commas, absent -> NULL."""
+    dates in either layout, numbers with decimal commas, absent -> NULL.  A
+    long source (parameter and result columns) keeps one row per measurement,
+    its result in the column of its parameter."""
     aliases = aliases or HARMONISE_ALIASES
+    parameter = next((c for c in LONG_PARAMETER if c in df.columns), None)
+    result = next((c for c in LONG_RESULT if c in df.columns), None)
+    if parameter and result:
+        for name, begin in LONG_NAMES.items():
+            if not any(a in df.columns for a in aliases[name]):
+                df = df.withColumn(name, F.when(F.lower(F.trim(F.col(parameter))).rlike(f"^({begin})"), F.col(result)))
     cols = []
     for name, typ in HARMONISED_TYPES.items():
         src = next((a for a in aliases[name] if a in df.columns), None)

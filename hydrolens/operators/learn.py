@@ -10,13 +10,14 @@ then a p×p solve on those statistics (p = number of features), so a 100-alpha
 from __future__ import annotations
 
 import math
+import warnings
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import row_number, uniform_hex_bounds
+from .ordered import row_number
 from .quantiles import exact_quantiles
 
 SEED = 42
@@ -31,8 +32,7 @@ def category_codes(df: DataFrame, column: str, out: str | None = None) -> DataFr
     if dict(df.dtypes)[column] != "string":
         return df if out == column else df.withColumn(out, F.col(column))
     cats = df.select(column).where(F.col(column).isNotNull()).distinct()
-    # one row per category: the ranking window is bounded by the category count
-    codes = cats.withColumn("_hl_code", (F.dense_rank().over(Window.orderBy(column)) - 1).cast("int"))
+    codes = row_number(cats, [column], "_hl_code").withColumn("_hl_code", (F.col("_hl_code") - 1).cast("int"))
     j = df.join(codes, column, "left")
     return j.withColumn(out, F.coalesce(F.col("_hl_code"), F.lit(-1))).drop("_hl_code")
 
@@ -83,40 +83,89 @@ def split_hash(key: str, seed: int = SEED):
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
 
 
+#: rows of the last bucket that the search for a cut point reads
+_CUT_ROWS = 5000
+
+
+def hash_cuts(df: DataFrame, key: str, ranks, seed: int = SEED) -> tuple[int, dict[int, str]]:
+    """(number of rows, {rank: hash of the row with this 1-based rank}) in md5
+    order.  No row is moved or ranked: counts per hash prefix say which prefix
+    holds the rank; it is refined until few rows share it, and only those are
+    read.  Rows that share a key share its hash and are never cut apart.
+    ``ranks`` may be a function of the number of rows."""
+    h = F.coalesce(split_hash(key, seed), F.lit(""))
+    rows = df.select(h.alias("h"))
+    cuts: dict[int, str] = {}
+    todo, back = {}, {}  # prefix -> ranks wanted among the rows that have it
+    width, total = 0, None
+    while todo or total is None:
+        width += 3
+        inside = rows.where(F.substring("h", 1, width - 3).isin(list(todo))) if width > 3 else rows
+        got = sorted((r["p"], r["n"]) for r in
+                     inside.groupBy(F.substring("h", 1, width).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+        if total is None:
+            total = sum(n for _, n in got)
+            wanted = [r for r in (ranks(total) if callable(ranks) else ranks) if 0 < r <= total]
+            todo, back = {"": wanted}, {("", r): r for r in wanted}
+        small, deeper, names = {}, {}, {}
+        for prefix, wanted in todo.items():
+            for r in wanted:
+                at = 0
+                for p, n in got:
+                    if not p.startswith(prefix):
+                        continue
+                    if at < r <= at + n:
+                        side = small if n <= _CUT_ROWS or width >= 30 else deeper
+                        side.setdefault(p, []).append(r - at)
+                        names[p, r - at] = back[prefix, r]
+                        break
+                    at += n
+        if small:
+            read: dict[str, list[str]] = {}
+            for r in rows.where(F.substring("h", 1, width).isin(list(small))).select("h").collect():
+                read.setdefault(r["h"][:width], []).append(r["h"])
+            for p, wanted in small.items():
+                hs = sorted(read[p])
+                cuts.update({names[p, r]: hs[r - 1] for r in wanted})
+        todo, back = deeper, names
+        if width >= 33:
+            break
+    return total, cuts
+
+
 def hash_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int = SEED,
                exact: bool = True, out: str = "is_test") -> DataFrame:
     """Seeded 80/20 split.  ``exact``: the ceil(f*n) rows first in md5 order
-    are test (sklearn's test size), ranked without a single-partition window.
-    Otherwise a per-row md5 threshold (no ranking pass; size ≈ f*n)."""
-    h = split_hash(key, seed)
+    are test (sklearn's test size), by one cut point, so the split is a plain
+    column.  Otherwise a per-row md5 threshold (size ≈ f*n).  A NULL key comes
+    first; rows that share a key fall on the same side."""
+    h = F.coalesce(split_hash(key, seed), F.lit(""))
     if not exact:
         u = F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(16 ** 12)
         return df.withColumn(out, u < test_fraction)
-    n = df.count()
-    n_test = math.ceil(Fraction(str(test_fraction)) * n)  # exact decimal, no float rounding
-    r = _hash_rank(df.withColumn("_hl_h", h), key)
-    return r.withColumn(out, F.col("_hl_rn") <= n_test).drop("_hl_h", "_hl_hp", "_hl_rn")
+    # exact decimal, no float rounding
+    _, cuts = hash_cuts(df, key, lambda n: [math.ceil(Fraction(str(test_fraction)) * n)], seed)
+    return df.withColumn(out, h <= F.lit(max(cuts.values())) if cuts else F.lit(False))
 
 
-def _hash_rank(df: DataFrame, key: str) -> DataFrame:
-    """1-based rank in (md5, key) order.  Ranges are cut on the hash's first
-    15 hex digits, which are uniform: no sampling pass is needed."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.withColumn("_hl_hp", F.conv(F.substring("_hl_h", 1, 15), 16, 10).cast("long"))
-    return row_number(d, ["_hl_hp", "_hl_h", key], "_hl_rn", n=n, bounds=uniform_hex_bounds(n))
+def _segments(df: DataFrame, key: str, ends, seed: int, out: str) -> DataFrame:
+    """``out`` = number of the 1-based ranks in ``ends`` whose row comes before."""
+    _, cuts = hash_cuts(df, key, ends, seed)
+    h = F.coalesce(split_hash(key, seed), F.lit(""))
+    before = [(h > F.lit(cuts[e])).cast("int") for e in sorted(cuts)]
+    return df.withColumn(out, sum(before[1:], before[0]) if before else F.lit(0))
+
+
+def fold_ends(n: int, k: int) -> list[int]:
+    """Rows up to the end of each of k contiguous folds (larger ones first)."""
+    q, rem = divmod(n, k)
+    return [(i + 1) * q + min(i + 1, rem) for i in range(k)]
 
 
 def assign_folds(df: DataFrame, key: str, k: int = 5, seed: int = SEED, out: str = "fold") -> DataFrame:
     """k contiguous folds (sizes differ by at most one, larger first) over the
     md5 order -- the unshuffled K-fold of the train rows."""
-    n = df.count()
-    r = _hash_rank(df.withColumn("_hl_h", split_hash(key, seed)), key)
-    q, rem = divmod(n, k)
-    rn = F.col("_hl_rn")
-    big = rem * (q + 1)
-    fold = F.when(rn <= big, F.floor((rn - 1) / (q + 1))).otherwise(
-        F.lit(rem) + F.floor((rn - big - 1) / F.lit(max(q, 1))))
-    return r.withColumn(out, fold.cast("int")).drop("_hl_h", "_hl_hp", "_hl_rn")
+    return _segments(df, key, lambda n: fold_ends(n, k)[:-1], seed, out)
 
 
 # ---------------------------------------------------------------- metrics
@@ -185,7 +234,7 @@ def ridge_solve(s, alpha: float):
     return w, my - mx @ w
 
 
-def lasso_solve(s, alpha: float, tol: float = 1e-4, max_iter: int = 1000, w0=None):
+def lasso_solve(s, alpha: float, tol: float = 1e-4, max_iter: int = 20_000, w0=None):
     """Lasso (1/(2n))||y - Xw - b||² + α||w||₁ by covariance-form coordinate descent."""
     n, mx, my, cxx, cxy = _centered(s)
     g, c = cxx / n, cxy / n
@@ -207,6 +256,8 @@ def lasso_solve(s, alpha: float, tol: float = 1e-4, max_iter: int = 1000, w0=Non
                 dmax = max(dmax, abs(new - old))
         if dmax <= tol * max(1e-12, float(np.max(np.abs(w))) if w.any() else 1.0):
             break
+    else:
+        warnings.warn(f"lasso (alpha {alpha:g}) stopped after {max_iter} sweeps", stacklevel=2)
     return w, my - mx @ w
 
 
@@ -272,21 +323,39 @@ def linear_predict(df: DataFrame, features, w, b, out: str = "prediction") -> Da
     return df.withColumn(out, e)
 
 
-def fold_r2_linear(df: DataFrame, features, target: str, kind: str, fold: str = "fold", alphas=None):
-    """K-fold R² of a ridge/lasso (alpha chosen inside) from one aggregate."""
-    st = gram_stats(df, features, target, [fold])
-    fold_stats = {k[0]: v for k, v in st.items()}
-    total = None
-    for s in fold_stats.values():
-        total = s if total is None else _add(total, s)
+def fold_r2_linear(df: DataFrame, features, target: str, kind: str, key: str, k: int = 5, alphas=None,
+                   seed: int = SEED) -> dict[int, float]:
+    """K-fold R² of a ridge/lasso whose alpha is chosen by a K-fold search of
+    its own inside each train part: contiguous inner folds over the train
+    rows' order.  All inner and outer folds are unions of the stretches
+    between their cut points, so one aggregate per stretch serves them all."""
+    n, _ = hash_cuts(df, key, [], seed)
+    ends = fold_ends(n, k)
+    outer = list(zip([0, *ends], ends))
+    inner: dict[int, list[list[tuple[int, int]]]] = {}
+    for f, (a, b) in enumerate(outer):
+        stops = fold_ends(n - (b - a), k)
+        place = lambda r, a=a, b=b: r if r <= a else r + (b - a)  # noqa: E731  rank among the train rows -> rank
+        parts = []
+        for lo, hi in zip([0, *stops], stops):
+            x, y = (lo if lo < a else lo + (b - a)), place(hi)
+            parts.append([(x, y)] if not x < a < b < y else [(x, a), (b, y)])
+        inner[f] = parts
+    marks = sorted({0, n, *ends, *(e for ps in inner.values() for p in ps for ab in p for e in ab)})
+    seg = _segments(df, key, marks[1:-1], seed, "_hl_seg")
+    st = {s[0]: v for s, v in gram_stats(seg, features, target, ["_hl_seg"]).items()}
+
+    def total(spans):
+        out = None
+        for i, (a, b) in enumerate(zip(marks, marks[1:])):
+            if i in st and any(lo <= a and b <= hi for lo, hi in spans):
+                out = st[i] if out is None else _add(out, st[i])
+        return out
     scores = {}
-    for f, s in sorted(fold_stats.items()):
-        inner = {g: v for g, v in fold_stats.items() if g != f}
-        tr = _add(total, s, -1.0)
-        # alpha chosen by inner CV on the training folds (as cross_val_score of a *CV estimator)
-        a, _, _ = linear_cv(inner, kind, alphas)
-        w, b = ridge_solve(tr, a) if kind == "ridge" else lasso_solve(tr, a)
-        scores[f] = r2_from_stats(s, w, b)
+    for f, (a, b) in enumerate(outer):
+        folds = {g: t for g, t in enumerate(map(total, inner[f])) if t is not None}
+        _, w, c = linear_cv(folds, kind, alphas)
+        scores[f] = r2_from_stats(total([(a, b)]), w, c)
     return scores
 
 

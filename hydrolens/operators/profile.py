@@ -8,6 +8,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keys import join_on_keys
 from .quantiles import exact_quantiles
 
 IQR_K = 1.5
@@ -19,10 +20,16 @@ def group_mean_count(df: DataFrame, key: str, value: str, scale: int = 3,
     per ``key``; NULL keys dropped.
 
     The mean is taken over the exact decimal values, so the rounding of a tie
-    (…5 in the next digit) never depends on summation order."""
-    exact = F.avg(F.col(value).cast("decimal(38,18)"))
+    (…5 in the next digit) never depends on summation order; where a value or
+    the sum is too large for that, it is the DOUBLE mean.  NaN counts as
+    missing."""
+    v = F.col(value).cast("double")
+    v = F.when(~F.isnan(v), v)
+    dec = v.try_cast("decimal(38,18)")
+    exact = F.when(F.count(dec) == F.count(v), F.try_avg(dec))
+    mean = F.coalesce(F.bround(exact, scale).cast("double"), F.bround(F.avg(v), scale))
     return (df.where(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.bround(exact, scale).cast("double").alias(mean_name), F.count(value).alias(count_name)))
+            .agg(mean.alias(mean_name), F.count(v).alias(count_name)))
 
 
 def missing_profile(df: DataFrame, columns=None, scale: int = 2, only_missing: bool = False) -> DataFrame:
@@ -56,7 +63,7 @@ def iqr_fences(df: DataFrame, value: str, group_by=(), k: float = IQR_K) -> Data
 def _with_fences(df: DataFrame, value: str, group_by, k: float) -> DataFrame:
     f = iqr_fences(df, value, group_by, k)
     if group_by:
-        return df.join(f, list(group_by), "left")
+        return join_on_keys(df, f, group_by, "left")
     row = f.first()  # four fitted scalars
     return df.select("*", *[F.lit(row[c]).cast("double").alias(c) for c in ("q1", "q3", "lower", "upper")])
 
@@ -80,7 +87,7 @@ def target_summary(df: DataFrame, value: str, group_by=()) -> DataFrame:
     med = exact_quantiles(df, value, [0.5], group_by, names=["median"])
     agg = [F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean")]
     if group_by:
-        return df.groupBy(*group_by).agg(*agg).join(med, group_by, "left")
+        return df.groupBy(*group_by).agg(*agg).transform(lambda d: join_on_keys(d, med, group_by, "left"))
     row = med.first()
     return df.agg(*agg).select("*", F.lit(row["median"]).cast("double").alias("median"))
 
@@ -96,13 +103,13 @@ def boxplot_stats(df: DataFrame, value: str, group_by, k: float = IQR_K) -> Data
                  (F.col("q3") + k * iqr).alias("upper"))
     v = F.col(value)
     inside = v.between(F.col("lower"), F.col("upper"))
-    agg = (df.where(v.isNotNull()).join(q.select(*group_by, "lower", "upper"), group_by, "inner")
+    agg = (join_on_keys(df.where(v.isNotNull()), q.select(*group_by, "lower", "upper"), group_by)
            .groupBy(*group_by)
            .agg(F.count(v).alias("n"),
                 F.min(F.when(inside, v)).alias("whisker_low"),
                 F.max(F.when(inside, v)).alias("whisker_high"),
                 F.count_if(~inside).alias("n_fliers")))
-    return q.join(agg, group_by, "inner")
+    return join_on_keys(q, agg, group_by)
 
 
 def cv_mean_std(scores: DataFrame, score: str, group_by) -> DataFrame:
@@ -126,18 +133,24 @@ def joint_range(df: DataFrame, actual: str, predicted: str, group_by=()) -> Data
         F.greatest(F.max(actual), F.max(predicted)).alias("range_max"))
 
 
-def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
-    """Equal-width histogram over [min, max]; the max falls in the last bin.
-    Returns (bin, bin_start, bin_end, count) for non-empty bins."""
-    st = df.agg(F.min(value).alias("mn"), F.max(value).alias("mx")).first()
-    if st["mn"] is None:
-        return df.sparkSession.createDataFrame([], "bin int, bin_start double, bin_end double, count long")
-    mn, mx = float(st["mn"]), float(st["mx"])
-    width = (mx - mn) / bins if mx > mn else 1.0
-    b = F.least(F.floor((F.col(value) - F.lit(mn)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    return (df.where(F.col(value).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-            .select("bin", (F.lit(mn) + F.col("bin") * F.lit(width)).alias("bin_start"),
-                    (F.lit(mn) + (F.col("bin") + 1) * F.lit(width)).alias("bin_end"), "count"))
+def histogram(df: DataFrame, value: str, bins: int = 30, group_by=()) -> DataFrame:
+    """Equal-width histogram over [min, max] (per group, NULL included); the
+    max falls in the last bin.  Returns (bin, bin_start, bin_end, count) for
+    all bins, empty ones too; a group without values has none.  Equal values
+    lie in the first bin of width one."""
+    group_by = list(group_by)
+    v = F.col(value).cast("double")
+    base = df.select(*group_by, F.when(~F.isnan(v), v).alias("_v")).where("_v IS NOT NULL")
+    st = base.groupBy(*group_by).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx")).where("_mn IS NOT NULL")
+    st = st.select(*group_by, "_mn", F.when(F.col("_mx") > F.col("_mn"), (F.col("_mx") - F.col("_mn")) / F.lit(bins))
+                   .otherwise(F.lit(1.0)).alias("_w"))
+    grid = st.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    b = F.least(F.floor((F.col("_v") - F.col("_mn")) / F.col("_w")), F.lit(bins - 1)).cast("int")
+    counts = join_on_keys(base, st, group_by).groupBy(*group_by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    return join_on_keys(grid, counts, [*group_by, "bin"], "left").select(
+        *group_by, "bin", (F.col("_mn") + F.col("bin") * F.col("_w")).alias("bin_start"),
+        (F.col("_mn") + (F.col("bin") + 1) * F.col("_w")).alias("bin_end"),
+        F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def gaussian_kde(df: DataFrame, value: str, grid: int = 200, cut: float = 3.0) -> DataFrame:
@@ -152,11 +165,15 @@ def gaussian_kde(df: DataFrame, value: str, grid: int = 200, cut: float = 3.0) -
     h = float(st["sd"]) * n ** (-0.2)
     lo, hi = float(st["mn"]) - cut * h, float(st["mx"]) + cut * h
     xs = [lo + i * (hi - lo) / (grid - 1) for i in range(grid)]
-    v = F.col(value)
-    sums = [F.sum(F.exp(F.lit(-0.5) * F.pow((F.lit(x) - v) / F.lit(h), 2))).alias(f"s{i}")
-            for i, x in enumerate(xs)]
+    # equal values once, with their count
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+
+    def term(x):
+        z = (F.lit(x) - F.col("_v")) / F.lit(h)
+        return F.col("_c") * F.exp(F.lit(-0.5) * (z * z))
+    sums = [F.sum(term(x)).alias(f"s{i}") for i, x in enumerate(xs)]
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
-    wide = df.where(v.isNotNull()).agg(*sums)
+    wide = counts.agg(*sums)
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(x).alias("x"), (F.col(f"s{i}") * F.lit(norm)).alias("density"))
         for i, x in enumerate(xs)])).alias("k")).select("k.*")

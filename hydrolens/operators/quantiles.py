@@ -1,162 +1,53 @@
-"""Exact quantiles (linear interpolation) that stay bounded at any scale.
-
-Spark's exact ``percentile`` keeps a map of every distinct value of a group
-in one task.  Here an approximate sketch (``percentile_approx``: bounded
-memory, map-side combine) first brackets each wanted order statistic; only
-the rows inside the bracket are then ranked exactly.  A bracket that still
-holds more than ``max_candidates`` rows is narrowed again with a sketch over
-the bracket.  Groups of up to ``small_group`` values use their whole range
-as the bracket (one task sorts at most that many doubles).  The result equals numpy/pandas ``quantile`` (linear) and SQL
-``quantile_cont``.
+"""Exact quantiles (linear interpolation), one path at every size.
+
+Equal values are one (value, count) row after a partial aggregation, so a
+repeated value is never copied or sorted.  The running counts of these rows
+are computed over value ranges (``ordered.running_sum``: no task holds more
+than one range of one group), and the row that covers a wanted rank is then a
+plain filter.  The result equals numpy/pandas ``quantile`` (linear) and SQL
+``quantile_cont``; Spark's own exact ``percentile`` would keep every distinct
+value of a group in one task.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ACC = 10000
-_MARGIN = 3.0 / _ACC
-
-
-def _attach(base: DataFrame, stats: DataFrame, group_by: list[str]) -> DataFrame:
-    """Give every value row its group's bracket columns."""
-    if group_by:
-        return base.join(stats, group_by, "inner")
-    row = stats.first()  # one row of fitted scalars
-    return base.select("*", *[F.lit(row[c]).alias(c) for c in stats.columns])
+from .keys import join_on_keys
+from .ordered import n_ranges, range_bounds, running_sum
 
 
-def exact_quantiles(df: DataFrame, value: str, probs, group_by=(), names=None,
-                    small_group: int = 1_000_000, max_candidates: int = 2_000_000,
-                    max_rounds: int = 4) -> DataFrame:
-    """One row per group: ``group_by`` columns + one DOUBLE column per prob.
+def exact_quantiles(df: DataFrame, value: str, probs, group_by=(), names=None, n: int | None = None) -> DataFrame:
+    """One row per group (NULL is a group): ``group_by`` columns + one DOUBLE
+    column per prob.
 
-    NULL values are ignored; a group without values gets NULL quantiles
-    (the global form always returns exactly one row).
+    NULL and NaN values are ignored; a group without values gets NULL
+    quantiles (the global form always returns exactly one row).  ``n`` is the
+    number of value ranges (from the row count by default).
     """
     group_by = list(group_by)
     probs = [float(p) for p in probs]
-    m = len(probs)
-    names = list(names) if names else [f"q{i}" for i in range(m)]
-    # the narrow value column is read by every pass: keep it (spills to disk)
-    base = (df.select(*group_by, F.col(value).cast("double").alias("_v"))
-            .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-
-    # pass 1: count, range and a sketch bracket per wanted quantile
-    lo_p = [max(0.0, p - _MARGIN) for p in probs]
-    hi_p = [min(1.0, p + _MARGIN) for p in probs]
-    st = base.groupBy(*group_by).agg(
-        F.count("_v").alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
-        F.percentile_approx("_v", lo_p + hi_p, _ACC).alias("_sk"))
-    small = F.col("_n") <= small_group
-    cols = [*group_by, "_n"]
+    names = list(names) if names else [f"q{i}" for i in range(len(probs))]
+    v = F.col(value).cast("double")
+    # negative zero and zero are one value; a group without values keeps its row
+    base = df.select(*group_by, F.when(~F.isnan(v), v + F.lit(0.0)).alias("_v"))
+    n = n or n_ranges(df)
+    counts = base.groupBy(*group_by, "_v").agg(F.count("_v").alias("_c"))
+    run = running_sum(counts.where("_v IS NOT NULL"), "_c", ["_v"], "_upto", group_by=group_by, n=n,
+                      bounds=range_bounds(base, "_v", n))
+    total = counts.groupBy(*group_by).agg(F.sum("_c").alias("_n"))
+    run = join_on_keys(run, total, group_by)
+    first = F.col("_upto") - F.col("_c")  # 0-based ranks first ... _upto - 1 hold this value
+    aggs, out = [], []
     for i, p in enumerate(probs):
         pos = F.lit(p) * (F.col("_n") - 1)
         k = F.floor(pos).cast("long")
-        cols += [k.alias(f"_k{i}"), (pos - k).alias(f"_f{i}"),
-                 F.when(small, F.col("_mn")).otherwise(F.col("_sk")[i]).alias(f"_lo{i}"),
-                 F.when(small, F.col("_mx")).otherwise(F.col("_sk")[m + i]).alias(f"_hi{i}")]
-    st = st.select(*cols).cache()
-    if group_by:
-        largest = st.agg(F.max("_n")).first()[0] or 0
-    else:  # one row of fitted scalars: keep it as a local relation
-        row = st.first()
-        st.unpersist()
-        st = df.sparkSession.createDataFrame([tuple(row)], st.schema)
-        largest = row["_n"] or 0
-    # every group fits one task: the bracket is the whole group, no counting pass needed
-    rounds = 0 if largest <= small_group else max_rounds
-    if rounds == 0:
-        st_prev = st
-        st = st.select("*", *[x for i in range(m) for x in (F.lit(0).cast("long").alias(f"_b{i}"),
-                                                           F.col("_n").alias(f"_in{i}"))]).cache()
-        st_prev.unpersist()
-
-    for rnd in range(rounds):
-        # pass 2: rows below / inside each bracket
-        j = _attach(base, st, group_by)
-        cnt = j.groupBy(*group_by).agg(*[
-            x for i in range(m) for x in (
-                F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_b{i}"),
-                F.count_if(F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))).alias(f"_in{i}"))])
-        st2 = st.join(cnt, group_by, "left") if group_by else \
-            st.select("*", *[F.lit(v).alias(c) for c, v in cnt.first().asDict().items()])
-        fixed = [*group_by, "_n"]
-        for i in range(m):
-            k = F.col(f"_k{i}")
-            need = F.least(k + 1, F.col("_n") - 1)
-            b, n_in = F.coalesce(F.col(f"_b{i}"), F.lit(0)), F.coalesce(F.col(f"_in{i}"), F.lit(0))
-            ok = (b <= k) & (b + n_in >= need + 1)
-            # a bracket that misses its ranks is widened to the whole group
-            fixed += [k.alias(f"_k{i}"), F.col(f"_f{i}"),
-                      F.when(ok, F.col(f"_lo{i}")).otherwise(F.lit(float("-inf"))).alias(f"_lo{i}"),
-                      F.when(ok, F.col(f"_hi{i}")).otherwise(F.lit(float("inf"))).alias(f"_hi{i}"),
-                      F.when(ok, b).otherwise(F.lit(0)).alias(f"_b{i}"),
-                      F.when(ok, n_in).otherwise(F.col("_n")).alias(f"_in{i}")]
-        st_prev = st
-        st = st2.select(*fixed).cache()
-        st_prev.unpersist()
-        mx = [F.max(f"_in{i}") for i in range(m)]
-        biggest = st.agg(F.greatest(*mx) if m > 1 else mx[0]).first()[0] or 0
-        if biggest <= max_candidates or rnd == max_rounds - 1:
-            break
-        # narrow oversized brackets with a sketch over the rows inside them
-        j = _attach(base, st, group_by)
-        nar = []
-        for i in range(m):
-            inside = F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
-            nar.append(F.percentile_approx(F.when(inside, F.col("_v")),
-                                           [x / 1000.0 for x in range(1001)], _ACC).alias(f"_g{i}"))
-        sk = j.groupBy(*group_by).agg(*nar)
-        st3 = st.join(sk, group_by, "left") if group_by else \
-            st.select("*", *[F.lit(v).alias(c) for c, v in sk.first().asDict().items()])
-        upd = [*group_by, "_n"]
-        for i in range(m):
-            big = F.col(f"_in{i}") > max_candidates
-            rel_lo = (F.col(f"_k{i}") - F.col(f"_b{i}")) / F.col(f"_in{i}") - _MARGIN
-            rel_hi = (F.col(f"_k{i}") + 1 - F.col(f"_b{i}")) / F.col(f"_in{i}") + _MARGIN
-            ilo = (F.greatest(F.floor(rel_lo * 1000), F.lit(0)) + 1).cast("int")
-            ihi = (F.least(F.ceil(rel_hi * 1000), F.lit(1000)) + 1).cast("int")
-            upd += [F.col(f"_k{i}"), F.col(f"_f{i}"),
-                    F.when(big, F.element_at(f"_g{i}", ilo)).otherwise(F.col(f"_lo{i}")).alias(f"_lo{i}"),
-                    F.when(big, F.element_at(f"_g{i}", ihi)).otherwise(F.col(f"_hi{i}")).alias(f"_hi{i}")]
-        st_prev = st
-        st = st3.select(*upd).cache()
-        st_prev.unpersist()
-
-    # pass 3: exact ranks inside the brackets
-    j = _attach(base, st, group_by)
-    cand = j.select(*group_by, "_v", F.explode(F.array(*[
-        F.when(F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")),
-               F.struct(F.lit(i).alias("i"), F.col(f"_k{i}").alias("k"), F.col(f"_f{i}").alias("f"),
-                        F.col(f"_b{i}").alias("b"))) for i in range(m)])).alias("c")
-    ).where(F.col("c").isNotNull()).select(*group_by, "_v", "c.*")
-    w = Window.partitionBy(*group_by, "i").orderBy("_v")
-    cand = cand.withColumn("_r", F.row_number().over(w) + F.col("b") - 1)  # 0-based rank in group
-    picked = (cand.where((F.col("_r") == F.col("k")) | (F.col("_r") == F.col("k") + 1))
-              .groupBy(*group_by, "i")
-              .agg(F.first("f").alias("f"),
-                   F.max(F.when(F.col("_r") == F.col("k"), F.col("_v"))).alias("vk"),
-                   F.max(F.when(F.col("_r") == F.col("k") + 1, F.col("_v"))).alias("vk1")))
-    q = (F.when(F.col("vk1").isNull() | (F.col("f") == 0), F.col("vk"))
-         .otherwise(F.col("vk") + F.col("f") * (F.col("vk1") - F.col("vk"))))
-    out = [F.max(F.when(F.col("i") == i, q)).alias(nm) for i, nm in enumerate(names)]
-    if not group_by:
-        # a global aggregate yields exactly one row: fetch it, release the inputs
-        row = picked.agg(*out).first()
-        base.unpersist()
-        st.unpersist()
-        schema = ", ".join(f"`{nm}` double" for nm in names)
-        return df.sparkSession.createDataFrame([tuple(row)], schema)
-    wide = picked.groupBy(*group_by).agg(*out)
-    groups = df.select(*group_by).distinct()
-    res = groups.join(wide, group_by, "left")
-    # materialise the (one row per group) result, then release the inputs
-    res = res.persist(StorageLevel.MEMORY_AND_DISK)
-    res.count()
-    base.unpersist()
-    st.unpersist()
-    return res
+        k1 = F.least(k + 1, F.col("_n") - 1)
+        aggs += [F.max(F.when((k >= first) & (k < F.col("_upto")), F.col("_v"))).alias(f"_a{i}"),
+                 F.max(F.when((k1 >= first) & (k1 < F.col("_upto")), F.col("_v"))).alias(f"_b{i}"),
+                 F.max(pos - k).alias(f"_f{i}")]
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        out.append(F.when((F.col(f"_f{i}") == 0) | (a == b), a).otherwise(a + F.col(f"_f{i}") * (b - a)).alias(names[i]))
+    found = run.groupBy(*group_by).agg(*aggs).select(*group_by, *out)
+    return join_on_keys(total.select(*group_by), found, group_by, "left") if group_by else found

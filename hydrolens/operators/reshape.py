@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import previous_row, running_sum
+from .ordered import n_ranges, previous_row, range_bounds, row_number, running_sum
 
 
 def _key_changed(df: DataFrame, keys, suffix="_prev") -> F.Column:
@@ -16,6 +16,19 @@ def _key_changed(df: DataFrame, keys, suffix="_prev") -> F.Column:
     return ch
 
 
+#: a pivot makes a column (or two) of every label
+MAX_LABELS = 2000
+
+
+def distinct_labels(df: DataFrame, column: str) -> list:
+    """Sorted distinct non-NULL labels that become columns; an error when
+    there are more than ``MAX_LABELS``, so none is dropped without a word."""
+    got = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_LABELS + 1).collect()]
+    if len(got) > MAX_LABELS:
+        raise ValueError(f"over {MAX_LABELS} distinct values of {column} to pivot")
+    return sorted(got)
+
+
 def run_ids(df: DataFrame, keys, order: str, out: str = "run_id") -> DataFrame:
     """Number contiguous runs of equal ``keys`` in ``order`` order (1-based).
 
@@ -23,21 +36,24 @@ def run_ids(df: DataFrame, keys, order: str, out: str = "run_id") -> DataFrame:
     Distributed: previous-row values and the running count come from
     range partitions plus a per-partition offset table.
     """
-    p = previous_row(df, keys, [order])
+    bounds = range_bounds(df, order, n_ranges(df))  # fitted once for both steps
+    p = previous_row(df, keys, [order], bounds=bounds)
     p = p.withColumn("_hl_start", F.when(_key_changed(p, keys), 1).otherwise(0))
-    r = running_sum(p, "_hl_start", [order], out)
+    r = running_sum(p, "_hl_start", [order], out, bounds=bounds)
     return r.drop("_hl_start", *[k + "_prev" for k in keys])
 
 
 def pivot_last_run(df: DataFrame, keys, order: str, parameter: str, value: str, unit: str,
-                   parameters, unit_suffix: str = "_UN") -> DataFrame:
+                   parameters=None, unit_suffix: str = "_UN") -> DataFrame:
     """Long -> wide, one row per key, with the field script's replacement rule.
 
     Rows are read in ``order``; a run is a maximal stretch of rows with the
     same ``keys``.  A later run of a key replaces the whole earlier row, so
     only each key's *last* run counts; inside it the last value (and unit)
     per parameter wins, NULLs included.  Output columns: keys, then
-    ``<param>`` and ``<param>_UN`` sorted by code point.
+    ``<param>`` and ``<param>_UN`` sorted by code point, for every parameter
+    met in the data (or the ``parameters`` asked for).  Rows without a
+    parameter keep their key's row but fill no column.
 
     Scale: the last-run start is a per-key aggregate joined back (no window
     over a key, so a hot key is split by AQE's skew join), and the pivot is a
@@ -53,29 +69,30 @@ def pivot_last_run(df: DataFrame, keys, order: str, parameter: str, value: str,
     last = (df.join(starts, cond, "inner")
             .where(F.col(order) >= F.col("_hl_last_start"))
             .drop(*[f"_hl_k{i}" for i in range(len(keys))], "_hl_last_start"))
+    parameters = list(parameters) if parameters is not None else distinct_labels(df, parameter)
     aggs = []
     for prm in parameters:
         hit = F.col(parameter) == prm
         o = F.when(hit, F.col(order))
         aggs.append(F.max_by(F.when(hit, F.col(value)), o).alias(prm))
         aggs.append(F.max_by(F.when(hit, F.col(unit)), o).alias(prm + unit_suffix))
-    wide = last.groupBy(*keys).agg(*aggs)
+    wide = last.groupBy(*keys).agg(*aggs) if aggs else last.select(*keys).distinct()
     rest = sorted([*parameters, *[p_ + unit_suffix for p_ in parameters]])
     return wide.select(*keys, *[F.col(f"`{c}`") for c in rest])
 
 
-def pivot_fill_rank(df: DataFrame, row: str, column: str, value: str, columns,
+def pivot_fill_rank(df: DataFrame, row: str, column: str, value: str, columns=None,
                     fill=0.0, rank_col: str = "rank") -> DataFrame:
     """Pivot ``value`` to one column per ``columns`` entry, fill gaps, and
     rank rows by their mean across the pivoted columns (descending; the mean
     itself is dropped).  Rows = distinct ``row`` values (e.g. features)."""
+    columns = list(columns) if columns is not None else distinct_labels(df, column)
     wide = df.groupBy(row).pivot(column, list(columns)).agg(F.first(value))
     if fill is not None:
         wide = wide.na.fill(fill, subset=[str(c) for c in columns])
     mean = sum(F.col(f"`{c}`") for c in columns) / F.lit(float(len(columns)))
-    # one row per feature: the ranking window is bounded by the feature count
-    w = Window.orderBy(mean.desc(), F.col(row))
-    return wide.withColumn(rank_col, F.row_number().over(w))
+    ranked = row_number(wide.withColumn("_hl_mean", -mean), ["_hl_mean", row], rank_col)
+    return ranked.withColumn(rank_col, F.col(rank_col).cast("int")).drop("_hl_mean")
 
 
 def unpivot_metrics(df: DataFrame, ids, metrics, name: str = "metric", value: str = "value") -> DataFrame:

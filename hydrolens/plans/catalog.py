@@ -148,9 +148,6 @@ def q_coverage(spark, sf):
 
 
 # ---------------------------------------------------------------- reshaping
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
-
-
 def q_run_ids(spark, sf):
     m = SI.measurements(spark, sf)
     return RS.run_ids(m, ["point", "sample_date"], "ord").select("ord", "point", "sample_date", "run_id")
@@ -158,15 +155,11 @@ def q_run_ids(spark, sf):
 
 def q_pivot_last_run(spark, sf):
     m = SI.measurements(spark, sf)
-    return rounded(RS.pivot_last_run(m, ["point", "sample_date"], "ord", "parameter", "result", "unit",
-                                     EVENT_TYPES))
-
-
-MODELS = ["A", "N", "R"]
+    return rounded(RS.pivot_last_run(m, ["point", "sample_date"], "ord", "parameter", "result", "unit"))
 
 
 def q_pivot_fill_rank(spark, sf):
-    return rounded(RS.pivot_fill_rank(SI.importances(spark, sf), "feature", "model", "importance", MODELS)
+    return rounded(RS.pivot_fill_rank(SI.importances(spark, sf), "feature", "model", "importance")
                    .withColumn("rank", F.col("rank").cast("long")))
 
 

@@ -33,13 +33,12 @@ def preprocess(df: DataFrame, target: str, features=FEATURE_COLUMNS, cloud_thres
                cloud_required: bool = False, key: str = "sample_id", impute: str = "all") -> tuple[DataFrame, list[str]]:
     """Rows ready for training: (key, label, features...).
 
-    ``cloud_required``: a missing cloud column is an error (Caçu scripts)
-    instead of a skipped filter (Três Marias scripts).  ``impute``: 'all'
+    ``cloud_required``: a missing cloud column is an error instead of a
+    skipped filter.  ``impute``: 'all'
     fits the medians on every preprocessed row (the scripts' choice, before
     the split); 'none' leaves NULLs for a later train-only imputation.
     """
     feats = present_features(df, features)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the fence, median and final passes
     if "Month" in df.columns and "Season" not in df.columns:
         df = df.withColumn("Season", season_of_month(F.col("Month")))
         if "Season" in features and "Season" not in feats:
@@ -103,7 +102,7 @@ def cv_scores(kind: str, train: DataFrame, feats, key: str = "sample_id", k: int
     f = L.assign_folds(train, key, k).cache()
     try:
         if kind in ("Lasso", "Ridge"):
-            sc = L.fold_r2_linear(f, feats, "label", kind.lower())
+            sc = L.fold_r2_linear(train, feats, "label", kind.lower(), key, k)
             return [sc[i] for i in sorted(sc)]
         from concurrent.futures import ThreadPoolExecutor
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,10 +59,24 @@ def artifacts_frame(spark: SparkSession, run: str, kind: str, values) -> DataFra
 
 
 def save_model(model, path: str) -> None:
-    """Persist an MLlib model / pipeline (replaces pickles)."""
-    model.write().overwrite().save(path)
+    """Persist any fitted MLlib model, or a pipeline of them (replaces pickles)."""
+    from pyspark.ml import PipelineModel
+    whole = model if isinstance(model, PipelineModel) else PipelineModel(stages=[model])
+    whole.write().overwrite().save(path)
 
 
-def load_pipeline_model(path: str):
+def load_model(path: str):
+    """What :func:`save_model` wrote: the model itself, or the pipeline."""
     from pyspark.ml import PipelineModel
-    return PipelineModel.load(path)
+    whole = PipelineModel.load(path)
+    return whole.stages[0] if len(whole.stages) == 1 else whole
+
+
+def save_fitted(spark: SparkSession, values: dict, path: str) -> None:
+    """Persist fitted scalars (scaler, medians, linear coefficients) as one JSON row."""
+    spark.createDataFrame([(json.dumps(values),)], "fitted string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_fitted(spark: SparkSession, path: str) -> dict:
+    """What :func:`save_fitted` wrote; tuples come back as lists."""
+    return json.loads(spark.read.schema("fitted string").json(path).first()["fitted"])

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.joins import resume_pending
 from ..plans.enrich import enrich
 from ..session import checkpoint_dir
+from ..sources.snapshots import path_exists
 
 
 def start_incremental_enrichment(spark: SparkSession, samples_dir: str, sample_schema, scenes: DataFrame,
@@ -28,11 +29,9 @@ def start_incremental_enrichment(spark: SparkSession, samples_dir: str, sample_s
     samples = stream.load(samples_dir)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        try:
-            done = batch.sparkSession.read.parquet(out_path).select(key)
-            pending = resume_pending(batch, done, key)
-        except Exception:  # noqa: BLE001 - nothing written yet
-            pending = batch
+        pending = batch
+        if path_exists(batch.sparkSession, out_path):
+            pending = resume_pending(batch, batch.sparkSession.read.parquet(out_path).select(key), key)
         if not pending.isEmpty():
             enrich(pending, scenes, pixels, key=key, **enrich_kwargs).write.mode("append").parquet(out_path)
 

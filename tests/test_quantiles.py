@@ -1,5 +1,4 @@
-"""Exact quantiles against numpy, on every code path (small groups, sketch
-brackets, narrowing)."""
+"""Exact quantiles against numpy, for few and many value ranges."""
 
 import numpy as np
 import pytest
@@ -18,12 +17,12 @@ def _data(n, groups, seed=1, ties=False):
     return g, v
 
 
-@pytest.mark.parametrize("small_group,max_candidates", [(1_000_000, 2_000_000), (50, 2_000_000), (50, 40)])
+@pytest.mark.parametrize("n", [None, 2, 40])
 @pytest.mark.parametrize("ties", [False, True])
-def test_grouped_against_numpy(spark, small_group, max_candidates, ties):
+def test_grouped_against_numpy(spark, n, ties):
     g, v = _data(3000, 3, ties=ties)
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, v)], "g int, v double")
-    got = exact_quantiles(df, "v", PROBS, ["g"], small_group=small_group, max_candidates=max_candidates)
+    got = exact_quantiles(df, "v", PROBS, ["g"], n=n)
     for r in got.collect():
         want = np.quantile(v[g == r["g"]], PROBS)
         assert [r[f"q{i}"] for i in range(len(PROBS))] == pytest.approx(list(want), rel=1e-12, abs=1e-12)
@@ -32,7 +31,7 @@ def test_grouped_against_numpy(spark, small_group, max_candidates, ties):
 def test_global_with_nulls_and_nan(spark):
     vals = [1.0, None, 2.0, float("nan"), 3.0, 4.0]
     df = spark.createDataFrame([(x,) for x in vals], "v double")
-    r = exact_quantiles(df, "v", [0.25, 0.5, 0.75], small_group=1).first()
+    r = exact_quantiles(df, "v", [0.25, 0.5, 0.75], n=3).first()
     assert (r["q0"], r["q1"], r["q2"]) == pytest.approx((1.75, 2.5, 3.25))
 
 
@@ -42,3 +41,18 @@ def test_empty_and_single(spark):
     assert len(r) == 1 and r[0]["q0"] is None
     one = spark.createDataFrame([(7.0,)], "v double")
     assert exact_quantiles(one, "v", [0.25, 0.75]).first()["q1"] == 7.0
+
+
+def test_null_group_and_group_without_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0), ("b", None)], "g string, v double")
+    got = {r["g"]: r["q0"] for r in exact_quantiles(df, "v", [0.5], ["g"]).collect()}
+    assert got == {"a": 2.0, None: 6.0, "b": None}
+
+
+def test_repeated_value_is_one_row_and_nothing_stays_cached(spark):
+    df = spark.range(100_000).selectExpr("CASE WHEN id % 10 > 0 THEN 0D ELSE CAST(id AS DOUBLE) END AS v")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    r = exact_quantiles(df, "v", [0.5, 0.95], n=16).first()
+    v = np.where(np.arange(100_000) % 10 > 0, 0.0, np.arange(100_000))
+    assert (r["q0"], r["q1"]) == pytest.approx(tuple(np.quantile(v, [0.5, 0.95])))
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

@@ -47,18 +47,39 @@ def test_run_folders_artifacts_and_models(spark, tmp_path):
     tr = spark.createDataFrame([(1.0, 2.0), (2.0, 4.1), (3.0, 5.9)], "x double, label double")
     model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression()]).fit(tr)
     sinks.save_model(model, str(tmp_path / "m"))
-    again = sinks.load_pipeline_model(str(tmp_path / "m"))
+    again = sinks.load_model(str(tmp_path / "m"))
     assert again.transform(tr).count() == 3
+    sinks.save_model(model.stages[1], str(tmp_path / "m1"))
+    assert sinks.load_model(str(tmp_path / "m1")).coefficients == model.stages[1].coefficients
+    fitted = {"scaler": {"x": [2.0, 0.8]}, "coef": [1.5], "alpha": 0.1}
+    sinks.save_fitted(spark, fitted, str(tmp_path / "f"))
+    assert sinks.load_fitted(spark, str(tmp_path / "f")) == fitted
 
 
 def test_latest_snapshot(spark, tmp_path):
     import time
     root = str(tmp_path / "snap")
-    spark.createDataFrame([(1,)], "v int").coalesce(1).write.parquet(root + "/features_a")
+    spark.createDataFrame([(1,)], "v int").write.parquet(root + "/features_a")
     time.sleep(1.1)
-    spark.createDataFrame([(2,), (3,)], "v int").coalesce(1).write.parquet(root + "/features_b")
-    got = read_latest_snapshot(spark, root + "/*", "part-")
-    assert sorted(r["v"] for r in got.collect()) == [2, 3]
+    # many part files, written one after another: all of them are the snapshot
+    spark.range(0, 40, numPartitions=5).selectExpr("CAST(id AS INT) AS v").write.parquet(root + "/features_b")
+    time.sleep(1.1)
+    spark.createDataFrame([(9,)], "v int").write.parquet(root + "/other")
+    got = read_latest_snapshot(spark, root, "features_")
+    assert sorted(r["v"] for r in got.collect()) == list(range(40))
+    with pytest.raises(FileNotFoundError):
+        read_latest_snapshot(spark, root, "none_")
+
+
+def test_resume_raises_on_unreadable_output(spark, tmp_path):
+    from hydrolens.sources.resume import enrich_incrementally
+    out = tmp_path / "out"
+    df = spark.range(5).withColumnRenamed("id", "k")
+    assert enrich_incrementally(spark, df, str(out), "k", lambda d: d) == 1
+    assert enrich_incrementally(spark, df, str(out), "k", lambda d: d) == 0
+    (out / "part-bad.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        enrich_incrementally(spark, df, str(out), "k", lambda d: d)
 
 
 def test_reject_split(spark):
