@@ -16,14 +16,3 @@ def to_double_lenient(c) -> Column:
     type suffixes, no NaN or Infinity in words."""
     t = F.replace(F.trim(_c(c).cast("string")), F.lit(","), F.lit("."))
     return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
-
-
-def nan_to_null(c) -> Column:
-    """NaN means 'missing' in the field data; Spark aggregates do not skip NaN."""
-    c = _c(c)
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
-
-
-def round_half_even(c, scale: int) -> Column:
-    """numpy/pandas ``round``: half-to-even."""
-    return F.bround(_c(c), scale)

@@ -2,11 +2,13 @@
 window, and nearest-pixel band sampling -- all as equi joins.
 
 A pure interval/containment condition plans as a nested-loop join.  Both
-sides here get equi keys instead: a grid cell (scenes are exploded to the
-few cells their footprint covers, a sample has one) and a time bucket of
-``bucket_days`` days (a scene has one bucket, a sample is exploded to the
-buckets its window touches).  Smaller cells and buckets mean fewer false
-candidates before the exact check, at the price of more exploded rows.  Each (sample, scene) pair meets in exactly
+sides here get equi keys instead: a grid cell and a time bucket of
+``bucket_days`` days.  A sample has one of each; a scene is exploded to the
+few cells its footprint covers and the buckets of the sample dates that it can
+serve.  Stations repeat, so samples are first reduced to their distinct
+(longitude, latitude, date) spots and get the spot's scene back by a join.
+Smaller cells and buckets mean fewer false candidates before the exact check,
+at the price of more exploded scenes.  Each (spot, scene) pair meets in exactly
 one (cell, bucket), so no candidate is duplicated; the exact footprint and
 half-open time window are re-checked after the equi join.
 """
@@ -16,31 +18,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keys import join_on_keys
+
 DEFAULT_CELL_DEG = 0.25     # ~ a quarter of a Sentinel-2 tile: few cells per footprint, few false candidates
 DEFAULT_WINDOW_DAYS = 30
-DEFAULT_BUCKET_DAYS = 10    # a sample's ±30-day window touches 6-7 buckets; a scene has one
+DEFAULT_BUCKET_DAYS = 30    # the sample dates that a scene can serve touch 3 buckets; a sample has one
 
 
 def _cell(c, size):
     return F.floor(F.col(c) / F.lit(size)).cast("long")
 
 
-def _scene_keys(scenes: DataFrame, cell_deg: float, bucket_days: int) -> DataFrame:
-    """Scenes exploded to the grid cells their footprint covers, + time bucket."""
+def _scene_keys(scenes: DataFrame, cell_deg: float, window_days: int, bucket_days: int) -> DataFrame:
+    """Scenes exploded to the grid cells their footprint covers and to the
+    time buckets of the sample dates d with d - w <= acquisition < d + w."""
     day = F.unix_date(F.col("acquired_at").cast("date"))
+    first = F.floor((day - window_days) / F.lit(bucket_days)).cast("long")
+    last = F.floor((day + window_days) / F.lit(bucket_days)).cast("long")
     return (scenes
             .withColumn("_cx", F.explode(F.sequence(_cell("min_lon", cell_deg), _cell("max_lon", cell_deg))))
             .withColumn("_cy", F.explode(F.sequence(_cell("min_lat", cell_deg), _cell("max_lat", cell_deg))))
-            .withColumn("_tb", F.floor(day / F.lit(bucket_days)).cast("long")))
-
-
-def _sample_keys(samples: DataFrame, lon: str, lat: str, date: str, cell_deg: float,
-                 window_days: int, bucket_days: int) -> DataFrame:
-    """Samples with their cell and the time buckets of [date - w, date + w)."""
-    d = F.unix_date(F.col(date).cast("date"))
-    first = F.floor((d - window_days) / F.lit(bucket_days)).cast("long")
-    last = F.floor((d + window_days - 1) / F.lit(bucket_days)).cast("long")
-    return (samples.withColumn("_cx", _cell(lon, cell_deg)).withColumn("_cy", _cell(lat, cell_deg))
             .withColumn("_tb", F.explode(F.sequence(first, last))))
 
 
@@ -66,7 +63,7 @@ def containing_scenes(samples: DataFrame, scenes: DataFrame, key: str = "sample_
     sc = scenes.withColumn("_cx", F.explode(F.sequence(_cell("min_lon", cell_deg), _cell("max_lon", cell_deg)))) \
                .withColumn("_cy", F.explode(F.sequence(_cell("min_lat", cell_deg), _cell("max_lat", cell_deg))))
     sm = samples.select(key, lon, lat).withColumn("_cx", _cell(lon, cell_deg)).withColumn("_cy", _cell(lat, cell_deg))
-    return (sm.hint("merge").join(sc, ["_cx", "_cy"], "inner").where(contains(lon, lat))
+    return (sm.join(sc, ["_cx", "_cy"], "inner").where(contains(lon, lat))
             .select(key, "scene_id"))
 
 
@@ -85,25 +82,27 @@ def best_scene(samples: DataFrame, scenes: DataFrame, key: str = "sample_id",
     ``scenes`` needs: scene_id, min_lon, min_lat, max_lon, max_lat,
     acquired_at (timestamp), cloud_pct.
     """
+    spot = [lon, lat, date]
     sk = _scene_keys(scenes.select("scene_id", "min_lon", "min_lat", "max_lon", "max_lat",
-                                   "acquired_at", "cloud_pct"), cell_deg, bucket_days)
-    smk = _sample_keys(samples.select(key, lon, lat, date), lon, lat, date, cell_deg, window_days, bucket_days)
+                                   "acquired_at", "cloud_pct"), cell_deg, window_days, bucket_days)
+    day = F.unix_date(F.col(date).cast("date"))
+    spots = (samples.select(*spot).distinct()
+             .withColumn("_cx", _cell(lon, cell_deg)).withColumn("_cy", _cell(lat, cell_deg))
+             .withColumn("_tb", F.floor(day / F.lit(bucket_days)).cast("long")))
     start = F.col(date).cast("date").cast("timestamp_ntz")
     lo = F.date_sub(F.col(date).cast("date"), window_days).cast("timestamp_ntz")
     hi = F.date_add(F.col(date).cast("date"), window_days).cast("timestamp_ntz")
     at = F.col("acquired_at").cast("timestamp_ntz")
-    # both sides grow with the data and the explodes hide their true size
-    # from the static estimate: shuffle both (sort-merge, AQE splits hot cells)
-    cand = (smk.hint("merge").join(sk, ["_cx", "_cy", "_tb"], "inner")
+    cand = (spots.join(sk, ["_cx", "_cy", "_tb"], "inner")
             .where(contains(lon, lat) & (at >= lo) & (at < hi))
             .withColumn("_dt", F.abs(_seconds_between(start, at))))
-    # min_by keeps the partial/final aggregate; no sort of the candidates
-    best = (cand.groupBy(key)
+    # min_by over a struct is a sort aggregate, partial before the shuffle
+    best = (cand.groupBy(*spot)
             .agg(F.min_by(F.struct("scene_id", "cloud_pct", "acquired_at", "min_lon", "min_lat"),
                           F.struct("cloud_pct", "_dt", "scene_id")).alias("_b"))
-            .select(key, "_b.scene_id", "_b.cloud_pct", "_b.acquired_at",
+            .select(*spot, "_b.scene_id", "_b.cloud_pct", "_b.acquired_at",
                     F.col("_b.min_lon").alias("scene_min_lon"), F.col("_b.min_lat").alias("scene_min_lat")))
-    return (samples.join(best, key, "left")
+    return (join_on_keys(samples, best, spot, "left")
             .withColumn("image_date", F.col("acquired_at").cast("date")))
 
 

@@ -41,37 +41,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/object-store)
     folder and is used as is.  Only when it is unset -- local tests -- a fresh
-    scratch folder is created and registered.
+    scratch folder is created and registered; on any other master that is an
+    error, as executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="hydrolens-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
-
-
-def cut_lineage(df):
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 ** 2) -> dict:
-    """Settings sized for an input of ``input_bytes`` (apply with
-    ``spark.conf.set`` before planning, or pass to :func:`build_session`).
-
-    Shuffle partitions start at one per ``target_partition_bytes`` of input
-    (AQE coalesces the small ones and splits skewed ones); scans split files
-    at the same size.  The range-cut ordered operators use the shuffle
-    partition count as their number of ranges, so a range stays near the
-    target size too.
-    """
-    n = max(200, -(-int(input_bytes) // target_partition_bytes))
-    return {
-        "spark.sql.shuffle.partitions": str(n),
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
-    }
