@@ -560,3 +560,50 @@ tr AS (SELECT label AS y, {RAW_TURB} AS x FROM tp2 WHERE NOT is_test),
 c AS (SELECT sum(x * y) - sum(x) * sum(y) / count(*) AS cxy, sum(x * x) - sum(x) * sum(x) / count(*) AS cxx,
              avg(x) AS mx, avg(y) AS my FROM tr)
 SELECT 1e0 AS alpha, round(cxy / (cxx + 1e0), 6) AS slope, round(my - cxy / (cxx + 1e0) * mx, 6) AS intercept FROM c"""
+    s["index_validation_raw"] = f"""WITH {turb}
+SELECT 'Turbidez' AS parameter, 'NTU' AS unit, 'Index_Based' AS method,
+       round(1 - sum((p - label) * (p - label)) / (count(*) * var_pop(label)), 6) AS r2,
+       round(sqrt(avg((p - label) * (p - label))), 6) AS rmse
+FROM (SELECT label, {RAW_TURB} AS p FROM tp2 WHERE is_test) q WHERE p IS NOT NULL AND label IS NOT NULL"""
+    for kind in ("ridge", "lasso"):
+        s[f"{kind}_cv_single"] = f"WITH {turb}, {_cv_sql(kind, nested=False)}\n" + """
+SELECT round(alpha, 6) AS alpha, round(w, 6) AS slope, round(b, 6) AS intercept FROM final"""
+        s[f"{kind}_cv_scores"] = f"WITH {turb}, {_cv_sql(kind, nested=True)}\n" + """
+SELECT CAST(o AS INTEGER) AS fold, round(1 - (syy - 2 * w * sxy - 2 * b * sy + w * w * sxx + 2 * w * b * sx + n * b * b)
+                                         / (syy - sy * sy / n), 6) AS r2
+FROM final JOIN (SELECT fold AS o2, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy,
+                        sum(y * y) AS syy FROM fo GROUP BY fold) ON o = o2"""
+
+
+def _cv_sql(kind: str, nested: bool) -> str:
+    """5-fold alpha search on one feature in closed form, per outer fold ``o``
+    (one, of all rows, unless ``nested``): ``final`` (o, alpha, w, b)."""
+    src = ("SELECT o, h, sample_id, x, y FROM fo, range(5) r(o) WHERE fold <> o" if nested
+           else "SELECT 0 AS o, h, sample_id, x, y FROM fo")
+    sums = ("count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy")
+    cxy, cxx = "(sxy - sx * sy / n)", "(sxx - sx * sx / n)"
+    if kind == "ridge":
+        grid = "SELECT o, unnest([0.1e0, 1e0, 10e0]) AS alpha FROM tot"
+        w, score, first = f"{cxy} / ({cxx} + alpha)", "1 - sse / (vyy - vy * vy / vn)", "alpha"
+    else:
+        top = f"log10(abs({cxy}) / n)"
+        grid = f"SELECT o, pow(10e0, {top} - 3 + i * 3e0 / 99) AS alpha FROM tot, range(100) r(i)"
+        w = f"sign({cxy}) * greatest(abs({cxy} / n) - alpha, 0) / ({cxx} / n)"
+        score, first = "-sse / vn", "alpha DESC"
+    return f"""fo AS (SELECT sample_id, h, x, y, ntile(5) OVER (ORDER BY h, sample_id) - 1 AS fold FROM
+  (SELECT sample_id, md5(CAST(sample_id AS VARCHAR) || '|42') AS h, label AS y, {RAW_TURB} AS x FROM tp2 WHERE NOT is_test)),
+src AS ({src}),
+inn AS (SELECT *, ntile(5) OVER (PARTITION BY o ORDER BY h, sample_id) AS g FROM src),
+pf AS (SELECT o, g, {sums} FROM inn GROUP BY o, g),
+tot AS (SELECT o, {sums} FROM inn GROUP BY o),
+grid AS ({grid}),
+part AS (SELECT p.o, p.g, alpha, t.n - p.n AS n, t.sx - p.sx AS sx, t.sy - p.sy AS sy, t.sxx - p.sxx AS sxx, t.sxy - p.sxy AS sxy,
+  p.n AS vn, p.sx AS vx, p.sy AS vy, p.sxx AS vxx, p.sxy AS vxy, p.syy AS vyy
+  FROM pf p JOIN tot t ON p.o = t.o JOIN grid ON grid.o = p.o),
+fit AS (SELECT *, {w} AS w FROM part),
+err AS (SELECT *, vyy - 2 * w * vxy - 2 * (sy / n - w * sx / n) * vy + w * w * vxx + 2 * w * (sy / n - w * sx / n) * vx
+  + vn * (sy / n - w * sx / n) * (sy / n - w * sx / n) AS sse FROM fit),
+score AS (SELECT o, alpha, avg({score}) AS s FROM err GROUP BY o, alpha),
+best AS (SELECT o, alpha FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY s DESC, {first}) AS r FROM score) WHERE r = 1),
+fin AS (SELECT tot.*, alpha, {w} AS w FROM tot JOIN best USING (o)),
+final AS (SELECT o, alpha, w, sy / n - w * sx / n AS b FROM fin)"""

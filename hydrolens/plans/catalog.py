@@ -412,6 +412,13 @@ def q_index_validation(spark, sf):
     return rounded(out)
 
 
+def q_index_validation_raw(spark, sf):
+    """The index side without calibration."""
+    from .validate import validate
+    _, m, unit = validate(SI.training_rows(spark, sf), "Turbidez", "turbidity", with_ml=False, calibrate_index=False)
+    return rounded(m.select(F.lit("Turbidez").alias("parameter"), F.lit(unit).alias("unit"), "method", "r2", "rmse"))
+
+
 def _turbidity_train(spark, sf):
     s = _validation_split(spark, sf, "turbidity")
     return s.where(~F.col("is_test")).withColumn("raw_index", S.raw_estimator("Turbidez"))
@@ -430,6 +437,31 @@ def q_ridge_closed(spark, sf):
     return rounded(spark.createDataFrame([(1.0, float(w[0]), float(b))], "alpha double, slope double, intercept double"))
 
 
+def _cv_single(kind):
+    def q(spark, sf):
+        from ..operators.learn import assign_folds, gram_stats, linear_cv
+        f = assign_folds(_turbidity_train(spark, sf), "sample_id", 5)
+        st = gram_stats(f, ["raw_index"], "label", ["fold"])
+        alpha, w, b = linear_cv({k[0]: v for k, v in st.items()}, kind)
+        return rounded(spark.createDataFrame([(float(alpha), float(w[0]), float(b))],
+                                             "alpha double, slope double, intercept double"))
+    q.__doc__ = f"Alpha of a {kind} regression on the raw index by 5-fold search, and its refit."
+    return q
+
+
+def _cv_scores_single(kind):
+    def q(spark, sf):
+        from ..operators.learn import fold_r2_linear
+        sc = fold_r2_linear(_turbidity_train(spark, sf), ["raw_index"], "label", kind, "sample_id")
+        return rounded(spark.createDataFrame([(int(f), float(v)) for f, v in sc.items()], "fold int, r2 double"))
+    q.__doc__ = f"Nested 5-fold R² of a {kind} regression on the raw index (alpha search inside each train part)."
+    return q
+
+
+q_ridge_cv_single, q_lasso_cv_single = _cv_single("ridge"), _cv_single("lasso")
+q_ridge_cv_scores, q_lasso_cv_scores = _cv_scores_single("ridge"), _cv_scores_single("lasso")
+
+
 # ---------------------------------------------------------------- learning: models (rows-only checks)
 def _tm_split(spark, sf, target="turbidity"):
     from .train import preprocess, split_and_scale
