@@ -68,7 +68,7 @@ SAMPLES = """samples AS (
 SAMPLE_COLS = "sample_id, point, sample_date, " + _r("turbidity", "chlorophyll", "cloud_pct", "latitude", "longitude")
 
 PRED = """pred AS (
-  SELECT event_type AS model, event_id AS sample_id, value AS actual,
+  SELECT CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_type END AS model, event_id AS sample_id, value AS actual,
          value * 0.8e0 + CAST(user_id % 13 AS DOUBLE) AS predicted FROM events)"""
 
 METRICS = PRED + """,
