@@ -238,10 +238,10 @@ def _hist_sql() -> str:
     return """WITH r AS (SELECT (value * 0.8e0 + CAST(user_id % 13 AS DOUBLE)) - value AS residual FROM events),
 s AS (SELECT min(residual) AS mn, max(residual) AS mx FROM r),
 w AS (SELECT mn, CASE WHEN mx > mn THEN (mx - mn) / 30e0 ELSE 1e0 END AS width FROM s),
-b AS (SELECT CAST(least(floor((residual - mn) / width), 29) AS INTEGER) AS bin, mn, width FROM r, w)
-SELECT bin, round(any_value(mn) + bin * any_value(width), 6) AS bin_start,
-       round(any_value(mn) + (bin + 1) * any_value(width), 6) AS bin_end, count(*) AS count
-FROM b GROUP BY bin"""
+b AS (SELECT CAST(least(floor((residual - mn) / width), 29) AS INTEGER) AS bin, mn, width FROM r, w),
+c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
+SELECT CAST(i AS INTEGER) AS bin, round(mn + i * width, 6) AS bin_start, round(mn + (i + 1) * width, 6) AS bin_end,
+       coalesce(n, 0) AS count FROM range(30) r(i) JOIN w ON true LEFT JOIN c ON bin = i"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -478,7 +478,9 @@ UNION ALL SELECT 'cemig_both', 'S' || CAST(s_suppkey AS VARCHAR), NULL, NULL, NU
 UNION ALL SELECT 'codevasf', 'R' || CAST(p_partkey AS VARCHAR), NULL, -18.2e0, -45.1e0, NULL,
        round(p_retailprice, 6) FROM part
 UNION ALL SELECT 'guaicuy', 'O' || CAST(o_orderkey AS VARCHAR), CAST(o_orderdate AS DATE), NULL, NULL,
-       round(o_totalprice / 1000e0, 6), NULL FROM orders"""
+       round(o_totalprice / 1000e0, 6), NULL FROM orders
+UNION ALL SELECT 'long', 'E' || CAST(user_id AS VARCHAR), CAST(ts AS DATE), NULL, NULL,
+       CASE WHEN event_id % 3 = 0 THEN round(value, 6) END, CASE WHEN event_id % 3 = 1 THEN round(value, 6) END FROM events"""
     # -- scenes
     s["best_scene"] = (f"WITH {BEST} SELECT sample_id, scene_id, round(cloud_pct, 6) AS cloud_pct, image_date "
                        "FROM best")

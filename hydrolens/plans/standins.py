@@ -182,11 +182,13 @@ def station_fixes(spark, sf_dir) -> DataFrame:
 
 
 def field_sources(spark, sf_dir) -> dict[str, DataFrame]:
-    """Four field sources with their own column spellings."""
+    """Five field sources with their own column spellings, the last one in the
+    long layout (a row per measurement)."""
     c = table(spark, sf_dir, "customer")
     s = table(spark, sf_dir, "supplier")
     p = table(spark, sf_dir, "part")
     o = table(spark, sf_dir, "orders")
+    e = table(spark, sf_dir, "events")
     return {
         "cemig_turbidity": c.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("Sitio_cord"),
                                     F.col("c_acctbal").alias("Turbidez"),
@@ -204,6 +206,11 @@ def field_sources(spark, sf_dir) -> dict[str, DataFrame]:
                             .otherwise(F.date_format(F.col("o_orderdate"), "yyyy-MM-dd")).alias("Data"),
                             F.replace((F.col("o_totalprice") / F.lit(1000.0)).cast("string"),
                                       F.lit("."), F.lit(",")).alias("Turbidez")),
+        "long": e.select(F.concat(F.lit("E"), F.col("user_id").cast("string")).alias("sitio_cod"),
+                         F.date_format(F.col("ts").cast("date"), "d/M/yyyy").alias("data"),
+                         F.when(F.col("event_id") % 3 == 0, "Turbidez").when(F.col("event_id") % 3 == 1, "Clorofila a")
+                         .otherwise("pH").alias("paramet"), F.lit("x").alias("unidade"),
+                         F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")).alias("result")),
     }
 
 
