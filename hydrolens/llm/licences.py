@@ -28,7 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, stored, table
+from .common import stored, table
 
 UNKNOWN = "unknown"
 #: documents whose paragraphs describe ordinary text, about
@@ -124,26 +124,31 @@ class LicenceModel:
         return F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), F.array(*map(F.lit, self.probes)))
 
     def classify(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (paragraph) with family, probability and confirmed."""
-        scored = _probabilities(rows, self.vocabulary, self.model)
+        """``rows`` (paragraph) with family, probability and confirmed.
+
+        The words and then the probabilities are written before they are used
+        again: a filter on a computed column would else be carried down to the
+        words and take every paragraph apart once per word."""
+        split = stored(rows.withColumn("_w", words(F.col("paragraph"))), "licence-candidates")
+        scored = stored(_probabilities(split, self.vocabulary, self.model).drop("_g", "_x"), "licence-scores")
         known = F.array_max(F.slice("_p", 1, len(self.families) - 1))
         best = F.get(F.array(*[F.lit(f) for f in self.families]),
                      F.array_position("_p", known).cast("int") - 1)
         family = F.when((known >= self.threshold) & (known >= F.get("_p", len(self.families) - 1)), best)
         return (scored.withColumn("probability", known).withColumn("family", F.coalesce(family, F.lit(UNKNOWN)))
-                .withColumn("confirmed", _confirmed(F.col("family"), F.col("_w")))
-                .drop("_p", "_w", "_g", "_x"))
+                .withColumn("confirmed", _confirmed(F.col("family"), F.col("_w"))).drop("_p", "_w"))
 
 
 def _probabilities(rows: DataFrame, vocabulary: list[str], model: LogisticRegressionModel) -> DataFrame:
+    """``rows`` (``_w``) with ``_p``, the probability of each family."""
     got = _vectors(rows, vocabulary)
     got = model.setFeaturesCol("_x").setProbabilityCol("_q").setRawPredictionCol("").setPredictionCol("").transform(got)
     return got.withColumn("_p", vector_to_array("_q")).drop("_q")
 
 
 def _vectors(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
-    w = rows.withColumn("_w", words(F.col("paragraph")))
-    g = w.withColumn("_g", F.concat(*[grams(F.col("_w"), n) for n in (1, 2, 3)]))
+    """``rows`` (``_w``) with the feature vector ``_x``."""
+    g = rows.withColumn("_g", F.concat(*[grams(F.col("_w"), n) for n in (1, 2, 3)]))
     return CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_g", outputCol="_x").setBinary(True).transform(g)
 
 
@@ -193,11 +198,13 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LicenceModel:
     background = sample.withColumn("label", F.lit(float(len(families) - 1)))
     kept_out = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2)) == 0
     rows = positive.union(background.where(~kept_out).select("paragraph", "label"))
+    rows = stored(rows.withColumn("_w", words(F.col("paragraph"))), "licence-examples")
     fitted = LogisticRegression(featuresCol="_x", labelCol="label", family="multinomial", regParam=1e-3,
                                 elasticNetParam=0.5, maxIter=60).fit(
         stored(_vectors(rows, vocabulary).select("_x", "label"), "licence-training"))
     # a probability that at most MAX_FALSE of the kept-out ordinary paragraphs pass
-    p = _probabilities(background.where(kept_out), vocabulary, fitted).select(
+    held = stored(background.where(kept_out).withColumn("_w", words(F.col("paragraph"))), "licence-kept-out")
+    p = _probabilities(held, vocabulary, fitted).select(
         F.array_max(F.slice("_p", 1, len(families) - 1)).alias("p"))
     top = p.agg(F.percentile_approx("p", 1 - MAX_FALSE, 10000)).first()[0]
     probes = sorted({max(re.findall("[a-z0-9]+", w), key=len) for w in rare})
@@ -205,9 +212,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LicenceModel:
 
 
 def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """Believed paragraphs of ``docs`` (text and more): ``doc``, paragraph,
-    family, probability, confirmed."""
-    rows = packed(docs, "text").where(model.may_match(F.col("text")))
+    """Believed paragraphs of ``docs`` (text and more): ``doc`` (all other
+    columns), paragraph, family, probability, confirmed."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("doc"), "text").where(model.may_match(F.col("text")))
     rows = paragraphs(rows).where(model.may_match(F.col("paragraph")))
     return model.classify(rows).where(F.col("family") != UNKNOWN)
 

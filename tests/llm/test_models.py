@@ -118,7 +118,8 @@ def test_licences(spark, odd, empty):
 def test_probes_miss_no_paragraph_with_a_feature(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     model = C.train(docs)
-    rows = C._vectors(C.paragraphs(docs), model.vocabulary).select(model.may_match(F.col("paragraph")).alias("may"), "_x")
+    lines = C.paragraphs(docs).withColumn("_w", C.words(F.col("paragraph")))
+    rows = C._vectors(lines, model.vocabulary).select(model.may_match(F.col("paragraph")).alias("may"), "_x")
     got = rows.collect()
     assert any(r["_x"].numNonzeros() for r in got)
     assert all(r["may"] for r in got if r["_x"].numNonzeros())
