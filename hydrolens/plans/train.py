@@ -23,6 +23,7 @@ from ..operators import learn as L
 from ..operators.clean import (drop_null_any, present_features, require_columns, threshold_filter)
 from ..operators.profile import iqr_keep
 from ..session import checkpoint_dir
+from ..sources import sinks
 
 log = logging.getLogger(__name__)
 
@@ -124,7 +125,7 @@ def train_models(df: DataFrame, target: str, models=MODEL_NAMES, cloud_threshold
     reported, the others go on.  Returns metrics rows, predictions, models."""
     from concurrent.futures import ThreadPoolExecutor
     prep, feats = preprocess(df, target, cloud_threshold=cloud_threshold, key=key)
-    train, test, _ = split_and_scale(prep, feats, key)
+    train, test, scaler = split_and_scale(prep, feats, key)
 
     def run(kind):
         try:
@@ -133,10 +134,10 @@ def train_models(df: DataFrame, target: str, models=MODEL_NAMES, cloud_threshold
             cv = cv_scores(kind, train, feats, key) if with_cv else []
             row = (target, kind, met["rmse"], met["mae"], met["r2"],
                    float(np.mean(cv)) if cv else None, float(np.std(cv)) if cv else None, None)
-            return row, pred, m
+            return row, pred, m, cv
         except Exception as e:  # noqa: BLE001 - failure isolation per model
             log.exception("model %s failed for %s", kind, target)
-            return (target, kind, None, None, None, None, None, f"{type(e).__name__}: {e}"), None, None
+            return (target, kind, None, None, None, None, None, f"{type(e).__name__}: {e}"), None, None, []
 
     # independent model fits run as concurrent Spark jobs
     with ThreadPoolExecutor(max_workers=len(models)) as ex:
@@ -144,7 +145,44 @@ def train_models(df: DataFrame, target: str, models=MODEL_NAMES, cloud_threshold
     rows = [d[0] for d in done]
     preds = {k: d[1] for k, d in zip(models, done) if d[1] is not None}
     fitted = {k: d[2] for k, d in zip(models, done) if d[2] is not None}
-    return {"rows": rows, "predictions": preds, "models": fitted, "features": feats}
+    scores = {k: d[3] for k, d in zip(models, done)}
+    return {"target": target, "rows": rows, "predictions": preds, "models": fitted, "features": feats,
+            "scaler": {f: list(v) for f, v in scaler.items()}, "cv_scores": scores}
+
+
+def prediction_table(result: dict) -> DataFrame | None:
+    """(model, key, label, prediction) of every fitted model, long."""
+    out = None
+    for kind, pred in result["predictions"].items():
+        p = pred.select(F.lit(kind).alias("model"), "*")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def cv_score_table(spark: SparkSession, result: dict) -> DataFrame:
+    """(model, fold, r2): the scores behind the mean and deviation."""
+    rows = [(k, i, float(v)) for k, scores in result["cv_scores"].items() for i, v in enumerate(scores)]
+    return spark.createDataFrame(rows, "model string, fold int, r2 double")
+
+
+def write_run(spark: SparkSession, result: dict, root: str, stamp: str | None = None) -> str:
+    """Everything of one training run in a folder of its own: comparison, fold
+    scores, predictions, features, scaler and every fitted model (linear
+    coefficients as scalars)."""
+    folder = sinks.run_folder(root, result["target"], stamp)
+    comparison_frame(spark, result["rows"]).write.parquet(f"{folder}/comparison")
+    cv_score_table(spark, result).write.parquet(f"{folder}/cv_scores")
+    preds = prediction_table(result)
+    if preds is not None:
+        preds.write.parquet(f"{folder}/predictions")
+    sinks.artifacts_frame(spark, folder, "features", result["features"]).write.parquet(f"{folder}/features")
+    sinks.save_fitted(spark, result["scaler"], f"{folder}/scaler")
+    for kind, m in result["models"].items():
+        if isinstance(m, dict):
+            sinks.save_fitted(spark, m, f"{folder}/models/{kind}")
+        else:
+            sinks.save_model(m, f"{folder}/models/{kind}")
+    return folder
 
 
 COMPARISON_SCHEMA = ("target string, model string, rmse double, mae double, r2 double, cv_mean double, "

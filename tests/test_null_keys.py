@@ -132,3 +132,17 @@ def test_nested_search_in_ridge_scores(spark):
         best = max([0.1, 10.0, 100.0], key=lambda a: np.mean([
             r2(part, *fit([k for k in train if k not in set(part)], a)) for part in folds(train)]))
         assert got[f] == pytest.approx(r2(test, *fit(train, best)), rel=1e-9)
+
+
+def test_a_run_is_written_whole(spark, tmp_path):
+    from conftest import SF_SMALL
+    from hydrolens.plans import standins as SI
+    from hydrolens.plans import train as T
+    from hydrolens.sources import sinks
+    res = T.train_models(SI.training_rows(spark, SF_SMALL), "turbidity", models=["Ridge"])
+    folder = T.write_run(spark, res, str(tmp_path), "20240101_000000")
+    assert spark.read.parquet(f"{folder}/comparison").first().model == "Ridge"
+    assert spark.read.parquet(f"{folder}/cv_scores").count() == 5
+    assert spark.read.parquet(f"{folder}/predictions").where("prediction IS NOT NULL").count() > 0
+    assert sinks.load_fitted(spark, f"{folder}/models/Ridge") == res["models"]["Ridge"]
+    assert set(sinks.load_fitted(spark, f"{folder}/scaler")) == set(res["features"])
