@@ -51,7 +51,7 @@ def measure(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     # white space at both ends off, so that the split has no empty ends
-    core = F.expr(r"trim(BOTH ' \t\n\u000B\f\r' FROM coalesce(text, ''))")
+    core = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
     d = (docs.withColumn("_core", core)
          .withColumn("_w", F.when(F.col("_core") == "", F.array().cast("array<string>"))

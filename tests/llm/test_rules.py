@@ -18,6 +18,16 @@ def test_measures_of_odd_rows(odd):
         assert tuple(r[2:]) == measures(r.text), r.doc_id
 
 
+def test_letters_and_form_feeds_at_the_ends(spark):
+    fifty = " ".join(f"w{i}" for i in range(49))
+    texts = ["of of of", "f of of of", "fff", "\x0cf a b f\x0c", "\x0b\x0cone two\x0c", "\x0c", fifty + " f", "ff " + fifty,
+             "\x0c" + fifty + "\x0c", "tnr x0bu", "a \u2028", "\u0085 b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = H.measure(df).select("text", *H.MEASURES).collect()
+    for r in got:
+        assert tuple(r[1:]) == measures(r.text), repr(r.text)
+
+
 def test_quality_filter_keeps_rows_whole(odd, empty):
     kept = H.quality_filter(odd)
     assert kept.columns == odd.columns
