@@ -5,15 +5,18 @@
    documents a domain, drawn by hash) and gives every document its posterior
    over the domains.
 2. Every document gets a rate r >= 0, its expected number of copies, by
-   projected-gradient least squares: with n tokens, posterior p and T(k) the sum
-   of r n p(k), minimise
+   least squares: with n tokens, posterior p and T(k) the sum of r n p(k),
+   minimise
        sum_k (T(k) - target(k))^2 / T0(k)  +  ridge * sum n (r - 1)^2
-   where T0 are the totals at r = 1.  In the token-weighted metric the gradient
-   of a document is sum_k p(k) (T(k) - target(k)) / T0(k) + ridge (r - 1), and
-   its Lipschitz constant is at most 1 + ridge, so every step is
-   r <- max(0, r - step * gradient).  One aggregate of as many sums as domains
-   a step; a document's rate is recomputed from the residuals of the steps so
-   far, so no rate is stored or shuffled.
+   where T0 are the totals at r = 1.  At the minimum the projected gradient
+   sum_k p(k) e(k) + ridge (r - 1) with e(k) = (T(k) - target(k)) / T0(k) is
+   zero, so r = max(0, 1 - sum_k p(k) u(k)) with u = e / ridge: as many unknowns
+   as domains.  They minimise the convex dual
+       ridge / 2 sum T0 u^2 + sum target u + 1/2 sum n max(0, 1 - p u)^2
+   which is piecewise quadratic, by Newton steps, halved when the dual doesn't
+   fall.  One aggregate a step gives totals and K x K Hessian; a document's rate
+   is computed from u, so no rate is stored or shuffled.  The fit ends when the
+   gradient is at most TOLERANCE of all tokens and raises an error otherwise.
 
 Defined results: a null text has no tokens and the prior posterior; label rows
 with neither value, or for unknown documents, are not used; without usable
@@ -39,7 +42,10 @@ SAMPLE_ROWS = 2000
 HASH_BITS = 16
 TARGETS = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
 RIDGE = 1e-3
-STEPS = 24
+#: a gradient of at most this share of all tokens is the optimum
+TOLERANCE = 1e-9
+#: more aggregates than this are an error
+STEPS = 200
 N_SHAPES = 5
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
@@ -153,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
         return ["all"], None
     at = {d: k for k, d in enumerate(domains)}
     rows = sorted(((at[r["domain"]], bytes(r["words"]), bytes(r["shapes"])) for r in got))
-    return domains, fit([(k, np.frombuffer(w, "<u2"), np.frombuffer(s, "<f8")) for k, w, s in rows], len(domains))
+    par = fit([(k, np.frombuffer(w, "<u2"), np.frombuffer(s, "<f8")) for k, w, s in rows], len(domains))
+    return domains, par
 
 
 def _posterior_task(domains: list[str], shared):
@@ -178,34 +185,57 @@ def posteriors(docs: DataFrame, domains: list[str], par) -> DataFrame:
 
 
 # -- rates ------------------------------------------------------------------------------------
-def _rate(domains: list[str], residuals: list[dict[str, float]], ridge: float) -> Column:
-    """The rate after the steps whose scaled residuals are given."""
-    step, r = 1 / (1 + ridge), F.lit(1.0)
-    for e in residuals:
-        pull = sum((F.col(f"p_{d}") * F.lit(step * e[d]) for d in domains), F.lit(-step * ridge))
-        r = F.greatest(F.lit(0.0), r * F.lit(1 - step * ridge) - pull)
-    return r
+def _rate(domains: list[str], pull: dict[str, float]) -> Column:
+    """The best rate under the scaled residuals ``pull`` (residual / ridge)."""
+    return F.greatest(F.lit(0.0), sum((F.col(f"p_{d}") * F.lit(-pull[d]) for d in domains if d in pull), F.lit(1.0)))
 
 
 def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float], ridge: float = RIDGE,
               steps: int = STEPS) -> tuple[Column, dict[str, float], dict[str, float]]:
-    """(rate column, target tokens, expected tokens at these rates)."""
-    def totals(residuals):
-        rated = scored.select("n_tokens", *[f"p_{d}" for d in domains], _rate(domains, residuals, ridge).alias("_r"))
-        got = rated.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}") * F.col("_r")).alias(d) for d in domains]).first()
-        return {d: got[d] or 0.0 for d in domains}
-    base = totals([])
+    """(rate column, target tokens, expected tokens at these rates); an error
+    if the optimum isn't reached in ``steps`` aggregates."""
+    def sums(pull, ds):
+        """Totals, dual part and Hessian part at the rates under ``pull``."""
+        n, r = F.col("n_tokens"), F.col("_r")
+        pairs = [(x, y) for i, x in enumerate(ds) for y in ds[i:]]
+        got = scored.select("n_tokens", *[f"p_{d}" for d in domains], _rate(domains, pull).alias("_r")).agg(
+            F.sum(n * r * r).alias("dual"), *[F.sum(n * F.col(f"p_{d}") * r).alias(f"t_{d}") for d in domains],
+            *[F.sum(F.when(r > 0, n * F.col(f"p_{x}") * F.col(f"p_{y}"))).alias(f"h_{ds.index(x)}_{ds.index(y)}")
+              for x, y in pairs]).first()
+        h = np.zeros((len(ds), len(ds)))
+        for x, y in pairs:
+            i, j = ds.index(x), ds.index(y)
+            h[i, j] = h[j, i] = got[f"h_{i}_{j}"] or 0.0
+        return {d: got[f"t_{d}"] or 0.0 for d in domains}, got["dual"] or 0.0, h
+    base, _, _ = sums({}, [])
     every = sum(base.values())
     asked = {d: targets[d] for d in domains if targets.get(d) is not None and base[d] > 0}
     want = {d: every * w / sum(asked.values()) for d, w in asked.items()} if sum(asked.values()) > 0 else {}
-    residuals: list[dict[str, float]] = []
-    now = base
-    for _ in range(steps if want else 0):
-        residuals.append({d: (now[d] - want[d]) / base[d] if d in want else 0.0 for d in domains})
-        now = totals(residuals)
-        if all(abs(now[d] - want[d]) <= 1e-4 * want[d] for d in want):
-            break
-    return _rate(domains, residuals, ridge), want, now
+    if not want:
+        return _rate(domains, {}), want, base
+    ds = list(want)
+    t0, goal = np.array([base[d] for d in ds]), np.array([want[d] for d in ds])
+
+    def at(u):
+        """Dual value over ridge, its gradient and Hessian, and the totals."""
+        now, dual, h = sums(dict(zip(ds, map(float, u))), ds)
+        value = ridge * (t0 * u * u).sum() / 2 + (goal * u).sum() + dual / 2
+        grad = ridge * t0 * u + goal - np.array([now[d] for d in ds])
+        return value, grad, np.diag(ridge * t0) + h, now
+    u, size = np.zeros(len(ds)), 1.0
+    value, grad, hess, now = at(u)
+    for _ in range(steps):
+        if np.abs(grad).max() <= TOLERANCE * every:
+            return _rate(domains, dict(zip(ds, map(float, u)))), want, now
+        move = -np.linalg.solve(hess, grad)
+        v, g, h, t = at(u + size * move)
+        slope = size * float(grad @ move)
+        if v <= value + 1e-4 * slope + 1e-13 * abs(value) or np.abs(g).max() < 0.5 * np.abs(grad).max():
+            u, size, value, grad, hess, now = u + size * move, 1.0, v, g, h, t
+        else:
+            size /= 2
+    raise RuntimeError(f"op2_mixing: rates not fitted after {steps} steps; "
+                       f"gradient {np.abs(grad).max() / every:.1e} of all tokens, reached {now}, wanted {want}")
 
 
 def copies_of(rate: Column, key: Column) -> Column:

@@ -1,6 +1,7 @@
 """Mixing, licences, language identification."""
 
 import numpy as np
+import pytest
 from conftest import SF, odd_rows
 from pyspark.sql import functions as F
 
@@ -44,6 +45,25 @@ def test_rates_are_the_brute_force_minimum(spark):
     assert np.allclose([order[int(a), float(b[0])] for a, b in zip(n, p)], x, atol=2e-3)
 
 
+def test_soft_memberships_reach_the_least_squares_answer(spark):
+    domains = ["good", "poor", "toxic"]
+    for alpha, seed in ((0.3, 1), (2.0, 2), (30.0, 3)):
+        r = np.random.default_rng(seed)
+        n, p = r.integers(20, 400, 4000), r.dirichlet([alpha] * 3, 4000)
+        df = spark.createDataFrame([(int(a), *map(float, x)) for a, x in zip(n, p)],
+                                   "n_tokens long, " + ", ".join(f"p_{d} double" for d in domains))
+        rate, want, now = M.fit_rates(df, domains, M.TARGETS)
+        got = df.select("n_tokens", *[f"p_{d}" for d in domains], rate.alias("rate")).toPandas()
+        n, x, q = got.n_tokens.to_numpy(), got.rate.to_numpy(), got[[f"p_{d}" for d in domains]].to_numpy()
+        t = (n * x) @ q
+        assert np.allclose(t, [now[d] for d in domains])
+        # conditions of the minimum: the gradient is zero, or positive at rate zero
+        g = q @ ((t - [want[d] for d in domains]) / (n @ q)) + M.RIDGE * (x - 1)
+        assert (x >= 0).all() and np.abs(g[x > 0]).max() < 1e-6 and g[x == 0].min(initial=0) > -1e-6
+    with pytest.raises(RuntimeError):
+        M.fit_rates(df, domains, M.TARGETS, steps=1)
+
+
 def test_mixing_odd(spark, odd, empty):
     labels = spark.createDataFrame([(5, 1, 0), (9, None, 1), (30, 0, None), (777, 1, 1), (1, None, None), (None, 1, 1)],
                                    "doc_id long, quality int, toxic int")
