@@ -4,6 +4,9 @@
    learns domains from the ``labels`` table (at most ``SAMPLE_ROWS`` labelled
    documents a domain, drawn by hash) and gives every document its posterior
    over the domains.
+   The sample's domain shares are not the table's, so the log of each domain's
+   sampling share is taken off its bias: the posteriors carry the prior of the
+   whole label table at every size.
 2. Every document gets a rate r >= 0, its expected number of copies, by
    least squares: with n tokens, posterior p and T(k) the sum of r n p(k),
    minimise
@@ -27,6 +30,7 @@ carried untouched by ``mix``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +51,8 @@ TOLERANCE = 1e-9
 #: more aggregates than this are an error
 STEPS = 200
 N_SHAPES = 5
+#: the sample is drawn by a hash of the id into so many equal draws
+DRAWS = 1 << 40
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 _IS_UPPER = np.array([65 <= c <= 90 for c in range(256)])
@@ -149,9 +155,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     counts = {r["domain"]: r["count"] for r in labelled.groupBy("domain").count().collect()}
     if not counts:
         return ["all"], None
-    share = F.coalesce(*[F.when(F.col("domain") == d, F.lit(sample_rows / n)) for d, n in sorted(counts.items())])
+    # whole draws, so that these are the very shares that are drawn
+    drawn_share = {d: min(DRAWS, math.ceil(sample_rows / n * DRAWS)) / DRAWS for d, n in counts.items()}
+    share = F.coalesce(*[F.when(F.col("domain") == d, F.lit(drawn_share[d])) for d in sorted(counts)])
     # at most about sample_rows a domain, so this side is bounded
-    drawn = labelled.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20))
+    drawn = labelled.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(DRAWS)) < share * DRAWS)
     got = (docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("domain", "text")
            .mapInArrow(_sample_features, "domain string, words binary, shapes binary").collect())
     domains = sorted({r["domain"] for r in got})
@@ -160,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     at = {d: k for k, d in enumerate(domains)}
     rows = sorted(((at[r["domain"]], bytes(r["words"]), bytes(r["shapes"])) for r in got))
     par = fit([(k, np.frombuffer(w, "<u2"), np.frombuffer(s, "<f8")) for k, w, s in rows], len(domains))
+    par[2] -= np.log([drawn_share[d] for d in domains])
     return domains, par
 
 

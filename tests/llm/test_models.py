@@ -64,6 +64,19 @@ def test_soft_memberships_reach_the_least_squares_answer(spark):
         M.fit_rates(df, domains, M.TARGETS, steps=1)
 
 
+def test_posteriors_carry_the_prior_of_the_label_table(spark):
+    # texts that tell nothing, one toxic label in ten
+    r = np.random.default_rng(7)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in r.integers(0, 30, 40))) for i in range(2000)],
+                                 "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    M.arrow_batches(spark)
+    for sample in (150, 2000):
+        domains, par = M.train(docs, labels, sample_rows=sample)
+        p = M.posteriors(docs, domains, par).toPandas().p_toxic
+        assert 0.05 < p.mean() < 0.18, sample
+
+
 def test_mixing_odd(spark, odd, empty):
     labels = spark.createDataFrame([(5, 1, 0), (9, None, 1), (30, 0, None), (777, 1, 1), (1, None, None), (None, 1, 1)],
                                    "doc_id long, quality int, toxic int")
