@@ -14,12 +14,13 @@ There are sqrt(rows) / 4 parts, so the matrix and the parts grow alike: at 1e11
 rows 80,000 parts of 1.3 million rows.
 
 DataFrame functions only; the matrix itself is drawn on the driver from the
-parts' counts.  Keys are hashes of (seed, whole row), written to a table before
-they are used, so a lost executor repeats the same draw.
+parts' counts.  Keys are hashes of (seed, whole row, number of the row), so that
+equal rows are shuffled apart; they are written to a table before they are used,
+so a lost executor repeats the same draw.
 
 Law ``rows``: shard sizes differ by at most one row.  Defined results: a null
 text has size 1 and the checksum of the empty text; a null doc_id is dealt like
-any other; equal rows take different slots; extra columns are carried untouched
+any other; equal rows have independent shards and slots; extra columns are carried untouched
 by ``shard_documents``; an empty table gives an empty result.
 """
 
@@ -94,7 +95,8 @@ def assign(rows: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataF
     ``_again`` must be free)."""
     spark = rows.sparkSession
     whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    keyed = stored(rows.select("*", F.xxhash64(F.lit(seed), whole).alias("_key")), "sharding", "zstd")
+    key = F.xxhash64(F.lit(seed), whole, F.monotonically_increasing_id())
+    keyed = stored(rows.select("*", key.alias("_key")), "sharding", "zstd")
     n = keyed.count()
     n_parts = max(1, math.isqrt(n) // 4)
     part = F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(n_parts)).cast("int")

@@ -98,6 +98,17 @@ def test_sharding(spark, odd, empty):
     assert got.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
 
 
+def test_equal_rows_are_shuffled_apart(spark):
+    rows = [(i, f"text {i}", "en", "a") for i in range(400) for _ in range(2)] + [(-1, "same", "en", "a")] * 400
+    out = H.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    pairs = out[out.doc_id >= 0].groupby("doc_id").shard.nunique()
+    assert (pairs == 1).mean() < 0.2
+    same = out[out.doc_id < 0]
+    assert same.groupby("shard").size().reindex(range(16), fill_value=0).between(10, 40).all()
+    back = same.sort_values(["shard", "slot"])
+    assert (back.groupby("shard").slot.diff() == 1).mean() < 0.5
+
+
 def test_matrix_is_that_of_a_random_permutation():
     parts, shards = [7, 0, 12, 5], [6, 6, 6, 6]
     draws = np.array([H.communication_matrix(parts, shards, s) for s in range(4000)])
