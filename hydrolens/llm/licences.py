@@ -1,13 +1,18 @@
 """Licence scan: a trained paragraph classifier with template confirmation.
 
-A paragraph (a line with a word) is described by its word n-grams (one to
-three words) that the licence templates know and that hold a distinctive word,
-one that is rare in the corpus.  A sparse multinomial logistic regression over
-them tells the licence families and ``unknown`` apart; it is trained on the
-templates, cut and joined in several ways, and on a bounded sample of the
-corpus' own paragraphs.  A family is only believed above a probability that is
-calibrated on sample paragraphs kept out of training, and a believed paragraph
-is confirmed when it holds most 3-word windows of one of the family's templates.
+A paragraph is a line with a word, or all lines of a block (lines between lines
+without a letter or digit) joined, less those that are a notice by themselves,
+so that wrapped and commented notices are found.  It is described by its word
+n-grams (one to three words) that the licence templates know and that hold a
+distinctive word, one that is rare among the ordinary lines of all documents.  A
+sparse multinomial logistic regression over them tells the licence families and
+``unknown`` apart; it is trained on the templates, cut and joined in several
+ways, and on a bounded sample of the corpus' own lines.  A paragraph is only
+believed above a probability that is calibrated on all ordinary lines kept out
+of training; lines that pass the template comparison are not ordinary.  A
+believed paragraph is confirmed when it holds most 3-word windows of a template
+and all of its marks (name and version); the best such template names the family,
+else the regression does.
 
 DataFrame functions and Spark ML only.  A paragraph without a distinctive word
 has no feature and so the model's answer for the empty vector, ``unknown``;
@@ -20,12 +25,14 @@ table gives an empty result (the model is then trained on templates alone).
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -38,6 +45,8 @@ RARE = 50
 #: share of kept-out ordinary paragraphs that may be believed
 MAX_FALSE = 0.001
 CONFIRM_PCT = 80
+#: bins of the score histogram
+BINS = 10000
 #: fixed texts: the usual short notices of each licence family
 TEMPLATES = {
     "apache-2.0": [
@@ -61,7 +70,49 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or any later "
         "version.",
-        "SPDX-License-Identifier: GPL-3.0-or-later"],
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only"],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or any later "
+        "version.",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only"],
+    "lgpl-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-2.1-only"],
+    "lgpl-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or any "
+        "later version.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only"],
+    "agpl-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or any "
+        "later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "SPDX-License-Identifier: AGPL-3.0-only"],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC"],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense"],
+    "cc0-1.0": [
+        "Licensed under CC0 1.0.",
+        "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal Public Domain "
+        "Dedication.",
+        "SPDX-License-Identifier: CC0-1.0"],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0"],
@@ -75,6 +126,25 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
 }
+#: what tells a family from its kin, the name first; a template's own marks must
+#: all be there
+MARKS = {
+    "apache-2.0": ["apache license version 2.0", "apache-2.0"],
+    "mit": ["mit license", "hereby granted free of charge", "spdx-license-identifier mit"],
+    "bsd": ["redistribution and use in source and binary forms", "bsd license", "bsd-3-clause"],
+    "gpl-3.0": ["gnu general public license", "version 3", "gpl-3.0-or-later", "gpl-3.0-only"],
+    "gpl-2.0": ["gnu general public license", "version 2", "gpl-2.0-or-later", "gpl-2.0-only"],
+    "lgpl-2.1": ["gnu lesser general public license", "version 2.1", "lgpl-2.1-or-later", "lgpl-2.1-only"],
+    "lgpl-3.0": ["gnu lesser general public license", "version 3", "lgpl-3.0-or-later", "lgpl-3.0-only"],
+    "agpl-3.0": ["gnu affero general public license", "version 3", "agpl-3.0-or-later", "agpl-3.0-only"],
+    "isc": ["hereby granted provided that", "isc license", "spdx-license-identifier isc"],
+    "unlicense": ["unencumbered software", "spdx-license-identifier unlicense"],
+    "cc0-1.0": ["cc0 1.0", "cc0-1.0"],
+    "mpl-2.0": ["mozilla public license v 2.0", "mpl-2.0"],
+    "cc-by": ["cc by 4.0", "commons attribution 4.0"],
+    "cc-by-sa": ["cc by-sa 4.0", "commons attribution-sharealike 4.0"],
+    "cc-by-nc": ["cc by-nc 4.0", "commons attribution-noncommercial 4.0"],
+}
 _SPLIT = r"[^a-z0-9.\-]+"
 
 
@@ -89,7 +159,12 @@ def grams_of(words: list[str], sizes=(1, 2, 3)) -> list[str]:
 def words(text: Column) -> Column:
     """As ``words_of``."""
     parts = F.split(F.lower(text), _SPLIT)
-    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^[.\-]+|[.\-]+$", "")), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(".-"))), lambda x: x != "")
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def grams(w: Column, n: int) -> Column:
@@ -103,6 +178,67 @@ def paragraphs(docs: DataFrame) -> DataFrame:
             .where(F.col("paragraph").rlike(r"[^\x20\x09-\x0D]")).drop("text"))
 
 
+def blocks(docs: DataFrame) -> DataFrame:
+    """One row per run of lines between lines without a letter or digit, such
+    as bare comment signs: ``_lines`` beside the columns."""
+    parts = F.split(F.coalesce("text", F.lit("")), r"\n[^\p{L}\p{N}]*\n")
+    return (docs.withColumn("_b", F.explode(parts)).drop("text")
+            .withColumn("_lines", F.filter(F.split("_b", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+            .drop("_b").where(F.size("_lines") > 0))
+
+
+def _templates() -> list[dict]:
+    out = []
+    for family, texts in TEMPLATES.items():
+        for t in texts:
+            w = words_of(t)
+            flat = f" {' '.join(w)} "
+            marks = [f" {m} " for m in MARKS[family] if f" {m} " in flat]
+            out.append({"family": family, "windows": sorted(set(grams_of(w, (3,)) or [" ".join(w)])), "marks": marks})
+    return out
+
+
+def _anchors() -> list[str]:
+    """A text that holds all marks of a template holds one of these runs of
+    letters and digits."""
+    return sorted({re.findall("[a-z0-9]+", t["marks"][0])[0] for t in _templates()})
+
+
+def _has_anchor(text: Column) -> Column:
+    return F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), F.array(*map(F.lit, _anchors())))
+
+
+def _matches(w: Column) -> Column:
+    """Templates of which the words ``w`` hold CONFIRM_PCT of the windows:
+    share, family, and whether all marks are there."""
+    known = F.from_json(F.lit(json.dumps(_templates())),
+                        "array<struct<family string, windows array<string>, marks array<string>>>")
+    one = lambda w: F.struct(F.concat(grams(w, 2), grams(w, 3)).alias("m"),
+                             F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("s"))
+    held = lambda x: F.filter(F.transform(known, lambda t: F.struct(
+        (F.size(F.array_intersect(x["m"], t["windows"])) * 100 / F.size(t["windows"])).alias("share"),
+        t["family"].alias("family"), F.forall(t["marks"], lambda m: F.contains(x["s"], m)).alias("marked"))),
+        lambda t: t["share"] >= CONFIRM_PCT)
+    return _let(_let(w, one), held)
+
+
+def _notice(text: Column) -> Column:
+    """Whether the text passes the comparison with any template."""
+    return _let(text, lambda t: F.when(_has_anchor(t), F.size(_matches(words(t))) > 0).otherwise(F.lit(False)))
+
+
+def _rest(lines: Column, notice: Callable[[Column], Column]) -> Column:
+    """The lines that aren't a ``notice`` by themselves."""
+    return _let(lines, lambda a: F.when(_has_anchor(F.array_join(a, " ")), F.filter(a, lambda x: ~notice(x))).otherwise(a))
+
+
+def ordinary(docs: DataFrame) -> DataFrame:
+    """``paragraphs`` without the lines that are a notice, alone or joined with
+    the lines of their block."""
+    plain = _let(_rest(F.col("_lines"), _notice), lambda a: F.when(~_notice(F.array_join(a, " ")), a))
+    return blocks(docs).withColumn("paragraph", F.explode(plain)).drop("_lines")
+
+
 def _variants(text: str) -> list[str]:
     """The template and what is met of it: halves, lower case, in a sentence."""
     w = text.split()
@@ -131,12 +267,16 @@ class LicenceModel:
         words and take every paragraph apart once per word."""
         split = stored(rows.withColumn("_w", words(F.col("paragraph"))), "licence-candidates")
         scored = stored(_probabilities(split, self.vocabulary, self.model).drop("_g", "_x"), "licence-scores")
-        known = F.array_max(F.slice("_p", 1, len(self.families) - 1))
-        best = F.get(F.array(*[F.lit(f) for f in self.families]),
-                     F.array_position("_p", known).cast("int") - 1)
-        family = F.when((known >= self.threshold) & (known >= F.get("_p", len(self.families) - 1)), best)
-        return (scored.withColumn("probability", known).withColumn("family", F.coalesce(family, F.lit(UNKNOWN)))
-                .withColumn("confirmed", _confirmed(F.col("family"), F.col("_w"))).drop("_p", "_w"))
+        unknown = F.get("_p", len(self.families) - 1)
+        known = F.slice("_p", 1, len(self.families) - 1)
+        likely = F.get(F.array(*[F.lit(f) for f in self.families]),
+                       F.array_position(known, F.array_max(known)).cast("int") - 1)
+        named = F.when(1 - unknown >= self.threshold, _named(F.col("_w")))
+        out = scored.withColumn("probability", 1 - unknown).withColumn("_likely", likely).withColumn("_named", named)
+        family = F.when(F.size("_named") > 0, F.col("_named")).when(F.col("_named").isNotNull(), F.array("_likely"))
+        return (out.withColumn("confirmed", F.coalesce(F.size("_named") > 0, F.lit(False)))
+                .withColumn("family", F.explode(F.coalesce(family, F.array(F.lit(UNKNOWN)))))
+                .drop("_p", "_w", "_likely", "_named"))
 
 
 def _probabilities(rows: DataFrame, vocabulary: list[str], model: LogisticRegressionModel) -> DataFrame:
@@ -152,21 +292,13 @@ def _vectors(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
     return CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_g", outputCol="_x").setBinary(True).transform(g)
 
 
-def _confirmed(family: Column, w: Column) -> Column:
-    """Whether the paragraph holds CONFIRM_PCT of the windows of one template."""
-    mine = grams(w, 3)
-    out = F.lit(False)
-    for name, texts in TEMPLATES.items():
-        tests = []
-        for t in texts:
-            g = sorted(set(grams_of(words_of(t), (3,)) or [" ".join(words_of(t))]))
-            held = F.size(F.array_intersect(F.concat(mine, F.array(F.array_join(w, " "))), F.array(*map(F.lit, g))))
-            tests.append(held * 100 >= CONFIRM_PCT * len(g))
-        any_ = tests[0]
-        for t in tests[1:]:
-            any_ = any_ | t
-        out = F.when(family == name, any_).otherwise(out)
-    return out
+def _named(w: Column) -> Column:
+    """Families of the best among the templates that the words hold with all
+    their marks."""
+    marked = F.filter(_matches(w), lambda t: t["marked"])
+    best = lambda m: F.array_max(F.transform(m, lambda t: t["share"]))
+    return _let(marked, lambda m: F.array_distinct(F.transform(
+        F.filter(m, lambda t: t["share"] >= best(m)), lambda t: t["family"])))
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LicenceModel:
@@ -174,18 +306,16 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LicenceModel:
     documents of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     n = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) * n < F.lit(sample_docs << 20))
-    known = sorted({" ".join(words_of(t)) for ts in TEMPLATES.values() for t in ts})
-    sample = stored(paragraphs(drawn.select("doc_id", "text"))
-                    .withColumn("_known", F.array_join(words(F.col("paragraph")), " "))
-                    .where(~F.col("_known").isin(known)).select("doc_id", "paragraph"), "paragraphs")
-    # distinctive words: rare among the sample's paragraphs; bounded by the templates' words
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) * n < F.lit(sample_docs << 20)
+    drawn = docs.where(draw)
+    sample = stored(ordinary(drawn.select("doc_id", "text")), "paragraphs")
+    # distinctive words: rare among all ordinary lines; bounded by the templates' words, "" counts the lines
     template_words = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)})
-    seen = (sample.select(F.explode(F.array_intersect(words(F.col("paragraph")),
-                                                      F.array(*map(F.lit, template_words)))).alias("w"))
-            .groupBy("w").count().collect())
-    total = sample.count()
-    common = {r["w"] for r in seen if r["count"] * RARE >= total}
+    met = F.array_distinct(F.filter(words(F.col("paragraph")), lambda x: x.isin(template_words)))
+    seen = {r["w"]: r["count"] for r in ordinary(docs.select("text")).select(
+        F.explode(F.concat(met, F.array(F.lit("")))).alias("w")).groupBy("w").count().collect()}
+    total = seen.pop("", 0)
+    common = {w for w, k in seen.items() if k * RARE >= total}
     rare = [w for w in template_words if w not in common and (len(w) > 1)]
     vocabulary = sorted({g for ts in TEMPLATES.values() for t in ts for g in grams_of(words_of(t))
                          if set(g.split()) & set(rare)})
@@ -202,13 +332,23 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LicenceModel:
     fitted = LogisticRegression(featuresCol="_x", labelCol="label", family="multinomial", regParam=1e-3,
                                 elasticNetParam=0.5, maxIter=60).fit(
         stored(_vectors(rows, vocabulary).select("_x", "label"), "licence-training"))
-    # a probability that at most MAX_FALSE of the kept-out ordinary paragraphs pass
-    held = stored(background.where(kept_out).withColumn("_w", words(F.col("paragraph"))), "licence-kept-out")
-    p = _probabilities(held, vocabulary, fitted).select(
-        F.array_max(F.slice("_p", 1, len(families) - 1)).alias("p"))
-    top = p.agg(F.percentile_approx("p", 1 - MAX_FALSE, 10000)).first()[0]
     probes = sorted({max(re.findall("[a-z0-9]+", w), key=len) for w in rare})
-    return LicenceModel(vocabulary, families, fitted, max(0.5, min(0.99, top or 0.0)), probes)
+    model = LicenceModel(vocabulary, families, fitted, 0.5, probes)
+    # a probability that at most MAX_FALSE of all ordinary lines out of training pass; those without a probe score least
+    trained = F.coalesce(draw & ~kept_out, F.lit(False))
+    n_held = total - background.where(~kept_out).count()
+    held = stored(ordinary(docs.where(~trained).select("text").where(model.may_match(F.col("text"))))
+                  .where(model.may_match(F.col("paragraph"))).select(words(F.col("paragraph")).alias("_w")),
+                  "licence-kept-out", "zstd")
+    known = 1 - F.get("_p", len(families) - 1)
+    scores = _probabilities(held, vocabulary, fitted).select(F.floor(known * BINS).cast("int").alias("b"))
+    above = 0
+    for r in sorted(scores.groupBy("b").count().collect(), reverse=True):
+        above += r["count"]
+        if above > MAX_FALSE * n_held:
+            model.threshold = max(0.5, min(0.99, (r["b"] + 1) / BINS))
+            break
+    return model
 
 
 def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
@@ -216,8 +356,22 @@ def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
     columns), paragraph, family, probability, confirmed."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*others).alias("doc"), "text").where(model.may_match(F.col("text")))
-    rows = paragraphs(rows).where(model.may_match(F.col("paragraph")))
-    return model.classify(rows).where(F.col("family") != UNKNOWN)
+    # a line that lacks a mark, as the version on the next line, stays with its block
+    rest = F.array_join(_rest(F.col("_lines"), lambda x: F.size(_named(words(x))) > 0), " ")
+    whole = F.when((F.size("_lines") > 1) & _has_anchor(F.array_join("_lines", " ")),
+                   F.array(F.struct(rest.alias("paragraph"), F.lit(True).alias("_joined"))))
+    lines = F.transform("_lines", lambda x: F.struct(x.alias("paragraph"), F.lit(False).alias("_joined")))
+    units = (blocks(rows).withColumn("_block", F.monotonically_increasing_id())
+             .select("doc", "_block", F.explode(F.concat(lines, F.coalesce(whole, F.slice(lines, 1, 0)))).alias("_u"))
+             .select("doc", "_block", "_u.*").where(model.may_match(F.col("paragraph"))))
+    found = model.classify(units).where(F.col("family") != UNKNOWN)
+    # joined lines count where they are confirmed and none of the lines is by itself
+    mine = Window.partitionBy("_block", "family")
+    sure = lambda joined: F.max(F.col("confirmed") & (F.col("_joined") == joined)).over(mine)
+    return (found.withColumn("_by_line", sure(False)).withColumn("_by_block", sure(True))
+            .where(F.when(F.col("_joined"), F.col("confirmed") & ~F.col("_by_line"))
+                   .otherwise(F.col("confirmed") | ~F.col("_by_block")))
+            .drop("_block", "_joined", "_by_line", "_by_block"))
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Mixing, licences, language identification."""
 
+import textwrap
+
 import numpy as np
 import pytest
 from conftest import SF, odd_rows
@@ -156,3 +158,44 @@ def test_probes_miss_no_paragraph_with_a_feature(spark):
     got = rows.collect()
     assert any(r["_x"].numNonzeros() for r in got)
     assert all(r["may"] for r in got if r["_x"].numNonzeros())
+
+
+def _notices():
+    """(text, family): every template in one line, wrapped, and behind comment signs."""
+    out = []
+    for family, texts in C.TEMPLATES.items():
+        for t in texts:
+            lines = textwrap.wrap(t, 72)
+            for mark in ("", "# ", "// ", " * "):
+                out.append(("Some words.\n\n" + "\n".join(mark + x for x in lines) + f"\n{mark}\nMore words here.", family))
+            out.append((t, family))
+    return out
+
+
+def _found(spark, model, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {i: set() for i in range(len(texts))}
+    for r in C.scan(df, model).where("confirmed").selectExpr("doc.doc_id AS d", "family").collect():
+        got[r.d].add(r.family)
+    return got
+
+
+def test_licence_notices_wrapped_and_told_apart(spark):
+    model = C.train(spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text"))
+    cases = _notices()
+    # versions that no template has
+    gnu = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+           "Public License as published by the Free Software Foundation; either version {} of the License, or any later version.")
+    cases += [(gnu.format(1), None), (gnu.format(4), None)]
+    got = _found(spark, model, [t for t, _ in cases])
+    wrong = [(t, f, got[i]) for i, (t, f) in enumerate(cases) if got[i] != ({f} if f else set())]
+    assert not wrong, wrong[:5]
+
+
+def test_lines_with_a_notice_do_not_train_as_unknown(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
+    line = "Copyright 2021 X. Licensed under the MIT License."
+    hot = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(line + "\n"), "text")).otherwise(F.col("text")))
+    model = C.train(hot)
+    assert "licensed" in model.probes and model.threshold < 0.99
+    assert _found(spark, model, [line])[0] == {"mit"}
