@@ -331,8 +331,8 @@ k AS (SELECT *, sum(CASE WHEN coalesce(cumulative <= 0.95, false) THEN 1 ELSE 0
 SELECT model, feature, round(importance, 6) AS importance, round(cumulative, 6) AS cumulative,
        CAST(position AS BIGINT) AS position FROM k
 WHERE CASE WHEN nsel < 5 THEN position <= 5 ELSE coalesce(cumulative <= 0.95, false) END"""
-    s["best_model"] = (f"WITH {METRICS} SELECT 'value' AS target, arg_max(model, r2) AS best_model, "
-                       "round(max(r2), 6) AS best_r2 FROM mm")
+    s["best_model"] = (f"WITH {METRICS} SELECT 'value' AS target, arg_min(model, (-r2, model)) AS best_model, "
+                       "round(max(r2), 6) AS best_r2 FROM mm WHERE model IS NOT NULL AND r2 IS NOT NULL")
     s["sorted_pairs"] = (f"WITH {PRED}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY model "
                          "ORDER BY actual, sample_id) AS BIGINT) AS position FROM pred) "
                          f"SELECT model, sample_id, {_r('actual', 'predicted')}, position, position - 1 AS index FROM r")

@@ -61,9 +61,15 @@ def cumulative_cut(df: DataFrame, value: str, order_by, group_by=(), threshold:
 
 
 def best_by(df: DataFrame, group_by, pick: str, score: str, out: str | None = None) -> DataFrame:
-    """Arg-max: the ``pick`` value with the highest ``score`` per group."""
-    return df.groupBy(*group_by).agg(F.max_by(pick, score).alias(out or f"best_{pick}"),
-                                     F.max(score).alias(f"best_{score}"))
+    """Arg-max: the ``pick`` value with the highest ``score`` per group.  A best
+    value has a name and a score, so rows where either is NULL don't compete
+    (a group without any other row keeps its row, with NULLs); equal scores go
+    to the first name in order."""
+    valid = F.col(pick).isNotNull() & F.col(score).isNotNull()
+    best = F.min(F.when(valid, F.struct((-F.col(score)).alias("s"), F.col(pick).alias("p"))))
+    return (df.groupBy(*group_by).agg(best.alias("_hl_best"))
+            .select(*group_by, F.col("_hl_best.p").alias(out or f"best_{pick}"),
+                    (-F.col("_hl_best.s")).alias(f"best_{score}")))
 
 
 def sorted_pairs(df: DataFrame, actual: str, key: str, group_by=(), rank_col: str = "position") -> DataFrame:

@@ -3,10 +3,8 @@ import sys
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
-FIX = os.path.join(ROOT, "tests", "fixtures")
-SF_SMALL = "/root/testdata/sf0.001"
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 
 @pytest.fixture(scope="session")
@@ -15,7 +13,3 @@ def spark(tmp_path_factory):
     s = build_session("local[4]", "hydrolens-tests", shuffle_partitions=8, driver_memory="8g")
     s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("ckpt")))
     yield s
-
-
-def fixture_path(name):
-    return os.path.join(FIX, name)

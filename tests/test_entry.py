@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from core_paths import SF_SMALL
 
 ROWS_ONLY = {"rf_regression", "gbt_regression", "lasso_cv", "ridge_cv", "rff_huber", "kfold_rf",
              "feature_importance", "permutation_importance", "model_comparison", "validation_assembly"}

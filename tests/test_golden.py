@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import fixture_path
+from core_paths import fixture_path
 from hydrolens.functions.geo import with_utm_inverse
 from hydrolens.functions.spectral import calibrated, normalized_difference
 from hydrolens.operators import learn as L

@@ -135,7 +135,7 @@ def test_nested_search_in_ridge_scores(spark):
 
 
 def test_a_run_is_written_whole(spark, tmp_path):
-    from conftest import SF_SMALL
+    from core_paths import SF_SMALL
     from hydrolens.plans import standins as SI
     from hydrolens.plans import train as T
     from hydrolens.sources import sinks
