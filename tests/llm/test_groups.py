@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 from brute import fingerprint, groups, removed
-from conftest import SF, odd_rows
+from odd_texts import SF, odd_rows
 
 from hydrolens.llm import sharding as H
 from hydrolens.llm import simhash as S

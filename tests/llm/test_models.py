@@ -4,7 +4,7 @@ import textwrap
 
 import numpy as np
 import pytest
-from conftest import SF, odd_rows
+from odd_texts import SF, odd_rows
 from pyspark.sql import functions as F
 
 from hydrolens.llm import language_id as L

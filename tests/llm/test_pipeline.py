@@ -3,7 +3,7 @@
 from collections import Counter
 
 from brute import decontaminate, fingerprint, groups, measures
-from conftest import SF
+from odd_texts import SF
 
 import corpus_pipeline as P
 from hydrolens.llm.common import stored, table

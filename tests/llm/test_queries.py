@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SF
+from odd_texts import SF
 
 from hydrolens.llm import queries as Q
 

@@ -1,7 +1,7 @@
 """Host quality, URL lists, decontamination."""
 
 from brute import decontaminate, measures
-from conftest import odd_rows
+from odd_texts import odd_rows
 
 from hydrolens.llm import decontaminate as D
 from hydrolens.llm import host_quality as H

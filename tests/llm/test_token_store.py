@@ -1,6 +1,6 @@
 import public_tokenizers
 from brute import token_rows
-from conftest import SF, odd_rows
+from odd_texts import SF, odd_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
