@@ -13,7 +13,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def test_every_operator_is_registered():
     import __spark_entry__ as E
     names = E.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")} - {"operator"}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op")} - {"operator"}
     assert "pipeline" in names and set(Q.ORACLES) <= set(E.oracle_sql())
 
 
