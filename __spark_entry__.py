@@ -567,6 +567,41 @@ SELECT 'Turbidez' AS parameter, 'NTU' AS unit, 'Index_Based' AS method,
        round(1 - sum((p - label) * (p - label)) / (count(*) * var_pop(label)), 6) AS r2,
        round(sqrt(avg((p - label) * (p - label))), 6) AS rmse
 FROM (SELECT label, {RAW_TURB} AS p FROM tp2 WHERE is_test) q WHERE p IS NOT NULL AND label IS NOT NULL"""
+    lin = Q.LINEAR_FEATURES
+    moved = " UNION ALL ".join(
+        f"SELECT {j} AS feature, r AS repeat, a.y, 200e0 + " + " + ".join(
+            f"{w!r} * {'o' if i == j else 'a'}.{f}" for i, (f, w) in enumerate(lin.items()))
+        + f" AS p FROM b a, range(4) t(r), b o WHERE o.block = a.block AND o.pos = (a.pos + CASE WHEN a.size > 1 "
+          f"THEN 1 + ((r * {len(lin)} + {j}) * 7919) % (a.size - 1) ELSE 0 END) % a.size" for j in range(len(lin)))
+    score = "1 - sum((p - y) * (p - y)) / (count(*) * var_pop(y))"
+    plain = "200e0 + " + " + ".join(f"{w!r} * {f}" for f, w in lin.items())
+    s["permutation_linear"] = f"""WITH {turb},
+tr AS (SELECT label AS y, {", ".join(lin)}, row_number() OVER (ORDER BY CAST('0x' || substr(md5(CAST(sample_id AS VARCHAR)
+  || '|42'), 1, 13) AS BIGINT), sample_id) - 1 AS n FROM tp2 WHERE NOT is_test AND {" AND ".join(f"{f} IS NOT NULL" for f in lin)}),
+b AS (SELECT *, n // 4096 AS block, n % 4096 AS pos, count(*) OVER (PARTITION BY n // 4096) AS size FROM tr),
+base AS (SELECT {score} AS r0 FROM (SELECT y, {plain} AS p FROM b)),
+sc AS (SELECT feature, repeat, {score} AS r2 FROM ({moved}) GROUP BY ALL)
+SELECT ['{"', '".join(lin)}'][feature + 1] AS feature, round(avg(r0 - r2), 6) AS importance_mean,
+  round(stddev_pop(r0 - r2), 6) AS importance_std FROM sc, base GROUP BY feature"""
+    s["tree_exact"] = f"WITH {turb}, {_tree_sql(['NDCI', 'MNDWI', 'B8'], 20, 5)}"
+    # the best intercept for a slope is the median of all residuals -/+ epsilon; the slope by golden section
+    s["svr_linear"] = f"""WITH RECURSIVE {turb},
+tr AS (SELECT label AS y, {RAW_TURB} AS x FROM tp2 WHERE NOT is_test AND {RAW_TURB} IS NOT NULL),
+box AS (SELECT max(abs(y)) * 4 / greatest(max(abs(x)), 1e-9) + sqrt(2 * sum(abs(y))) AS top FROM tr),
+st AS (SELECT 0 AS i, -top AS lo, top AS hi FROM box
+  UNION ALL
+  SELECT i + 1, CASE WHEN f1 > f2 THEN w1 ELSE lo END, CASE WHEN f1 > f2 THEN hi ELSE w2 END FROM (
+    SELECT i, lo, hi, min(w) AS w1, max(w) AS w2, arg_min(f, w) AS f1, arg_max(f, w) AS f2 FROM (
+      SELECT i, lo, hi, w, w * w / 2 + sum(greatest(abs(r - b) - 0.1e0, 0)) AS f FROM (
+        SELECT i, lo, hi, w, r, median(r + e) OVER (PARTITION BY w) AS b, e FROM (
+          SELECT i, lo, hi, w, y - w * x AS r FROM (SELECT i, lo, hi, unnest([hi - (hi - lo) / 1.618033988749895e0,
+            lo + (hi - lo) / 1.618033988749895e0]) AS w FROM st WHERE i < 90), tr), (VALUES (-0.1e0), (0.1e0)) v(e))
+      WHERE e > 0 GROUP BY i, lo, hi, w) GROUP BY i, lo, hi)),
+fin AS (SELECT (lo + hi) / 2 AS w FROM st ORDER BY i DESC LIMIT 1),
+rb AS (SELECT w, y - w * x AS r FROM fin, tr),
+b AS (SELECT median(r + e) AS b FROM rb, (VALUES (-0.1e0), (0.1e0)) v(e))
+SELECT count(*) AS n, round((any_value(w) * any_value(w) / 2 + sum(greatest(abs(r - b) - 0.1e0, 0))) / count(*), 4)
+  AS objective_per_row FROM rb, b"""
     for kind in ("ridge", "lasso"):
         s[f"{kind}_cv_single"] = f"WITH {turb}, {_cv_sql(kind, nested=False)}\n" + """
 SELECT round(alpha, 6) AS alpha, round(w, 6) AS slope, round(b, 6) AS intercept FROM final"""
@@ -577,6 +612,31 @@ FROM final JOIN (SELECT fold AS o2, count(*) AS n, sum(x) AS sx, sum(y) AS sy, s
                         sum(y * y) AS syy FROM fo GROUP BY fold) ON o = o2"""
 
 
+def _tree_sql(features, min_split: int, min_leaf: int, depth: int = 2) -> str:
+    """Exact regression tree, a block of CTEs per level, by self-comparison of all values."""
+    parts = ["l0 AS (SELECT '' AS node, label AS y, " + ", ".join(features) + " FROM tp2 WHERE NOT is_test)"]
+    out = []
+    for d in range(depth + 1):
+        parts.append(f"n{d} AS (SELECT node, count(*) AS nt, sum(y) AS st, var_pop(y) AS var FROM l{d} GROUP BY node)")
+        if d == depth:
+            out.append(f"SELECT node, {d} AS depth, nt AS n, st / nt AS value, NULL AS feature, NULL AS threshold, NULL AS gain FROM n{d}")
+            break
+        long = " UNION ALL ".join(f"SELECT node, y, '{f}' AS feature, {f} AS v FROM l{d} WHERE {f} IS NOT NULL" for f in features)
+        parts.append(f"""v{d} AS (SELECT node, feature, v, lead(v) OVER w AS v2, sum(c) OVER w AS nl, sum(s) OVER w AS sl FROM (
+  SELECT node, feature, v, count(*) AS c, sum(y) AS s FROM ({long}) GROUP BY ALL) WINDOW w AS (PARTITION BY node, feature ORDER BY v))""")
+        parts.append(f"""g{d} AS (SELECT node, feature, (v + coalesce(v2, v)) / 2 AS threshold, gain FROM (
+  SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, v) AS r FROM (
+    SELECT node, feature, v, v2, round(sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt, 6) AS gain
+    FROM v{d} JOIN n{d} USING (node) WHERE nt >= {min_split} AND var > 0 AND nl >= {min_leaf} AND nt - nl >= {min_leaf}) WHERE gain > 0) WHERE r = 1)""")
+        pick = "CASE feature " + " ".join(f"WHEN '{f}' THEN {f}" for f in features) + " END"
+        parts.append(f"l{d + 1} AS (SELECT node || CASE WHEN coalesce({pick} <= threshold, false) THEN 'L' ELSE 'R' END AS node, "
+                     f"y, {', '.join(features)} FROM l{d} JOIN g{d} USING (node))")
+        out.append(f"SELECT node, {d}, nt, st / nt, feature, threshold, gain FROM n{d} LEFT JOIN g{d} USING (node)")
+    u = " UNION ALL ".join([out[-1], *out[:-1]])
+    return ", ".join(parts) + (f" SELECT node, CAST(depth AS INTEGER) AS depth, n, round(value, 6) AS value, feature, "
+                               f"round(threshold, 6) AS threshold, round(gain, 6) AS gain FROM ({u})")
+
+
 def _cv_sql(kind: str, nested: bool) -> str:
     """5-fold alpha search on one feature in closed form, per outer fold ``o``
     (one, of all rows, unless ``nested``): ``final`` (o, alpha, w, b)."""

@@ -83,53 +83,53 @@ def split_hash(key: str, seed: int = SEED):
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
 
 
-#: rows of the last bucket that the search for a cut point reads
-_CUT_ROWS = 5000
+#: distinct hashes of a bucket that the search for a cut point reads at the end
+_CUT_HASHES = 5000
 
 
 def hash_cuts(df: DataFrame, key: str, ranks, seed: int = SEED) -> tuple[int, dict[int, str]]:
     """(number of rows, {rank: hash of the row with this 1-based rank}) in md5
     order.  No row is moved or ranked: counts per hash prefix say which prefix
-    holds the rank; it is refined until few rows share it, and only those are
-    read.  Rows that share a key share its hash and are never cut apart.
-    ``ranks`` may be a function of the number of rows."""
+    holds the rank; it is refined until few different hashes share it, and only
+    their counts are read.  Rows that share a key share its hash, count as one
+    hash however many they are, and are never cut apart.  ``ranks`` may be a
+    function of the number of rows."""
     h = F.coalesce(split_hash(key, seed), F.lit(""))
     rows = df.select(h.alias("h"))
     cuts: dict[int, str] = {}
-    todo, back = {}, {}  # prefix -> ranks wanted among the rows that have it
+    todo: dict[str, list[tuple[int, int]]] = {}  # prefix -> (rank wanted, rank among the rows of the prefix)
+    whole: dict[str, list[tuple[int, int]]] = {}  # the same for prefixes of few hashes
     width, total = 0, None
     while todo or total is None:
         width += 3
         inside = rows.where(F.substring("h", 1, width - 3).isin(list(todo))) if width > 3 else rows
-        got = sorted((r["p"], r["n"]) for r in
-                     inside.groupBy(F.substring("h", 1, width).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+        got = sorted((r["p"], r["n"], r["d"]) for r in inside.groupBy(F.substring("h", 1, width).alias("p")).agg(
+            F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("d")).collect())
         if total is None:
-            total = sum(n for _, n in got)
-            wanted = [r for r in (ranks(total) if callable(ranks) else ranks) if 0 < r <= total]
-            todo, back = {"": wanted}, {("", r): r for r in wanted}
-        small, deeper, names = {}, {}, {}
+            total = sum(n for _, n, _ in got)
+            todo = {"": [(r, r) for r in (ranks(total) if callable(ranks) else ranks) if 0 < r <= total]}
+        deeper: dict[str, list[tuple[int, int]]] = {}
         for prefix, wanted in todo.items():
-            for r in wanted:
-                at = 0
-                for p, n in got:
-                    if not p.startswith(prefix):
-                        continue
-                    if at < r <= at + n:
-                        side = small if n <= _CUT_ROWS or width >= 30 else deeper
-                        side.setdefault(p, []).append(r - at)
-                        names[p, r - at] = back[prefix, r]
-                        break
+            at = 0
+            for p, n, d in got:
+                if p.startswith(prefix):
+                    here = [(rank, r - at) for rank, r in wanted if at < r <= at + n]
+                    if here:
+                        (whole if d <= _CUT_HASHES else deeper)[p] = here
+                    at += n
+        todo = deeper
+    by_width: dict[int, list[str]] = {}
+    for p in whole:
+        by_width.setdefault(len(p), []).append(p)
+    for w, ps in by_width.items():  # one read per depth, a single one on even hashes
+        counts = sorted((r["h"], r["n"]) for r in rows.where(F.substring("h", 1, max(w, 1)).isin(ps))
+                        .groupBy("h").agg(F.count(F.lit(1)).alias("n")).collect())
+        for p in ps:
+            at = 0
+            for x, n in counts:
+                if x.startswith(p) and (p or not x):
+                    cuts |= {rank: x for rank, r in whole[p] if at < r <= at + n}
                     at += n
-        if small:
-            read: dict[str, list[str]] = {}
-            for r in rows.where(F.substring("h", 1, width).isin(list(small))).select("h").collect():
-                read.setdefault(r["h"][:width], []).append(r["h"])
-            for p, wanted in small.items():
-                hs = sorted(read[p])
-                cuts.update({names[p, r]: hs[r - 1] for r in wanted})
-        todo, back = deeper, names
-        if width >= 33:
-            break
     return total, cuts
 
 
@@ -144,7 +144,14 @@ def hash_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int =
         u = F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(16 ** 12)
         return df.withColumn(out, u < test_fraction)
     # exact decimal, no float rounding
-    _, cuts = hash_cuts(df, key, lambda n: [math.ceil(Fraction(str(test_fraction)) * n)], seed)
+    asked = lambda n: [math.ceil(Fraction(str(test_fraction)) * n)]
+    total, cuts = hash_cuts(df, key, asked, seed)
+    if cuts:
+        cut, rank = max(cuts.values()), max(cuts)
+        held = df.where(h <= F.lit(cut)).count()
+        if held > 2 * rank + 100:
+            raise ValueError(f"{held} of {total} rows would be test rows where {rank} were asked for: "
+                             f"too many share one {key}; split by a key that tells them apart")
     return df.withColumn(out, h <= F.lit(max(cuts.values())) if cuts else F.lit(False))
 
 
@@ -329,20 +336,24 @@ def fold_r2_linear(df: DataFrame, features, target: str, kind: str, key: str, k:
     its own inside each train part: contiguous inner folds over the train
     rows' order.  All inner and outer folds are unions of the stretches
     between their cut points, so one aggregate per stretch serves them all."""
-    n, _ = hash_cuts(df, key, [], seed)
-    ends = fold_ends(n, k)
-    outer = list(zip([0, *ends], ends))
+    outer: list[tuple[int, int]] = []
     inner: dict[int, list[list[tuple[int, int]]]] = {}
-    for f, (a, b) in enumerate(outer):
-        stops = fold_ends(n - (b - a), k)
-        place = lambda r, a=a, b=b: r if r <= a else r + (b - a)  # noqa: E731  rank among the train rows -> rank
-        parts = []
-        for lo, hi in zip([0, *stops], stops):
-            x, y = (lo if lo < a else lo + (b - a)), place(hi)
-            parts.append([(x, y)] if not x < a < b < y else [(x, a), (b, y)])
-        inner[f] = parts
-    marks = sorted({0, n, *ends, *(e for ps in inner.values() for p in ps for ab in p for e in ab)})
-    seg = _segments(df, key, marks[1:-1], seed, "_hl_seg")
+    marks: list[int] = []
+
+    def lay_out(n):
+        ends = fold_ends(n, k)
+        outer[:] = zip([0, *ends], ends)
+        for f, (a, b) in enumerate(outer):
+            stops = fold_ends(n - (b - a), k)
+            place = lambda r, a=a, b=b: r if r <= a else r + (b - a)  # noqa: E731  rank among the train rows -> rank
+            parts = []
+            for lo, hi in zip([0, *stops], stops):
+                x, y = (lo if lo < a else lo + (b - a)), place(hi)
+                parts.append([(x, y)] if not x < a < b < y else [(x, a), (b, y)])
+            inner[f] = parts
+        marks[:] = sorted({0, n, *ends, *(e for ps in inner.values() for p in ps for ab in p for e in ab)})
+        return marks[1:-1]
+    seg = _segments(df, key, lay_out, seed, "_hl_seg")
     st = {s[0]: v for s, v in gram_stats(seg, features, target, ["_hl_seg"]).items()}
 
     def total(spans):

@@ -462,6 +462,33 @@ q_ridge_cv_single, q_lasso_cv_single = _cv_single("ridge"), _cv_single("lasso")
 q_ridge_cv_scores, q_lasso_cv_scores = _cv_scores_single("ridge"), _cv_scores_single("lasso")
 
 
+def q_svr_linear(spark, sf):
+    """Objective per row of the epsilon-insensitive regression on the raw index."""
+    from ..operators.svr import fit_svr
+    m = fit_svr(_turbidity_train(spark, sf), ["raw_index"], cost=1.0, epsilon=0.1, tol=1e-9)
+    return spark.createDataFrame([(m.n, round(m.objective / m.n, 4))], "n long, objective_per_row double")
+
+
+LINEAR_FEATURES = {"NDCI": 40.0, "NDVI": -15.0, "MNDWI": 25.0}
+
+
+def q_permutation_linear(spark, sf):
+    """Permutation importance, 4 repeats, of a given linear predictor of turbidity."""
+    from ..operators.importance import permutation_importance
+    train = _turbidity_train(spark, sf).where(" AND ".join(f"{f} IS NOT NULL" for f in LINEAR_FEATURES))
+    guess = sum((F.get("f", F.lit(i)) * w for i, w in enumerate(LINEAR_FEATURES.values())), F.lit(200.0))
+    return rounded(permutation_importance(train, "sample_id", "label", list(LINEAR_FEATURES),
+                                          lambda d: d.withColumn("prediction", guess), repeats=4))
+
+
+def q_tree_exact(spark, sf):
+    """Regression tree of depth 2 with exact thresholds on turbidity: its nodes."""
+    from ..operators.tree import grow_tree
+    nodes = grow_tree(_turbidity_train(spark, sf), ["NDCI", "MNDWI", "B8"], "label", max_depth=2, min_samples_split=20,
+                      min_samples_leaf=5)
+    return rounded(nodes)
+
+
 # ---------------------------------------------------------------- learning: models (rows-only checks)
 def _tm_split(spark, sf, target="turbidity"):
     from .train import preprocess, split_and_scale
@@ -484,7 +511,8 @@ q_rf_regression = _model_query("RandomForest")
 q_gbt_regression = _model_query("GradientBoosting")
 q_lasso_cv = _model_query("Lasso")
 q_ridge_cv = _model_query("Ridge")
-q_rff_huber = _model_query("SVR")
+q_rff_huber = _model_query("RFFHuber")
+q_svr_rbf = _model_query("SVR")
 
 
 def q_kfold_rf(spark, sf):

@@ -3,8 +3,10 @@
 preprocess (schema adapt → cloud filter → season → encode → NULL target →
 IQR keep → select → median impute) → seeded hash split → population-std
 scaling fitted on train rows → five regressors → metrics, K-fold scores and
-importances.  The prepared frame is cached once per target (every fit reads
-it); nothing is collected except fitted scalars and per-fold statistics.
+importances.  The rows and columns that training needs are written once per
+target, before the first fence or median is fitted; every later step reads that
+narrow table, nothing is held in memory, and nothing is collected except fitted
+scalars and per-fold statistics.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ import logging
 import math
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,8 @@ from ..functions.spectral import FEATURE_COLUMNS
 from ..operators import learn as L
 from ..operators.clean import (drop_null_any, present_features, require_columns, threshold_filter)
 from ..operators.profile import iqr_keep
-from ..session import checkpoint_dir
+from ..operators.svr import SVRModel, fit_svr, rbf_map
+from ..session import checkpoint_dir, stored
 from ..sources import sinks
 
 log = logging.getLogger(__name__)
@@ -49,22 +51,19 @@ def preprocess(df: DataFrame, target: str, features=FEATURE_COLUMNS, cloud_thres
         df = L.category_codes(df, "Season")
     require_columns(df, [target])
     df = drop_null_any(df, [target])
-    df = iqr_keep(df, target)
-    df = df.select(key, F.col(target).cast("double").alias("label"),
-                   *[F.col(f).cast("double").alias(f) for f in feats])
+    df = stored(df.select(key, F.col(target).cast("double").alias("label"),
+                          *[F.col(f).cast("double").alias(f) for f in feats]), "train-rows")
+    df = iqr_keep(df, "label")
     if impute == "all":
         df = L.impute_median(df, feats)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     return df, feats
 
 
 def split_and_scale(df: DataFrame, feats, key: str = "sample_id", test_fraction: float = 0.2):
     """Seeded split, scaler fitted on the train rows and applied to both."""
     s = L.hash_split(df, key, test_fraction)
-    train = s.where(~F.col("is_test"))
-    scaler = L.fit_scaler(train, feats)
+    scaler = L.fit_scaler(s.where(~F.col("is_test")), feats)
     s = L.standardise(s, feats, scaler)
-    s = s.persist(StorageLevel.MEMORY_AND_DISK)
     return s.where(~F.col("is_test")), s.where(F.col("is_test")), scaler
 
 
@@ -90,6 +89,9 @@ def fit_predict(kind: str, train: DataFrame, test: DataFrame, feats, key: str =
         pred = L.linear_predict(test, feats, w, b).select(key, "label", "prediction")
         return pred, {"alpha": alpha, "coef": list(map(float, w)), "intercept": float(b)}
     if kind == "SVR":
+        m = fit_svr(train, feats, feature_map=rbf_map(len(feats)))
+        return m.transform(test.select(key, "label", *feats)).select(key, "label", "prediction"), m
+    if kind == "RFFHuber":
         trr, cols = L.rff_columns(train, feats)
         ter, _ = L.rff_columns(test, feats)
         m = L.huber_regression().fit(L.assemble(trr, cols))
@@ -178,6 +180,8 @@ def write_run(spark: SparkSession, result: dict, root: str, stamp: str | None =
     sinks.artifacts_frame(spark, folder, "features", result["features"]).write.parquet(f"{folder}/features")
     sinks.save_fitted(spark, result["scaler"], f"{folder}/scaler")
     for kind, m in result["models"].items():
+        if isinstance(m, SVRModel):
+            m = m.as_scalars()
         if isinstance(m, dict):
             sinks.save_fitted(spark, m, f"{folder}/models/{kind}")
         else:
@@ -203,34 +207,11 @@ def feature_importances(spark: SparkSession, model, feats) -> DataFrame:
 
 def permutation_importance(model, train: DataFrame, feats, key: str = "sample_id", repeats: int = 10,
                            seed: int = 42) -> DataFrame:
-    """Mean and population std of the R² drop when one feature's values are
-    shuffled, over ``repeats`` shuffles, scored on the train rows.
-
-    All features × repeats are scored in ONE job: rows are replicated per
-    (feature, repeat) with a narrow explode, each replica gets the feature
-    value of the row at the same rank in a seeded hash order (a permutation
-    per replica, ranked without single-partition windows), and R² is a
-    grouped aggregate.
-    """
-    from ..operators.ordered import row_number
-    nf = len(feats)
-    base = train.select(key, "label", *feats)
-    base_r2 = L.regression_metrics(model.transform(L.assemble(base, feats)), "label", "prediction") \
-        .first()["r2"]
-    rep = base.withColumn("_fr", F.explode(F.sequence(F.lit(0), F.lit(nf * repeats - 1))))
-    rep = rep.withColumn("_f", (F.col("_fr") % nf).cast("int"))
-    rep = rep.withColumn("_own", F.element_at(F.array(*[F.col(f) for f in feats]), F.col("_f") + 1))
-    by_key = row_number(rep, [key], "_rk", group_by=["_fr"])
-    hashed = rep.withColumn("_h", F.xxhash64(F.col(key), F.col("_fr"), F.lit(seed)))
-    by_hash = row_number(hashed, ["_h", key], "_rk", group_by=["_fr"]).select("_fr", "_rk", F.col("_own").alias("_perm"))
-    j = by_key.join(by_hash, ["_fr", "_rk"], "inner")
-    j = j.withColumns({f: F.when(F.col("_f") == i, F.col("_perm")).otherwise(F.col(f)) for i, f in enumerate(feats)})
-    scored = model.transform(L.assemble(j, feats))
-    r2 = L.regression_metrics(scored, "label", "prediction", ["_fr"])
-    drops = r2.select((F.col("_fr") % nf).cast("int").alias("_f"), (F.lit(base_r2) - F.col("r2")).alias("drop"))
-    names = F.element_at(F.array(*[F.lit(f) for f in feats]), F.col("_f") + 1)
-    return (drops.groupBy("_f").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
-            .select(names.alias("feature"), "importance_mean", "importance_std"))
+    """Permutation importance of a fitted MLlib model, scored on the train rows."""
+    from pyspark.ml.functions import array_to_vector
+    from ..operators.importance import permutation_importance as permute
+    return permute(train, key, "label", feats,
+                   lambda d: model.transform(d.withColumn("features", array_to_vector("f"))), repeats, seed)
 
 
 # ---------------------------------------------------------------- tuning

@@ -36,7 +36,7 @@ def validate(df: DataFrame, parameter: str, target: str, cloud_threshold: float
     metrics rows: method, r2, rmse; unit)."""
     prep, feats = TR.preprocess(df, target, cloud_threshold=cloud_threshold, cloud_required=True, key=key)
     # the index needs raw bands: split the unscaled rows, scale only for the ML model
-    split = L.hash_split(prep, key).cache()
+    split = L.hash_split(prep, key)
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     cal = calibrate(train, parameter) if calibrate_index else None
     idx = index_predictions(test, parameter, cal, key).withColumnRenamed("prediction", "Index_Based")

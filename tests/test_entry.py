@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as E
 from core_paths import SF_SMALL
 
-ROWS_ONLY = {"rf_regression", "gbt_regression", "lasso_cv", "ridge_cv", "rff_huber", "kfold_rf",
+ROWS_ONLY = {"rf_regression", "gbt_regression", "lasso_cv", "ridge_cv", "rff_huber", "svr_rbf", "kfold_rf",
              "feature_importance", "permutation_importance", "model_comparison", "validation_assembly"}
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
