@@ -373,11 +373,56 @@ SELECT sample_id, image_date, strftime(image_date, '%Y-%m-%d') AS image_date_tex
 SELECT sample_id, parameter, CASE parameter WHEN 'Clorofila a' THEN 'μg/L' WHEN 'Turbidez' THEN 'NTU'
        WHEN 'Transparência da Água' THEN 'm' WHEN 'Sólidos Dissolvidos Totais' THEN 'mg/L' END AS unit FROM params"""
     _oracle_batch2(s)
+    _oracle_ingest(s)
     if LLM is not None:
         s |= {name: sql() for name, sql in LLM.ORACLES.items()}
     return s
 
 
+def _oracle_ingest(s: dict) -> None:
+    tagged = f"""{DIRTY},
+ln AS (SELECT dirty.*, o_custkey % 200 - 100 AS lat, sample_id % 400 - 200 AS lon, sample_id AS k FROM dirty JOIN orders ON o_orderkey = sample_id),
+ps AS (SELECT k, {PARSE_DATE} AS d, {PARSE_NUM} AS v, lat, lon, date_text, value_text FROM ln),
+tg AS (SELECT *, k % 23 = 0 AS short, k % 29 = 0 AND k % 23 <> 0 AS long, k % 31 = 0 AND k % 29 <> 0 AND k % 23 <> 0 AS named FROM ps),
+tr AS (SELECT CASE WHEN named THEN NULL ELSE k END AS sample_id, d AS sample_date, CASE WHEN short THEN NULL ELSE v END AS value,
+  CASE WHEN short THEN NULL ELSE CAST(lat AS DOUBLE) END AS latitude, CASE WHEN short THEN NULL ELSE CAST(lon AS DOUBLE) END AS longitude,
+  CASE WHEN short THEN k || ';' || date_text WHEN long THEN concat_ws(';', k, date_text, value_text, lat, lon, 'more') END AS malformed,
+  CASE WHEN short OR long THEN 'malformed line' WHEN named THEN 'missing key' WHEN d IS NULL THEN 'unparseable date'
+    WHEN v IS NULL THEN 'unparseable number' WHEN NOT (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180)
+    THEN 'outside the globe' END AS reject_reason FROM tg)"""
+    cols = "sample_id, sample_date, round(value, 6) AS value, latitude, longitude"
+    s["ingest_samples"] = f"WITH {tagged} SELECT {cols} FROM tr WHERE reject_reason IS NULL"
+    s["ingest_rejects"] = f"WITH {tagged} SELECT reject_reason, malformed, {cols} FROM tr WHERE reject_reason IS NOT NULL"
+    s["ingest_counts"] = f"""WITH {tagged}, names AS (SELECT unnest(['kept', 'malformed line', 'missing key', 'unparseable date',
+  'unparseable number', 'outside the globe']) AS outcome)
+SELECT outcome, count(tr.latitude IS NULL) AS n FROM names LEFT JOIN tr ON coalesce(reject_reason, 'kept') = outcome GROUP BY outcome"""
+    s["residual_kde_by_model"] = f"""WITH {PRED},
+r AS (SELECT model, predicted - actual AS v FROM pred),
+st AS (SELECT model, count(v) AS n, min(v) AS mn, max(v) AS mx, stddev_samp(v) AS sd FROM r GROUP BY model),
+p AS (SELECT model AS g, n, mn, sd * pow(n, -0.2) AS h, (mx - mn) / 99e0 AS step FROM st WHERE sd > 0),
+a AS (SELECT p.*, (v - mn) / (h / 400) AS pos FROM r JOIN p ON model IS NOT DISTINCT FROM g),
+b AS (SELECT g, n, mn, h, step, b, sum(w) AS w FROM (
+  SELECT g, n, mn, h, step, floor(pos) AS b, 1 - (pos - floor(pos)) AS w FROM a
+  UNION ALL SELECT g, n, mn, h, step, floor(pos) + 1, pos - floor(pos) FROM a) GROUP BY ALL),
+s AS (SELECT g, i, sum(CASE WHEN abs(i * step - b * h / 400) <= 8.5 * h THEN w * exp(-0.5e0 * pow((i * step - b * h / 400) / h, 2)) ELSE 0 END) AS s
+  FROM b, range(100) t(i) GROUP BY g, i)
+SELECT p.g AS model, CAST(i AS INTEGER) AS i, round(mn + i * step, 6) AS x, round(s / (n * h * sqrt(2e0 * pi())), 6) AS density
+FROM p JOIN s ON p.g IS NOT DISTINCT FROM s.g"""
+    n = "1.0e0 / 298.257223563e0 / (2 - 1.0e0 / 298.257223563e0)"
+    series = lambda f, g: " + ".join(f"a{j} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j in range(1, 5))
+    s["pixel_from_lonlat"] = f"""WITH c AS (SELECT {n} AS n),
+k AS (SELECT *, 6378137e0 / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) * 0.9996e0 AS ka, 2 * sqrt(n) / (1 + n) AS e,
+  n / 2 - 2 * n * n / 3 + 5 * pow(n, 3) / 16 + 41 * pow(n, 4) / 180 AS a1,
+  13 * n * n / 48 - 3 * pow(n, 3) / 5 + 557 * pow(n, 4) / 1440 AS a2,
+  61 * pow(n, 3) / 240 - 103 * pow(n, 4) / 140 AS a3, 49561 * pow(n, 4) / 161280 AS a4 FROM c),
+st AS (SELECT s_name AS point, radians(-18e0 - s_acctbal / 10000e0) AS phi,
+  radians(-51e0 - CAST(s_nationkey AS DOUBLE) / 100e0 - (-51e0)) AS dl FROM supplier),
+t AS (SELECT *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM st, k),
+u AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM t),
+v AS (SELECT point, 5e5 + ka * (eta + {series('cos', 'sinh')}) AS x, 1e7 + ka * (xi + {series('sin', 'cosh')}) AS y FROM u)
+SELECT point, round(x, 3) AS x_m, round(y, 3) AS y_m, CAST(floor(x / 10) AS BIGINT) AS px, CAST(floor(y / 10) AS BIGINT) AS py FROM v"""
+
+
 SCENE_SAMPLES = """ss AS (
   SELECT o_orderkey AS sample_id, CAST(o_orderdate AS DATE) AS sample_date,
          -52e0 + CAST(o_custkey % 40 AS DOUBLE) * 5e-2 AS longitude,
@@ -489,6 +534,14 @@ UNION ALL SELECT 'long', 'E' || CAST(user_id AS VARCHAR), CAST(ts AS DATE), NULL
     s["cell_contains"] = (f"WITH {SCENE_SAMPLES}, {SCENES} SELECT ss.sample_id, count(*) AS n_scenes FROM ss JOIN sc "
                           "ON ss.longitude BETWEEN sc.min_lon AND sc.max_lon "
                           "AND ss.latitude BETWEEN sc.min_lat AND sc.max_lat GROUP BY ss.sample_id")
+    a, b = 0.117, 0.061
+    ring = [(-a, -b), (b, -a), (a, b), (-b, a)]
+    left = " AND ".join(f"({x2 - x1!r}) * (latitude - (cy + {y1!r})) - ({y2 - y1!r}) * (longitude - (cx + {x1!r})) >= 0"
+                        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]))  # left of all edges
+    s["outline_contains"] = f"""WITH {SCENE_SAMPLES},
+sq AS (SELECT -52e0 + CAST(o_orderkey % 40 AS DOUBLE) * 5e-2 AS cx, -19e0 + CAST(floor(o_orderkey / 400) AS DOUBLE) * 5e-2 AS cy FROM orders)
+SELECT sample_id, count(*) AS n_scenes FROM ss JOIN sq ON longitude BETWEEN cx - 0.12 AND cx + 0.12
+  AND latitude BETWEEN cy - 0.12 AND cy + 0.12 AND {left} GROUP BY sample_id"""
     s["pixel_sample"] = """WITH pts AS (SELECT o_orderkey AS sample_id, o_custkey % 50 AS scene_id,
                     CAST(o_orderkey % 1000 AS DOUBLE) + 5e-1 AS x_m, o_totalprice % 70 AS y_m FROM orders),
 k AS (SELECT sample_id, scene_id, CAST(floor(x_m / 10e0) AS BIGINT) AS px,

@@ -179,6 +179,48 @@ def gaussian_kde(df: DataFrame, value: str, grid: int = 200, cut: float = 3.0) -
         for i, x in enumerate(xs)])).alias("k")).select("k.*")
 
 
+#: fine bins per bandwidth and reach of the kernel (beyond it, below 1e-15 of the peak)
+KDE_BINS_PER_WIDTH, KDE_REACH = 400, 8.5
+
+
+def binned_kde(df: DataFrame, value: str, group_by=(), grid: int = 200) -> DataFrame:
+    """Gaussian KDE per group on ``grid`` even points from its least to its
+    greatest value, Scott bandwidth h = n^(-1/5) * sample deviation.
+
+    Values are binned first: each gives its two neighbours on a fine lattice of
+    step h / ``KDE_BINS_PER_WIDTH`` the weights that keep its place, and only the
+    occupied bins meet the grid points within reach.  Work is rows + bins * points
+    in reach, whatever the group sizes; a hot group is summed before any shuffle.
+    The error is below 1 / (8 * KDE_BINS_PER_WIDTH^2) < 8e-7 of the kernel's peak.
+    Groups without two different values have no density and no rows."""
+    group_by = list(group_by)
+    if not group_by:
+        return binned_kde(df.select(F.lit(0).alias("_hl_all"), value), value, ["_hl_all"], grid).drop("_hl_all")
+    base = df.select(*group_by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    st = base.groupBy(*group_by).agg(F.count("_v").alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
+                                     F.stddev_samp("_v").alias("_sd")).where("_sd > 0")
+    st = st.select(*group_by, "_n", "_mn", (F.col("_sd") * F.pow("_n", F.lit(-0.2))).alias("_h"),
+                   ((F.col("_mx") - F.col("_mn")) / F.lit(grid - 1)).alias("_step"))
+    j = join_on_keys(base, st, group_by)
+    at = (F.col("_v") - F.col("_mn")) / (F.col("_h") / KDE_BINS_PER_WIDTH)
+    low = F.floor(at)
+    halves = F.array(F.struct(low.alias("b"), (1 - (at - low)).alias("w")), F.struct((low + 1).alias("b"), (at - low).alias("w")))
+    own = [*group_by, "_n", "_mn", "_h", "_step"]
+    bins = j.select(*own, F.inline(halves)).groupBy(*own, "b").agg(F.sum("w").alias("w"))
+    m = F.col("b") * (F.col("_h") / KDE_BINS_PER_WIDTH)
+    reach = F.lit(KDE_REACH) * F.col("_h")
+    first = F.greatest(F.ceil((m - reach) / F.col("_step")), F.lit(0))
+    last = F.least(F.floor((m + reach) / F.col("_step")), F.lit(grid - 1))
+    near = bins.where(last >= first).select(*own, "w", m.alias("m"), F.explode(F.sequence(first, last)).alias("i"))
+    z = (F.col("i") * F.col("_step") - F.col("m")) / F.col("_h")
+    sums = near.groupBy(*group_by, "i").agg(F.sum(F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias("s"))
+    points = st.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))).alias("i"))
+    full = join_on_keys(points, sums, [*group_by, "i"], "left")
+    norm = F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))
+    return full.select(*group_by, F.col("i").cast("int").alias("i"), (F.col("_mn") + F.col("i") * F.col("_step")).alias("x"),
+                       (F.coalesce("s", F.lit(0.0)) / norm).alias("density"))
+
+
 def coverage(df: DataFrame, marker: str) -> DataFrame:
     """Total rows, rows where ``marker`` is present, and their share in %."""
     return df.agg(F.count(F.lit(1)).alias("total"), F.count(marker).alias("with_image"),

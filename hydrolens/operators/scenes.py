@@ -70,6 +70,79 @@ def containing_scenes(samples: DataFrame, scenes: DataFrame, key: str = "sample_
             .select(key, "scene_id"))
 
 
+# ---------------------------------------------------------------- outlines of any shape
+def ring_edges(ring):
+    """(x1, y1, x2, y2) of every edge of a ring of lon/lat points; the last point
+    is joined to the first."""
+    return F.transform(ring, lambda p, i: F.struct(
+        p["lon"].alias("x1"), p["lat"].alias("y1"), F.get(ring, (i + 1) % F.size(ring))["lon"].alias("x2"),
+        F.get(ring, (i + 1) % F.size(ring))["lat"].alias("y2")))
+
+
+def in_ring(x, y, edges):
+    """Point inside a ring by edge crossings (even-odd); a point on an edge is
+    inside."""
+    def on(e):
+        turn = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+        return ((turn == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+                & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
+
+    def crossed(e):
+        straddles = (e["y1"] > y) != (e["y2"] > y)
+        at = e["x1"] + F.try_divide((y - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"])
+        return straddles & (x < at)
+    crossings = F.size(F.filter(edges, lambda e: F.coalesce(crossed(e), F.lit(False))))
+    return F.exists(edges, on) | (crossings % 2 == 1)
+
+
+def _cover(cells: DataFrame, size: float) -> DataFrame:
+    """``cells`` (scene_id, edges, cx, cy) that the outline touches, with
+    ``border``: whether an edge may pass through (else the cell is all inside)."""
+    x0, y0 = F.col("cx") * size, F.col("cy") * size
+    near = F.exists("edges", lambda e: (F.least(e["x1"], e["x2"]) <= x0 + size) & (F.greatest(e["x1"], e["x2"]) >= x0)
+                    & (F.least(e["y1"], e["y2"]) <= y0 + size) & (F.greatest(e["y1"], e["y2"]) >= y0))
+    marked = cells.withColumn("border", near)
+    return marked.where(F.col("border") | in_ring(x0 + size / 2, y0 + size / 2, F.col("edges")))
+
+
+def cells_of_outlines(outlines: DataFrame, cell_deg: float = DEFAULT_CELL_DEG, refine: int = 4):
+    """Two tables of cells per outline (scene_id, ring): coarse cells that lie all
+    inside, and the fine cells (``refine`` to a side) of the coarse border cells.
+    ``border`` fine cells need the exact test.  Outlines of fewer than three
+    points cover nothing."""
+    d = outlines.where(F.size("ring") >= 3).select("scene_id", ring_edges(F.col("ring")).alias("edges"))
+    span = lambda a: F.sequence(F.floor(F.array_min(F.transform("edges", lambda e: e[a])) / cell_deg),
+                                F.floor(F.array_max(F.transform("edges", lambda e: e[a])) / cell_deg))
+    d = d.withColumn("cx", F.explode(span("x1"))).withColumn("cy", F.explode(span("y1")))
+    coarse = _cover(d, cell_deg)
+    steps = F.sequence(F.lit(0), F.lit(refine - 1))
+    fine = (coarse.where("border").withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+            .select("scene_id", "edges", (F.col("cx") * refine + F.col("i")).alias("cx"),
+                    (F.col("cy") * refine + F.col("j")).alias("cy")))
+    # cells that need no test carry no edges
+    fine = _cover(fine, cell_deg / refine).select("scene_id", "cx", "cy", "border",
+                                                  F.when(F.col("border"), F.col("edges")).alias("edges"))
+    return coarse.where(~F.col("border")).select("scene_id", "cx", "cy"), fine
+
+
+def containing_outlines(samples: DataFrame, outlines: DataFrame, key: str = "sample_id", lon: str = "longitude",
+                        lat: str = "latitude", cell_deg: float = DEFAULT_CELL_DEG, refine: int = 4) -> DataFrame:
+    """(sample, scene) pairs where the point lies in the scene's outline.  Points
+    meet coarse inside cells and fine cells by equal cell numbers; only points in
+    a fine border cell are tested edge by edge.  Samples without a place match
+    nothing."""
+    inside, fine = cells_of_outlines(outlines, cell_deg, refine)
+    size = cell_deg / refine
+    p = samples.select(key, F.col(lon).cast("double").alias("_x"), F.col(lat).cast("double").alias("_y")).where(
+        "_x IS NOT NULL AND _y IS NOT NULL")
+    p = p.withColumns({"cx": F.floor(F.col("_x") / size), "cy": F.floor(F.col("_y") / size)})
+    coarse = p.select(key, F.floor(F.col("cx") / refine).alias("cx"), F.floor(F.col("cy") / refine).alias("cy"))
+    exact = ~F.col("border") | in_ring(F.col("_x"), F.col("_y"), F.col("edges"))
+    # the explodes hide the cells' number from the static estimate: shuffle both sides, never broadcast them
+    return (coarse.hint("merge").join(inside, ["cx", "cy"]).select(key, "scene_id")
+            .unionByName(p.hint("merge").join(fine, ["cx", "cy"]).where(exact).select(key, "scene_id")))
+
+
 def best_scene(samples: DataFrame, scenes: DataFrame, key: str = "sample_id",
                lon: str = "longitude", lat: str = "latitude", date: str = "sample_date",
                window_days: int = DEFAULT_WINDOW_DAYS, cell_deg: float = DEFAULT_CELL_DEG,

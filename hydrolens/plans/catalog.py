@@ -136,6 +136,11 @@ def q_residual_kde(spark, sf):
     return k.select("i", F.round("x", 6).alias("x"), F.round(F.col("density") * 1e6, 6).alias("density_e6"))
 
 
+def q_residual_kde_by_model(spark, sf):
+    p = SI.predictions(spark, sf).select("model", (F.col("predicted") - F.col("actual")).alias("residual"))
+    return rounded(P.binned_kde(p, "residual", ["model"], grid=100))
+
+
 def q_joint_range(spark, sf):
     return rounded(P.joint_range(SI.predictions(spark, sf), "actual", "predicted"))
 
@@ -295,6 +300,40 @@ def q_csv_round_trip(spark, sf):
     return rounded(read_csv(spark, path, s.schema))
 
 
+def _ingested(spark, sf):
+    from ..session import checkpoint_dir
+    from .ingest import ingest
+    import uuid
+    path = f"{checkpoint_dir(spark).rstrip('/')}/field-files/{uuid.uuid4().hex}"
+    SI.field_lines(spark, sf).write.text(path)
+    return ingest(spark, path)
+
+
+def q_ingest_samples(spark, sf):
+    """Samples that the front of the enrichment job lets through."""
+    return rounded(_ingested(spark, sf).samples)
+
+
+def q_ingest_rejects(spark, sf):
+    """Rows that it turns away, with the reason (and the line, where it is malformed)."""
+    return rounded(_ingested(spark, sf).rejects.drop("file"))
+
+
+def q_ingest_counts(spark, sf):
+    """Rows per outcome, counted while the tagged rows were written."""
+    rows = [(k, int(v)) for k, v in _ingested(spark, sf).counts.items()]
+    return spark.createDataFrame(rows, "outcome string, n long")
+
+
+def q_pixel_from_lonlat(spark, sf):
+    """10 m pixels of the stations, whose places are known in degrees."""
+    from ..functions.geo import with_utm_forward
+    from ..operators.scenes import pixel_keys
+    s = with_utm_forward(SI.stations(spark, sf), "latitude", "longitude", 22, True, "x_m", "y_m")
+    return pixel_keys(s, "x_m", "y_m").select("point", F.round("x_m", 3).alias("x_m"), F.round("y_m", 3).alias("y_m"),
+                                              "px", "py")
+
+
 def q_latest_snapshot(spark, sf):
     from ..operators.joins import latest_per_group
     e = SI.table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
@@ -339,6 +378,15 @@ def q_cell_contains(spark, sf):
     return pairs.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_scenes"))
 
 
+def q_outline_contains(spark, sf):
+    """Scenes over each sample, by their tilted outlines."""
+    from ..operators.scenes import containing_outlines
+    from .enrich import STANDIN_CELL_DEG
+    pairs = containing_outlines(SI.scene_samples(spark, sf), SI.scene_footprints(spark, sf),
+                                cell_deg=2 * STANDIN_CELL_DEG, refine=2)
+    return pairs.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_scenes"))
+
+
 def q_pixel_sample(spark, sf):
     from ..operators.scenes import sample_pixels
     return rounded(sample_pixels(SI.pixel_points(spark, sf), SI.pixels(spark, sf))

@@ -53,6 +53,19 @@ def dirty_text(spark, sf_dir) -> DataFrame:
     return o.select(k.alias("sample_id"), date_txt.alias("date_text"), val_txt.alias("value_text"))
 
 
+def field_lines(spark, sf_dir) -> DataFrame:
+    """Lines of a field file: key, date, value and place, some of them broken."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    d = dirty_text(spark, sf_dir)
+    k = F.col("sample_id")
+    j = d.join(o, k == F.col("o_orderkey"))
+    lat = ((F.col("o_custkey") % 200) - 100).cast("string")
+    whole = F.concat_ws(";", k.cast("string"), "date_text", "value_text", lat, (k % 400 - 200).cast("string"))
+    return j.select(F.when(k % 23 == 0, F.concat_ws(";", k.cast("string"), "date_text"))
+                    .when(k % 29 == 0, F.concat(whole, F.lit(";more")))
+                    .when(k % 31 == 0, F.concat(F.lit("x"), whole)).otherwise(whole).alias("value"))
+
+
 def measurements(spark, sf_dir) -> DataFrame:
     """Long measurements (point, date, parameter, result, unit) in file order ``ord``."""
     e = table(spark, sf_dir, "events")
@@ -137,6 +150,18 @@ def scenes(spark, sf_dir) -> DataFrame:
                     (F.col("o_totalprice") % 100).alias("cloud_pct"))
 
 
+def scene_footprints(spark, sf_dir) -> DataFrame:
+    """Scene outlines as tilted squares: (scene_id, ring of lon/lat points)."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    cx = F.lit(-52.0) + (k % 40).cast("double") * F.lit(0.05)
+    cy = F.lit(-19.0) + F.floor(k / 400).cast("double") * F.lit(0.05)
+    a, b = 0.117, 0.061
+    corners = [(-a, -b), (b, -a), (a, b), (-b, a)]
+    return o.select(k.alias("scene_id"), F.array(*[F.struct((cx + x).alias("lon"), (cy + y).alias("lat"))
+                                                   for x, y in corners]).alias("ring"))
+
+
 def pixel_points(spark, sf_dir) -> DataFrame:
     """Points in projected metres on a scene."""
     o = table(spark, sf_dir, "orders")

@@ -22,6 +22,18 @@ def read_csv_text(spark: SparkSession, path: str, columns) -> DataFrame:
     return read_csv(spark, path, schema)
 
 
+def read_csv_lines(spark: SparkSession, path: str, columns, sep: str = ",") -> DataFrame:
+    """Text scan that loses no line: the ``columns`` as STRING, ``malformed``
+    (the whole line, where it has too few or too many fields; else NULL) and
+    ``file``.  All columns are parsed whatever is selected later, so the verdict
+    on a line doesn't depend on the query."""
+    schema = StructType([StructField(c, StringType(), True) for c in [*columns, "malformed"]])
+    lines = (spark.read.schema(schema).option("header", False).option("sep", sep).option("mode", "PERMISSIVE")
+             .option("columnNameOfCorruptRecord", "malformed").option("columnPruning", False)
+             .option("encoding", "UTF-8").option("quote", '"').option("escape", '"').csv(path))
+    return lines.select("*", F.col("_metadata.file_path").alias("file"))
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> None:
     """CSV sink with header; dates as yyyy-MM-dd."""
     w = df.write.mode(mode).option("header", True).option("dateFormat", "yyyy-MM-dd")
