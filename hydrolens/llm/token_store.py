@@ -91,8 +91,9 @@ class WordCoder(dict):
     def encode(self, text: str) -> bytes:
         raw = text.encode("utf-8", "replace")
         low = raw.lower()  # A-Z only
-        # lower case first only where composition cannot change with it
-        if low != raw and (raw.isascii() or (unicodedata.is_normalized("NFC", text)
+        # lower case first only where composition cannot change with it, and where
+        # nothing can become a special token (these are known in their own case only)
+        if low != raw and b"<|" not in raw and (raw.isascii() or (unicodedata.is_normalized("NFC", text)
                                              and unicodedata.is_normalized("NFC", low.decode()))):
             raw = low
         return b"".join(map(self.__getitem__, raw.split()))

@@ -10,6 +10,7 @@ import numpy as np
 from hydrolens.llm import token_store as T
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
+SPECIALS = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|", "|>"]
 FULL = Tokenizer.from_file(FILE)
 
 
@@ -19,12 +20,18 @@ def encode(text):
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.sampled_from("aZé ñßǰJ̌́　 .,'!\n\x1c1σΣ <|endoftext|>"), st.characters(
-    exclude_categories=["Cs"])), max_size=40))
+    exclude_categories=["Cs"]), st.sampled_from(SPECIALS)), max_size=40))
 def test_pieces_encode_like_the_whole_text(text):
     got = np.frombuffer(T._coder(FILE, False).encode(text), "<u2").tolist()
     assert got == encode(text)
 
 
+def test_special_tokens_in_any_case():
+    for x in SPECIALS:
+        for text in (f"a {x} b", f"É{x}", f"{x}{x.upper()}", f"A{x}Z<|", x):
+            assert np.frombuffer(T._coder(FILE, False).encode(text), "<u2").tolist() == encode(text), text
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=300))
 def test_perfect_hash_is_minimal(keys):
