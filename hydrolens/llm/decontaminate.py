@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, packed, stored, table, unpacked
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
+#: tables reach this far into a window; the rest is compared directly
+TABLE_BYTES = 1024
 LANE_BYTES = 1024
 #: 20 * n_hit >= n_words
 MIN_SHARE = 20
@@ -55,12 +57,12 @@ class _Class:
 
     def __init__(self, patterns: list[bytes], ids: list[int]):
         self.patterns, self.ids = patterns, np.array(ids)
-        self.m = m = min(map(len, patterns))
+        self.m = m = min(TABLE_BYTES, min(map(len, patterns)))
         # long enough blocks that random text seldom meets one
         self.b = min(m, 16, max(2, int(np.ceil(np.log2(2 * m * len(patterns)) / 2))))
         self.bits = int(min(22, max(12, np.ceil(np.log2(8 * m * len(patterns))))))
         heads = np.frombuffer(b"".join(p[:m] for p in patterns), np.uint8).reshape(-1, m)
-        self.shift = np.full(1 << self.bits, m - self.b + 1, np.int16)
+        self.shift = np.full(1 << self.bits, m - self.b + 1, np.int32)
         flat = np.concatenate([np.zeros(16, np.uint8), heads.ravel(), np.zeros(8, np.uint8)])
         words = loads(flat)
         first = 16 + np.arange(len(patterns)) * m
@@ -204,7 +206,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     found, as strings."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item IS NOT NULL").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "runs": F.array().cast("array<array<long>>"),

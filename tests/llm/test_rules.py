@@ -121,3 +121,19 @@ def test_url_lists_edges(spark):
     assert len(got) == 13 and all(r.h == -1 for r in got)
     assert U.evaluate(captures.where("1 = 0"), events).count() == 0
     assert U.evaluate(captures, events.where("1 = 0")).where("blocked").count() == 0
+
+
+def test_very_long_items_and_words():
+    big, other = "a" * 100_000, " ".join("word%d" % i * 900 for i in range(15))
+    items = [("big", big), ("two", "b" * 40_000 + " " + "c" * 40_000), ("other", other), ("big", big)]
+    texts = [f"x {big} y", "a" * 99_999, f"{'b' * 40_000} {'c' * 40_000}", other, None]
+    n_words, runs, found = D.WindowSet(items).scan(texts)
+    assert [sorted(found.get(i, ())) for i in range(5)] == [["big"], [], ["two"], ["other"], []]
+    assert list(n_words) == [3, 1, 2, 15, 0] and D.merge_runs(runs[3]) == [[0, 15]]
+
+
+def test_repeated_items_are_one(spark):
+    bench = spark.createDataFrame([("i1", "some words that are in it")] * 500, "item_id string, text string")
+    docs = spark.createDataFrame([(1, "here some words that are in it too")], "doc_id long, text string")
+    r = D.find_items(docs, bench, block_bytes=30).first()
+    assert r["items"] == ["i1"] and r["n_hit"] == 6
