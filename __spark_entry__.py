@@ -620,6 +620,26 @@ SELECT 'Turbidez' AS parameter, 'NTU' AS unit, 'Index_Based' AS method,
        round(1 - sum((p - label) * (p - label)) / (count(*) * var_pop(label)), 6) AS r2,
        round(sqrt(avg((p - label) * (p - label))), 6) AS rmse
 FROM (SELECT label, {RAW_TURB} AS p FROM tp2 WHERE is_test) q WHERE p IS NOT NULL AND label IS NOT NULL"""
+    s["row_index"] = (f"WITH {SAMPLES} SELECT sample_id, sample_date, row_number() OVER (ORDER BY sample_date, sample_id) - 1 "
+                      "AS row_index FROM samples")
+    s["validation_linear"] = f"""WITH {turb},
+ml AS (SELECT regr_slope(label, NDCI) AS w, regr_intercept(label, NDCI) AS b FROM tp2 WHERE NOT is_test),
+ix AS (SELECT regr_slope(label, {RAW_TURB}) AS a, regr_intercept(label, {RAW_TURB}) AS c FROM tp2 WHERE NOT is_test)
+SELECT sample_id, round(label, 6) AS "Actual", {", ".join(f"round({b}, 6) AS {b}_value" for b in BAND_NAMES)},
+  round(coalesce(a * {RAW_TURB} + c, {RAW_TURB}), 6) AS "Index_Based", round(w * NDCI + b, 6) AS "ML_Predicted" FROM tp2, ml, ix WHERE is_test"""
+    run = TRAIN + ",\n" + _prep("tq", "turbidity", 20) + """,
+rt AS (SELECT sample_id, label AS y, NDCI AS x, ntile(5) OVER (ORDER BY md5(CAST(sample_id AS VARCHAR) || '|42'), sample_id) - 1 AS fold
+  FROM tq2 WHERE NOT is_test),
+co AS (SELECT f.fold, regr_slope(y, x) AS w, regr_intercept(y, x) AS b FROM (SELECT DISTINCT fold FROM rt) f JOIN rt ON rt.fold <> f.fold GROUP BY f.fold),
+cv AS (SELECT rt.fold, 1 - sum((w * x + b - y) * (w * x + b - y)) / (count(*) * var_pop(y)) AS r2 FROM rt JOIN co USING (fold) GROUP BY rt.fold),
+al AS (SELECT regr_slope(y, x) AS w, regr_intercept(y, x) AS b FROM rt),
+te AS (SELECT sample_id, label AS y, w * NDCI + b AS p FROM tq2, al WHERE is_test)"""
+    s["cv_score_table"] = f"WITH {run} SELECT 'Linear' AS model, CAST(fold AS INTEGER) AS fold, round(r2, 6) AS r2 FROM cv"
+    s["prediction_table"] = (f"WITH {run} SELECT 'Linear' AS model, sample_id, round(y, 6) AS label, round(p, 6) AS prediction FROM te")
+    s["comparison_linear"] = f"""WITH {run}
+SELECT 'turbidity' AS target, 'Linear' AS model, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round(avg(abs(p - y)), 6) AS mae,
+  round(1 - sum((p - y) * (p - y)) / (count(*) * var_pop(y)), 6) AS r2, round((SELECT avg(r2) FROM cv), 6) AS cv_mean,
+  round((SELECT stddev_pop(r2) FROM cv), 6) AS cv_std FROM te"""
     lin = Q.LINEAR_FEATURES
     moved = " UNION ALL ".join(
         f"SELECT {j} AS feature, r AS repeat, a.y, 200e0 + " + " + ".join(

@@ -517,6 +517,42 @@ def q_svr_linear(spark, sf):
     return spark.createDataFrame([(m.n, round(m.objective / m.n, 4))], "n long, objective_per_row double")
 
 
+def q_validation_linear(spark, sf):
+    """Test rows with Actual, a linear model on NDCI, the calibrated index and the six bands."""
+    from .validate import validate
+    out, _, _ = validate(SI.training_rows(spark, sf), "Turbidez", "turbidity", ml_kind="Linear", ml_features=["NDCI"])
+    return rounded(out)
+
+
+def _linear_run(spark, sf):
+    from .train import train_models
+    return train_models(SI.training_rows(spark, sf), "turbidity", models=["Linear"], features=["NDCI"])
+
+
+def q_comparison_linear(spark, sf):
+    """Comparison row of a linear model on NDCI."""
+    from .train import comparison_frame
+    return rounded(comparison_frame(spark, _linear_run(spark, sf)["rows"]).drop("error"))
+
+
+def q_prediction_table(spark, sf):
+    """Long table of a run's test predictions."""
+    from .train import prediction_table
+    return rounded(prediction_table(_linear_run(spark, sf)))
+
+
+def q_cv_score_table(spark, sf):
+    """Fold scores of a run."""
+    from .train import cv_score_table
+    return rounded(cv_score_table(spark, _linear_run(spark, sf)))
+
+
+def q_row_index(spark, sf):
+    """Samples with a 0-based index column in date, then key order."""
+    from ..sources.csv_io import with_row_index
+    return with_row_index(SI.samples(spark, sf).select("sample_id", "sample_date"), ["sample_date", "sample_id"])
+
+
 LINEAR_FEATURES = {"NDCI": 40.0, "NDVI": -15.0, "MNDWI": 25.0}
 
 

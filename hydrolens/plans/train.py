@@ -88,6 +88,10 @@ def fit_predict(kind: str, train: DataFrame, test: DataFrame, feats, key: str =
         alpha, w, b = L.linear_cv({k[0]: v for k, v in st.items()}, kind.lower())
         pred = L.linear_predict(test, feats, w, b).select(key, "label", "prediction")
         return pred, {"alpha": alpha, "coef": list(map(float, w)), "intercept": float(b)}
+    if kind == "Linear":
+        w, b = L.ridge_solve(L.gram_stats(train, feats, "label")[()], 0.0)
+        return (L.linear_predict(test, feats, w, b).select(key, "label", "prediction"),
+                {"coef": list(map(float, w)), "intercept": float(b)})
     if kind == "SVR":
         m = fit_svr(train, feats, feature_map=rbf_map(len(feats)))
         return m.transform(test.select(key, "label", *feats)).select(key, "label", "prediction"), m
@@ -122,11 +126,11 @@ def cv_scores(kind: str, train: DataFrame, feats, key: str = "sample_id", k: int
 
 
 def train_models(df: DataFrame, target: str, models=MODEL_NAMES, cloud_threshold: float = 20,
-                 with_cv: bool = True, key: str = "sample_id") -> dict:
+                 with_cv: bool = True, key: str = "sample_id", features=FEATURE_COLUMNS) -> dict:
     """Train each model kind on one target; a failing model is logged and
     reported, the others go on.  Returns metrics rows, predictions, models."""
     from concurrent.futures import ThreadPoolExecutor
-    prep, feats = preprocess(df, target, cloud_threshold=cloud_threshold, key=key)
+    prep, feats = preprocess(df, target, features, cloud_threshold=cloud_threshold, key=key)
     train, test, scaler = split_and_scale(prep, feats, key)
 
     def run(kind):

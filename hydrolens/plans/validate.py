@@ -31,7 +31,7 @@ def index_predictions(test: DataFrame, parameter: str, cal: dict | None, key: st
 
 
 def validate(df: DataFrame, parameter: str, target: str, cloud_threshold: float = 10, calibrate_index: bool = True,
-             with_ml: bool = True, key: str = "sample_id"):
+             with_ml: bool = True, key: str = "sample_id", ml_kind: str = "RandomForest", ml_features=None):
     """Returns (assembled rows: key, Actual, ML_Predicted, Index_Based, bands;
     metrics rows: method, r2, rmse; unit)."""
     prep, feats = TR.preprocess(df, target, cloud_threshold=cloud_threshold, cloud_required=True, key=key)
@@ -46,9 +46,10 @@ def validate(df: DataFrame, parameter: str, target: str, cloud_threshold: float
     metrics = [L.regression_metrics(idx.withColumnRenamed("Index_Based", "prediction"), "label", "prediction")
                .select(F.lit("Index_Based").alias("method"), "r2", "rmse")]
     if with_ml:
+        feats = list(ml_features or feats)
         scaler = L.fit_scaler(train, feats)
         tr, te = L.standardise(train, feats, scaler), L.standardise(test, feats, scaler)
-        ml, _ = TR.fit_predict("RandomForest", tr, te, feats, key)
+        ml, _ = TR.fit_predict(ml_kind, tr, te, feats, key)
         out = out.join(ml.select(key, F.col("prediction").alias("ML_Predicted")), key, "inner")
         metrics.append(L.regression_metrics(ml, "label", "prediction")
                        .select(F.lit("ML_Predicted").alias("method"), "r2", "rmse"))
