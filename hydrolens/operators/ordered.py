@@ -25,7 +25,7 @@ from pyspark.sql.types import DateType, NumericType, TimestampNTZType, Timestamp
 
 from .keys import join_on_keys
 
-_PID = "_hl_pid"
+_PID = RANGE = "_hl_pid"
 ROWS_PER_RANGE = 50_000
 MAX_RANGES = 4096
 #: text order columns: bounds come from a sample of this many rows
@@ -145,9 +145,11 @@ def row_number(df: DataFrame, order_by, out: str = "rn", group_by=(), n: int | N
 
 
 def previous_row(df: DataFrame, cols, order_by, suffix: str = "_prev", n: int | None = None,
-                 bounds: list | None = None) -> DataFrame:
+                 bounds: list | None = None, keep_range: bool = False) -> DataFrame:
     """Add ``<c><suffix>`` = value of ``c`` in the previous row of the global
-    order (NULL for the first row), without a single-partition window."""
+    order (NULL for the first row), without a single-partition window.
+    ``keep_range`` leaves the range number (``RANGE``), by which the rows lie
+    together."""
     cols = list(cols)
     order_by = list(order_by)
     r = with_range_id(df, order_by[0], n, bounds=bounds, then=order_by[1] if len(order_by) > 1 else None)
@@ -164,5 +166,5 @@ def previous_row(df: DataFrame, cols, order_by, suffix: str = "_prev", n: int |
     for c in cols:
         out = out.withColumn(c + suffix, F.when(F.col("_hl_first"), F.col("_hl_carry." + c))
                              .otherwise(F.col(c + suffix)))
-    return out.drop("_hl_first", "_hl_carry", _PID)
+    return out.drop("_hl_first", "_hl_carry", *([] if keep_range else [_PID]))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import n_ranges, previous_row, range_bounds, row_number, running_sum
+from ..session import stored
+from .ordered import RANGE, n_ranges, previous_row, range_bounds, row_number, running_sum
 
 
 def _key_changed(df: DataFrame, keys, suffix="_prev") -> F.Column:
@@ -55,30 +56,35 @@ def pivot_last_run(df: DataFrame, keys, order: str, parameter: str, value: str,
     met in the data (or the ``parameters`` asked for).  Rows without a
     parameter keep their key's row but fill no column.
 
-    Scale: the last-run start is a per-key aggregate joined back (no window
-    over a key, so a hot key is split by AQE's skew join), and the pivot is a
-    partial aggregation (``max_by``) per key.
+    Scale: one pass over the rows.  Each range of the order is reduced to states,
+    one per (range, key, label): whether a run of the key starts in the range,
+    and the last value and unit since that start (since the range's begin, if
+    none).  States merge by range number -- a later start replaces what came
+    before, otherwise later values lie over earlier ones -- so only states are
+    shuffled by key, at most one per range, key and label, and no row is joined
+    back.
     """
     keys = list(keys)
-    p = previous_row(df, keys, [order])
-    starts = (p.where(_key_changed(p, keys)).groupBy(*keys)
-              .agg(F.max(order).alias("_hl_last_start"))
-              .select(*[F.col(k).alias(f"_hl_k{i}") for i, k in enumerate(keys)], "_hl_last_start"))
-    # NULL is a key value like any other (null-safe equality)
-    cond = [df[k].eqNullSafe(starts[f"_hl_k{i}"]) for i, k in enumerate(keys)]
-    last = (df.join(starts, cond, "inner")
-            .where(F.col(order) >= F.col("_hl_last_start"))
-            .drop(*[f"_hl_k{i}" for i in range(len(keys))], "_hl_last_start"))
-    parameters = list(parameters) if parameters is not None else distinct_labels(df, parameter)
-    aggs = []
-    for prm in parameters:
-        hit = F.col(parameter) == prm
-        o = F.when(hit, F.col(order))
-        aggs.append(F.max_by(F.when(hit, F.col(value)), o).alias(prm))
-        aggs.append(F.max_by(F.when(hit, F.col(unit)), o).alias(prm + unit_suffix))
-    wide = last.groupBy(*keys).agg(*aggs) if aggs else last.select(*keys).distinct()
-    rest = sorted([*parameters, *[p_ + unit_suffix for p_ in parameters]])
-    return wide.select(*keys, *[F.col(f"`{c}`") for c in rest])
+    p = previous_row(df, keys, [order], keep_range=True)
+    local = Window.partitionBy(RANGE, *keys)  # the rows of a range lie together already
+    start = F.max(F.when(_key_changed(p, keys), F.col(order))).over(local)
+    p = p.withColumn("_hl_start", start)
+    live = F.col("_hl_start").isNull() | (F.col(order) >= F.col("_hl_start"))
+    last = F.struct(F.col(order).alias("o"), F.col(value).alias("v"), F.col(unit).alias("u"))
+    states = p.groupBy(RANGE, *keys, F.col(parameter).alias("_hl_label")).agg(
+        F.max("_hl_start").alias("_hl_start"), F.max_by(F.when(live, last), F.when(live, F.col(order))).alias("_hl_last"))
+    states = stored(states, "run-states")
+    newest = F.max(F.when(F.col("_hl_start").isNotNull(), F.col(RANGE))).over(Window.partitionBy(*keys))
+    alive = states.withColumn("_hl_newest", newest).where(F.col(RANGE) >= F.coalesce("_hl_newest", F.lit(-1)))
+    parameters = list(parameters) if parameters is not None else distinct_labels(states, "_hl_label")
+    hit = [F.max_by(F.when(F.col("_hl_label") == prm, F.col("_hl_last")),
+                    F.when(F.col("_hl_label") == prm, F.col("_hl_last.o"))).alias(f"_hl_c{i}")
+           for i, prm in enumerate(parameters)]
+    wide = alive.groupBy(*keys).agg(*hit) if hit else alive.select(*keys).distinct()
+    cells = {}
+    for i, prm in enumerate(parameters):
+        cells |= {prm: F.col(f"_hl_c{i}.v"), prm + unit_suffix: F.col(f"_hl_c{i}.u")}
+    return wide.select(*keys, *[cells[c].alias(c) for c in sorted(cells)])
 
 
 def pivot_fill_rank(df: DataFrame, row: str, column: str, value: str, columns=None,
