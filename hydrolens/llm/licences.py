@@ -9,14 +9,18 @@ sparse multinomial logistic regression over them tells the licence families and
 ``unknown`` apart; it is trained on the templates, cut and joined in several
 ways, and on a bounded sample of the corpus' own lines.  A paragraph is only
 believed above a probability that is calibrated on all ordinary lines kept out
-of training; lines that pass the template comparison are not ordinary.  A
-believed paragraph is confirmed when it holds most 3-word windows of a template
-and all of its marks (name and version); the best such template names the family,
-else the regression does.
+of training; lines that pass the template comparison are not ordinary.  The
+regression names the family of a believed paragraph.  It is confirmed when the
+paragraph holds most 3-word windows and all marks (name and version) of a
+template, and the best such template is one of that family; where the best one
+is another family's, the paragraph is ``disputed`` and not confirmed.
 
 DataFrame functions and Spark ML only.  A paragraph without a distinctive word
 has no feature and so the model's answer for the empty vector, ``unknown``;
 a look-up of the words' probes finds the others, so only they are taken apart.
+Texts are read three times: for the notices, for the lines per template word,
+and for the lines with a probe, which are written and scored once for both the
+calibration and the scan.
 
 Defined results: a null text has no paragraphs; rows that repeat a doc_id are
 scanned one by one; extra columns are carried untouched by ``scan``; an empty
@@ -26,6 +30,7 @@ table gives an empty result (the model is then trained on templates alone).
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Callable
 
@@ -40,6 +45,8 @@ from .common import stored, table
 UNKNOWN = "unknown"
 #: documents whose paragraphs describe ordinary text, about
 SAMPLE_DOCS = 400
+#: the draw of the sample is one of so many
+DRAWS = 1 << 40
 #: a distinctive word is in fewer than one of so many sample paragraphs
 RARE = 50
 #: share of kept-out ordinary paragraphs that may be believed
@@ -146,6 +153,10 @@ MARKS = {
     "cc-by-nc": ["cc by-nc 4.0", "commons attribution-noncommercial 4.0"],
 }
 _SPLIT = r"[^a-z0-9.\-]+"
+#: what is left of a piece between two splits without dots and hyphens around it
+_WORD = r"[a-z0-9](?:[a-z0-9.\-]*[a-z0-9])?"
+#: a line of which any word can be a template's
+_SPOKEN = r"[\p{L}\p{N}]"
 
 
 def words_of(text: str) -> list[str]:
@@ -158,8 +169,7 @@ def grams_of(words: list[str], sizes=(1, 2, 3)) -> list[str]:
 
 def words(text: Column) -> Column:
     """As ``words_of``."""
-    parts = F.split(F.lower(text), _SPLIT)
-    return F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(".-"))), lambda x: x != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -173,18 +183,21 @@ def grams(w: Column, n: int) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """One row per line that holds a word: ``paragraph`` beside the columns."""
-    return (docs.withColumn("paragraph", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")))
-            .where(F.col("paragraph").rlike(r"[^\x20\x09-\x0D]")).drop("text"))
+    """One row per line that holds a letter or digit: ``paragraph`` beside the
+    columns.  (The outer explode keeps the optimizer from splitting each text a
+    second time, to look for empty arrays.)"""
+    return (docs.withColumn("paragraph", F.explode_outer(F.split(F.coalesce("text", F.lit("")), "\n")))
+            .where(F.col("paragraph").rlike(_SPOKEN)).drop("text"))
 
 
 def blocks(docs: DataFrame) -> DataFrame:
     """One row per run of lines between lines without a letter or digit, such
-    as bare comment signs: ``_lines`` beside the columns."""
+    as bare comment signs: ``_lines`` beside the columns; the lines are those of
+    ``paragraphs``."""
     parts = F.split(F.coalesce("text", F.lit("")), r"\n[^\p{L}\p{N}]*\n")
-    return (docs.withColumn("_b", F.explode(parts)).drop("text")
-            .withColumn("_lines", F.filter(F.split("_b", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-            .drop("_b").where(F.size("_lines") > 0))
+    lines = F.filter(F.split("_b", "\n"), lambda x: x.rlike(_SPOKEN))
+    return (docs.withColumn("_b", F.explode_outer(parts)).drop("text")
+            .withColumn("_lines", F.explode_outer(F.array(lines))).drop("_b").where(F.size("_lines") > 0))
 
 
 def _templates() -> list[dict]:
@@ -201,7 +214,7 @@ def _templates() -> list[dict]:
 def _anchors() -> list[str]:
     """A text that holds all marks of a template holds one of these runs of
     letters and digits."""
-    return sorted({re.findall("[a-z0-9]+", t["marks"][0])[0] for t in _templates()})
+    return sorted({max(re.findall("[a-z0-9]+", t["marks"][0]), key=len) for t in _templates()})
 
 
 def _has_anchor(text: Column) -> Column:
@@ -232,11 +245,36 @@ def _rest(lines: Column, notice: Callable[[Column], Column]) -> Column:
     return _let(lines, lambda a: F.when(_has_anchor(F.array_join(a, " ")), F.filter(a, lambda x: ~notice(x))).otherwise(a))
 
 
+def _plain(lines: Column) -> Column:
+    """The ordinary ones: neither a notice alone nor, all joined, one."""
+    return _let(_rest(lines, _notice), lambda a: F.when(_notice(F.array_join(a, " ")), F.slice(a, 1, 0)).otherwise(a))
+
+
 def ordinary(docs: DataFrame) -> DataFrame:
     """``paragraphs`` without the lines that are a notice, alone or joined with
     the lines of their block."""
-    plain = _let(_rest(F.col("_lines"), _notice), lambda a: F.when(~_notice(F.array_join(a, " ")), a))
-    return blocks(docs).withColumn("paragraph", F.explode(plain)).drop("_lines")
+    return (blocks(docs).withColumn("paragraph", F.explode_outer(_plain(F.col("_lines")))).drop("_lines")
+            .where("paragraph IS NOT NULL"))
+
+
+def _line_counts(lines: DataFrame, among: list[str]) -> dict[str, int]:
+    """Lines (paragraph) that hold each of the words; "" counts them all."""
+    held = F.concat(F.array_distinct(words(F.col("paragraph"))), F.array(F.lit("")))
+    got = lines.select(F.explode_outer(held).alias("w")).where(F.col("w").isin([*among, ""])).groupBy("w").count()
+    return {r["w"]: r["count"] for r in got.collect()}
+
+
+def ordinary_counts(docs: DataFrame, among: list[str]) -> dict[str, int]:
+    """``_line_counts`` of the ordinary lines of ``docs`` (text): all lines less
+    the notices, which only blocks with an anchor can hold."""
+    anchored = stored(blocks(docs.select("text").where(_has_anchor(F.col("text"))))
+                      .where(_has_anchor(F.array_join("_lines", " "))), "licence-anchored", "zstd")
+    every = _line_counts(paragraphs(docs.select("text")), among)
+    noticed = stored(anchored.select("_lines", _plain(F.col("_lines")).alias("_plain"))
+                     .where(F.size("_plain") < F.size("_lines")), "licence-notices", "zstd")
+    lines = lambda c: noticed.select(F.explode(c).alias("paragraph"))
+    inside, plain = _line_counts(lines("_lines"), among), _line_counts(lines("_plain"), among)
+    return {w: n - inside.get(w, 0) + plain.get(w, 0) for w, n in every.items()}
 
 
 def _variants(text: str) -> list[str]:
@@ -259,24 +297,28 @@ class LicenceModel:
     def may_match(self, text: Column) -> Column:
         return F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), F.array(*map(F.lit, self.probes)))
 
-    def classify(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (paragraph) with family, probability and confirmed.
+    def score(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (paragraph) with words ``_w`` and probabilities ``_p``.
 
         The words and then the probabilities are written before they are used
         again: a filter on a computed column would else be carried down to the
         words and take every paragraph apart once per word."""
-        split = stored(rows.withColumn("_w", words(F.col("paragraph"))), "licence-candidates")
-        scored = stored(_probabilities(split, self.vocabulary, self.model).drop("_g", "_x"), "licence-scores")
-        unknown = F.get("_p", len(self.families) - 1)
-        known = F.slice("_p", 1, len(self.families) - 1)
+        split = stored(rows.withColumn("_w", words(F.col("paragraph"))), "licence-candidates", "zstd")
+        return stored(_probabilities(split, self.vocabulary, self.model).drop("_g", "_x"), "licence-scores", "zstd")
+
+    def known(self) -> Column:
+        return 1 - F.get("_p", len(self.families) - 1)
+
+    def classify(self, scored: DataFrame) -> DataFrame:
+        """Believed rows of ``score`` with family, probability, confirmed and
+        disputed (the best template is another family's)."""
+        each = F.slice("_p", 1, len(self.families) - 1)
         likely = F.get(F.array(*[F.lit(f) for f in self.families]),
-                       F.array_position(known, F.array_max(known)).cast("int") - 1)
-        named = F.when(1 - unknown >= self.threshold, _named(F.col("_w")))
-        out = scored.withColumn("probability", 1 - unknown).withColumn("_likely", likely).withColumn("_named", named)
-        family = F.when(F.size("_named") > 0, F.col("_named")).when(F.col("_named").isNotNull(), F.array("_likely"))
-        return (out.withColumn("confirmed", F.coalesce(F.size("_named") > 0, F.lit(False)))
-                .withColumn("family", F.explode(F.coalesce(family, F.array(F.lit(UNKNOWN)))))
-                .drop("_p", "_w", "_likely", "_named"))
+                       F.array_position(each, F.array_max(each)).cast("int") - 1)
+        believed = scored.where(self.known() >= self.threshold).withColumn("_named", _named(F.col("_w")))
+        return (believed.withColumn("probability", self.known()).withColumn("family", likely)
+                .withColumn("confirmed", F.array_contains("_named", F.col("family")))
+                .withColumn("disputed", (F.size("_named") > 0) & ~F.col("confirmed")).drop("_p", "_w", "_named"))
 
 
 def _probabilities(rows: DataFrame, vocabulary: list[str], model: LogisticRegressionModel) -> DataFrame:
@@ -301,21 +343,44 @@ def _named(w: Column) -> Column:
         F.filter(m, lambda t: t["share"] >= best(m)), lambda t: t["family"])))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LicenceModel:
-    """Fitted on the templates and on paragraphs of about ``sample_docs``
-    documents of ``docs`` (doc_id, text)."""
+def units(docs: DataFrame, model: LicenceModel) -> DataFrame:
+    """What of ``docs`` (text and more) can have a feature: ``doc`` (all other
+    columns), ``_block``, ``paragraph``, ``_joined`` (else a line), ``_plain`` (an
+    ordinary line).  Blocks are written with their lines that hold a probe, whole
+    only where they hold an anchor."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("doc"), "text").where(model.may_match(F.col("text")))
+    hit = F.filter("_lines", lambda x: model.may_match(x))
+    kept = stored(blocks(rows).withColumn("_hit", F.explode_outer(F.array(hit))).where(F.size("_hit") > 0).select(
+        "doc", F.monotonically_increasing_id().alias("_block"), "_hit",
+        F.when(_has_anchor(F.array_join("_lines", " ")), F.col("_lines")).alias("_whole")), "licence-blocks", "zstd")
+    unit = lambda text, joined, plain: F.struct(
+        text.alias("paragraph"), F.lit(joined).alias("_joined"), plain.alias("_plain"))
+    plainly = _let(F.struct(_plain(F.col("_whole")).alias("p")), lambda o: F.transform(
+        "_hit", lambda x: unit(x, False, F.array_contains(o["p"], x))))
+    lines = F.when(F.col("_whole").isNull(), F.transform("_hit", lambda x: unit(x, False, F.lit(True)))).otherwise(plainly)
+    # a line that lacks a mark, as the version on the next line, stays with its block
+    rest = F.array_join(_rest(F.col("_whole"), lambda x: F.size(_named(words(x))) > 0), " ")
+    whole = F.when(F.size("_whole") > 1, F.array(unit(rest, True, F.lit(False))))
+    return (kept.select("doc", "_block", F.explode_outer(F.concat(lines, F.coalesce(whole, F.slice(lines, 1, 0)))).alias("_u"))
+            .select("doc", "_block", "_u.*"))
+
+
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[LicenceModel, DataFrame]:
+    """The model, fitted on the templates and on paragraphs of about
+    ``sample_docs`` documents of ``docs`` (doc_id, text and more), and the scored
+    ``units`` of all documents, which ``judge`` reads."""
     spark = docs.sparkSession
     n = docs.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) * n < F.lit(sample_docs << 20)
-    drawn = docs.where(draw)
-    sample = stored(ordinary(drawn.select("doc_id", "text")), "paragraphs")
-    # distinctive words: rare among all ordinary lines; bounded by the templates' words, "" counts the lines
+    draw = lambda key: F.pmod(F.xxhash64(key, F.lit(5)), F.lit(DRAWS)) < F.lit(
+        math.ceil(sample_docs / max(n, sample_docs) * DRAWS))
+    kept_out = lambda key: F.pmod(F.xxhash64(key, F.lit(6)), F.lit(2)) == 0
+    sample = stored(ordinary(docs.where(draw("doc_id")).select("doc_id", "text")), "paragraphs")
+    # distinctive words: rare among all ordinary lines; bounded by the templates' words
     template_words = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)})
-    met = F.array_distinct(F.filter(words(F.col("paragraph")), lambda x: x.isin(template_words)))
-    seen = {r["w"]: r["count"] for r in ordinary(docs.select("text")).select(
-        F.explode(F.concat(met, F.array(F.lit("")))).alias("w")).groupBy("w").count().collect()}
+    seen = ordinary_counts(docs, template_words)
     total = seen.pop("", 0)
-    common = {w for w, k in seen.items() if k * RARE >= total}
+    common = {w for w, k in seen.items() if k and k * RARE >= total}
     rare = [w for w in template_words if w not in common and (len(w) > 1)]
     vocabulary = sorted({g for ts in TEMPLATES.values() for t in ts for g in grams_of(words_of(t))
                          if set(g.split()) & set(rare)})
@@ -325,67 +390,64 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LicenceModel:
     examples += [(w, float(len(families) - 1)) for w in rare for _ in range(3)]
     values = ", ".join("(" + "'{}', {}D".format(x.replace("\\", "\\\\").replace("'", "\\'"), y) + ")" for x, y in examples)
     positive = spark.sql(f"SELECT * FROM VALUES {values} AS t(paragraph, label)")
-    background = sample.withColumn("label", F.lit(float(len(families) - 1)))
-    kept_out = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2)) == 0
-    rows = positive.union(background.where(~kept_out).select("paragraph", "label"))
+    background = sample.where(~kept_out("doc_id")).withColumn("label", F.lit(float(len(families) - 1)))
+    rows = positive.union(background.select("paragraph", "label"))
     rows = stored(rows.withColumn("_w", words(F.col("paragraph"))), "licence-examples")
     fitted = LogisticRegression(featuresCol="_x", labelCol="label", family="multinomial", regParam=1e-3,
                                 elasticNetParam=0.5, maxIter=60).fit(
         stored(_vectors(rows, vocabulary).select("_x", "label"), "licence-training"))
     probes = sorted({max(re.findall("[a-z0-9]+", w), key=len) for w in rare})
     model = LicenceModel(vocabulary, families, fitted, 0.5, probes)
+    scored = model.score(units(docs, model))
     # a probability that at most MAX_FALSE of all ordinary lines out of training pass; those without a probe score least
-    trained = F.coalesce(draw & ~kept_out, F.lit(False))
-    n_held = total - background.where(~kept_out).count()
-    held = stored(ordinary(docs.where(~trained).select("text").where(model.may_match(F.col("text"))))
-                  .where(model.may_match(F.col("paragraph"))).select(words(F.col("paragraph")).alias("_w")),
-                  "licence-kept-out", "zstd")
-    known = 1 - F.get("_p", len(families) - 1)
-    scores = _probabilities(held, vocabulary, fitted).select(F.floor(known * BINS).cast("int").alias("b"))
+    trained = F.coalesce(draw("doc.doc_id") & ~kept_out("doc.doc_id"), F.lit(False))
+    n_held = total - background.count()
+    scores = scored.where(F.col("_plain") & ~trained).select(F.floor(model.known() * BINS).cast("int").alias("b"))
     above = 0
     for r in sorted(scores.groupBy("b").count().collect(), reverse=True):
         above += r["count"]
         if above > MAX_FALSE * n_held:
             model.threshold = max(0.5, min(0.99, (r["b"] + 1) / BINS))
             break
-    return model
+    return model, scored
 
 
-def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """Believed paragraphs of ``docs`` (text and more): ``doc`` (all other
-    columns), paragraph, family, probability, confirmed."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*others).alias("doc"), "text").where(model.may_match(F.col("text")))
-    # a line that lacks a mark, as the version on the next line, stays with its block
-    rest = F.array_join(_rest(F.col("_lines"), lambda x: F.size(_named(words(x))) > 0), " ")
-    whole = F.when((F.size("_lines") > 1) & _has_anchor(F.array_join("_lines", " ")),
-                   F.array(F.struct(rest.alias("paragraph"), F.lit(True).alias("_joined"))))
-    lines = F.transform("_lines", lambda x: F.struct(x.alias("paragraph"), F.lit(False).alias("_joined")))
-    units = (blocks(rows).withColumn("_block", F.monotonically_increasing_id())
-             .select("doc", "_block", F.explode(F.concat(lines, F.coalesce(whole, F.slice(lines, 1, 0)))).alias("_u"))
-             .select("doc", "_block", "_u.*").where(model.may_match(F.col("paragraph"))))
-    found = model.classify(units).where(F.col("family") != UNKNOWN)
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LicenceModel:
+    return learn(docs, sample_docs)[0]
+
+
+def judge(scored: DataFrame, model: LicenceModel) -> DataFrame:
+    """Believed paragraphs of scored ``units``: doc, paragraph, family,
+    probability, confirmed, disputed."""
+    found = model.classify(scored)
     # joined lines count where they are confirmed and none of the lines is by itself
     mine = Window.partitionBy("_block", "family")
     sure = lambda joined: F.max(F.col("confirmed") & (F.col("_joined") == joined)).over(mine)
     return (found.withColumn("_by_line", sure(False)).withColumn("_by_block", sure(True))
             .where(F.when(F.col("_joined"), F.col("confirmed") & ~F.col("_by_line"))
                    .otherwise(F.col("confirmed") | ~F.col("_by_block")))
-            .drop("_block", "_joined", "_by_line", "_by_block"))
+            .drop("_block", "_joined", "_plain", "_by_line", "_by_block"))
+
+
+def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
+    """Believed paragraphs of ``docs`` (text and more): ``doc`` (all other
+    columns), paragraph, family, probability, confirmed, disputed."""
+    return judge(model.score(units(docs, model)), model)
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence families of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs)
     numbered = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    found = stored(scan(numbered, model).select("doc.doc_id", "doc.row", "family", "confirmed"), "licences")
+    model, scored = learn(numbered)
+    found = stored(judge(scored, model).select("doc.doc_id", "doc.row", "family", "confirmed", "disputed"), "licences")
     per_doc = found.groupBy("doc_id", "row").agg(
         F.count(F.lit(1)).alias("n_predicted"), F.sum(F.col("confirmed").cast("long")).alias("n_confirmed"),
+        F.sum(F.col("disputed").cast("long")).alias("n_disputed"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"))
     k = per_doc.withColumnsRenamed({"doc_id": "_d", "row": "_r"})
     return (numbered.select("doc_id", "row")
             .join(k, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left")
             .select("doc_id", F.coalesce("n_predicted", F.lit(0)).alias("n_predicted"),
                     F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"),
-                    F.coalesce("families", F.lit("")).alias("families")))
+                    F.coalesce("n_disputed", F.lit(0)).alias("n_disputed"), F.coalesce("families", F.lit("")).alias("families")))
