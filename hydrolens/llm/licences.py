@@ -29,7 +29,6 @@ table gives an empty result (the model is then trained on templates alone).
 
 from __future__ import annotations
 
-import json
 import math
 import re
 from collections.abc import Callable
@@ -222,22 +221,28 @@ def _has_anchor(text: Column) -> Column:
 
 
 def _matches(w: Column) -> Column:
-    """Templates of which the words ``w`` hold CONFIRM_PCT of the windows:
-    share, family, and whether all marks are there."""
-    known = F.from_json(F.lit(json.dumps(_templates())),
-                        "array<struct<family string, windows array<string>, marks array<string>>>")
-    one = lambda w: F.struct(F.concat(grams(w, 2), grams(w, 3)).alias("m"),
-                             F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("s"))
-    held = lambda x: F.filter(F.transform(known, lambda t: F.struct(
-        (F.size(F.array_intersect(x["m"], t["windows"])) * 100 / F.size(t["windows"])).alias("share"),
-        t["family"].alias("family"), F.forall(t["marks"], lambda m: F.contains(x["s"], m)).alias("marked"))),
+    """Templates of which the words ``w`` hold the name (the first mark) and
+    CONFIRM_PCT of the windows: share, family, and whether all marks are there.
+    The windows are only compared where a name is met."""
+    text = lambda t: F.array(*map(F.lit, t))
+    known = F.array(*[F.struct(F.lit(t["family"]).alias("family"), F.lit(t["marks"][0]).alias("name"),
+                               text(t["marks"]).alias("marks"), text(t["windows"]).alias("windows"))
+                      for t in _templates()])
+    share = lambda s, m: F.filter(F.transform(s["t"], lambda t: F.struct(
+        (F.size(F.array_intersect(m, t["windows"])) * 100 / F.size(t["windows"])).alias("share"),
+        t["family"].alias("family"), F.forall(t["marks"], lambda x: F.contains(s["s"], x)).alias("marked"))),
         lambda t: t["share"] >= CONFIRM_PCT)
-    return _let(_let(w, one), held)
+    none = F.slice(share(F.struct(F.slice(known, 1, 1).alias("t"), F.lit("").alias("s")), text([""])), 1, 0)
+    met = lambda s: _let(F.struct(s.alias("s"), F.filter(known, lambda t: F.contains(s, t["name"])).alias("t")),
+                         lambda x: F.when(F.size(x["t"]) > 0, _let(F.concat(grams(w, 2), grams(w, 3)),
+                                                                   lambda m: share(x, m))).otherwise(none))
+    return _let(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")), met)
 
 
 def _notice(text: Column) -> Column:
     """Whether the text passes the comparison with any template."""
-    return _let(text, lambda t: F.when(_has_anchor(t), F.size(_matches(words(t))) > 0).otherwise(F.lit(False)))
+    return _let(text, lambda t: F.when(_has_anchor(t), _let(words(t), lambda w: F.size(_matches(w)) > 0))
+                .otherwise(F.lit(False)))
 
 
 def _rest(lines: Column, notice: Callable[[Column], Column]) -> Column:
@@ -270,7 +275,7 @@ def ordinary_counts(docs: DataFrame, among: list[str]) -> dict[str, int]:
     anchored = stored(blocks(docs.select("text").where(_has_anchor(F.col("text"))))
                       .where(_has_anchor(F.array_join("_lines", " "))), "licence-anchored", "zstd")
     every = _line_counts(paragraphs(docs.select("text")), among)
-    noticed = stored(anchored.select("_lines", _plain(F.col("_lines")).alias("_plain"))
+    noticed = stored(anchored.select("_lines", F.explode_outer(F.array(_plain(F.col("_lines")))).alias("_plain"))
                      .where(F.size("_plain") < F.size("_lines")), "licence-notices", "zstd")
     lines = lambda c: noticed.select(F.explode(c).alias("paragraph"))
     inside, plain = _line_counts(lines("_lines"), among), _line_counts(lines("_plain"), among)
@@ -328,9 +333,19 @@ def _probabilities(rows: DataFrame, vocabulary: list[str], model: LogisticRegres
     return got.withColumn("_p", vector_to_array("_q")).drop("_q")
 
 
+def _known_grams(w: Column, among: list[str]) -> Column:
+    """The one to three word grams that hold no other words than these."""
+    def of(t: Column) -> Column:
+        at = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
+        run = lambda n: F.transform(at, lambda i: F.concat(
+            *[x for k in range(n) for x in (F.lit(" "), F.get(t, i + k))][1:]))
+        return F.array_compact(F.concat(t, run(2), run(3)))
+    return _let(F.transform(w, lambda x: F.when(x.isin(among), x)), of)
+
+
 def _vectors(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
     """``rows`` (``_w``) with the feature vector ``_x``."""
-    g = rows.withColumn("_g", F.concat(*[grams(F.col("_w"), n) for n in (1, 2, 3)]))
+    g = rows.withColumn("_g", _known_grams(F.col("_w"), sorted({w for g in vocabulary for w in g.split()})))
     return CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_g", outputCol="_x").setBinary(True).transform(g)
 
 
@@ -360,7 +375,8 @@ def units(docs: DataFrame, model: LicenceModel) -> DataFrame:
         "_hit", lambda x: unit(x, False, F.array_contains(o["p"], x))))
     lines = F.when(F.col("_whole").isNull(), F.transform("_hit", lambda x: unit(x, False, F.lit(True)))).otherwise(plainly)
     # a line that lacks a mark, as the version on the next line, stays with its block
-    rest = F.array_join(_rest(F.col("_whole"), lambda x: F.size(_named(words(x))) > 0), " ")
+    rest = F.array_join(_rest(F.col("_whole"), lambda x: F.when(_has_anchor(x), _let(words(x), lambda w: F.size(_named(w)) > 0))
+                              .otherwise(F.lit(False))), " ")
     whole = F.when(F.size("_whole") > 1, F.array(unit(rest, True, F.lit(False))))
     return (kept.select("doc", "_block", F.explode_outer(F.concat(lines, F.coalesce(whole, F.slice(lines, 1, 0)))).alias("_u"))
             .select("doc", "_block", "_u.*"))
