@@ -11,15 +11,20 @@
    least squares: with n tokens, posterior p and T(k) the sum of r n p(k),
    minimise
        sum_k (T(k) - target(k))^2 / T0(k)  +  ridge * sum n (r - 1)^2
-   where T0 are the totals at r = 1.  At the minimum the projected gradient
-   sum_k p(k) e(k) + ridge (r - 1) with e(k) = (T(k) - target(k)) / T0(k) is
-   zero, so r = max(0, 1 - sum_k p(k) u(k)) with u = e / ridge: as many unknowns
-   as domains.  They minimise the convex dual
+   where T0 are the totals at r = 1, by projected-gradient steps.  Per token the
+   gradient of a rate is sum_k p(k) e(k) + ridge (r - 1) with
+   e(k) = (T(k) - target(k)) / T0(k).  A step of size s moves the point before
+   projection, z, to z - s (p e + ridge (z - 1)), and the rates are its
+   projection r = max(0, z).  From z = 1 on, z is always 1 - sum_k p(k) u(k), where
+   the accumulated u becomes u - s (ridge u - e): as many numbers as domains, so
+   a document's rate is computed from u and no rate is stored or shuffled, and one
+   aggregate a step gives the totals.  The curvature lies between ridge and
+   1 + ridge; the step size is the spectral one (from the last change of gradient)
+   within these bounds, made smaller, down to the sure 1 / (1 + ridge), where the dual
        ridge / 2 sum T0 u^2 + sum target u + 1/2 sum n max(0, 1 - p u)^2
-   which is piecewise quadratic, by Newton steps, halved when the dual doesn't
-   fall.  One aggregate a step gives totals and K x K Hessian; a document's rate
-   is computed from u, so no rate is stored or shuffled.  The fit ends when the
-   gradient is at most TOLERANCE of all tokens and raises an error otherwise.
+   would rise above its last values.  At the fixed point u = e / ridge the projected
+   gradient is zero.  The fit ends when T0 (ridge u - e) is at most TOLERANCE of
+   all tokens and raises an error otherwise.
 
 Defined results: a null text has no tokens and the prior posterior; label rows
 with neither value, or for unknown documents, are not used; without usable
@@ -48,6 +53,8 @@ TARGETS = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
 RIDGE = 1e-3
 #: a gradient of at most this share of all tokens is the optimum
 TOLERANCE = 1e-9
+#: values of the dual that a spectral step must not rise above
+KEPT = 4
 #: more aggregates than this are an error
 STEPS = 200
 N_SHAPES = 5
@@ -203,20 +210,13 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float],
               steps: int = STEPS) -> tuple[Column, dict[str, float], dict[str, float]]:
     """(rate column, target tokens, expected tokens at these rates); an error
     if the optimum isn't reached in ``steps`` aggregates."""
-    def sums(pull, ds):
-        """Totals, dual part and Hessian part at the rates under ``pull``."""
+    def sums(pull):
+        """Totals and dual part at the rates under ``pull``."""
         n, r = F.col("n_tokens"), F.col("_r")
-        pairs = [(x, y) for i, x in enumerate(ds) for y in ds[i:]]
         got = scored.select("n_tokens", *[f"p_{d}" for d in domains], _rate(domains, pull).alias("_r")).agg(
-            F.sum(n * r * r).alias("dual"), *[F.sum(n * F.col(f"p_{d}") * r).alias(f"t_{d}") for d in domains],
-            *[F.sum(F.when(r > 0, n * F.col(f"p_{x}") * F.col(f"p_{y}"))).alias(f"h_{ds.index(x)}_{ds.index(y)}")
-              for x, y in pairs]).first()
-        h = np.zeros((len(ds), len(ds)))
-        for x, y in pairs:
-            i, j = ds.index(x), ds.index(y)
-            h[i, j] = h[j, i] = got[f"h_{i}_{j}"] or 0.0
-        return {d: got[f"t_{d}"] or 0.0 for d in domains}, got["dual"] or 0.0, h
-    base, _, _ = sums({}, [])
+            F.sum(n * r * r).alias("dual"), *[F.sum(n * F.col(f"p_{d}") * r).alias(f"t_{d}") for d in domains]).first()
+        return {d: got[f"t_{d}"] or 0.0 for d in domains}, got["dual"] or 0.0
+    base, dual = sums({})
     every = sum(base.values())
     asked = {d: targets[d] for d in domains if targets.get(d) is not None and base[d] > 0}
     want = {d: every * w / sum(asked.values()) for d, w in asked.items()} if sum(asked.values()) > 0 else {}
@@ -225,24 +225,27 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float],
     ds = list(want)
     t0, goal = np.array([base[d] for d in ds]), np.array([want[d] for d in ds])
 
-    def at(u):
-        """Dual value over ridge, its gradient and Hessian, and the totals."""
-        now, dual, h = sums(dict(zip(ds, map(float, u))), ds)
-        value = ridge * (t0 * u * u).sum() / 2 + (goal * u).sum() + dual / 2
+    def at(u, now, dual):
+        """Dual value over ridge, and its gradient ridge T0 (u - e / ridge)."""
         grad = ridge * t0 * u + goal - np.array([now[d] for d in ds])
-        return value, grad, np.diag(ridge * t0) + h, now
-    u, size = np.zeros(len(ds)), 1.0
-    value, grad, hess, now = at(u)
+        return ridge * (t0 * u * u).sum() / 2 + (goal * u).sum() + dual / 2, grad
+    u, now, sure = np.zeros(len(ds)), base, 1 / (1 + ridge)
+    value, grad = at(u, base, dual)
+    size, last = sure, [value]
     for _ in range(steps):
         if np.abs(grad).max() <= TOLERANCE * every:
             return _rate(domains, dict(zip(ds, map(float, u)))), want, now
-        move = -np.linalg.solve(hess, grad)
-        v, g, h, t = at(u + size * move)
-        slope = size * float(grad @ move)
-        if v <= value + 1e-4 * slope + 1e-13 * abs(value) or np.abs(g).max() < 0.5 * np.abs(grad).max():
-            u, size, value, grad, hess, now = u + size * move, 1.0, v, g, h, t
-        else:
-            size /= 2
+        moved = u - size * grad / t0
+        reached, dual = sums(dict(zip(ds, map(float, moved))))
+        v, g = at(moved, reached, dual)
+        fall = 1e-4 * size * (grad * grad / t0).sum()
+        if size > sure and v > max(last) - fall + 1e-13 * abs(value):
+            size = max(sure, size / 4)
+            continue
+        bent = float((moved - u) @ (g - grad))
+        size = float(np.clip(((moved - u) ** 2 * t0).sum() / bent, sure, 1 / ridge)) if bent > 0 else sure
+        u, now, value, grad = moved, reached, v, g
+        last = [*last[-KEPT + 1:], value]
     raise RuntimeError(f"op2_mixing: rates not fitted after {steps} steps; "
                        f"gradient {np.abs(grad).max() / every:.1e} of all tokens, reached {now}, wanted {want}")
 
