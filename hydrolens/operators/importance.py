@@ -56,19 +56,22 @@ def permuted(blocks: DataFrame, n_features: int, repeats: int) -> DataFrame:
 
 
 def permutation_importance(df: DataFrame, key: str, label: str, features, predict: Callable[[DataFrame], DataFrame],
-                           repeats: int = 10, seed: int = 42) -> DataFrame:
+                           repeats: int = 10, seed: int = 42,
+                           predict_permuted: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """(feature, importance_mean, importance_std): mean and population deviation
     of the drop in R² when one feature is permuted, over ``repeats`` permutations.
 
     ``predict`` takes a frame with ``f`` (array of the features' values) and adds
-    ``prediction`` without a shuffle."""
+    ``prediction`` without a shuffle.  A model that can't, because it is too large
+    for one task, gives ``predict_permuted``: from ``hash_blocks`` and repeats to
+    ``permuted`` with ``prediction``."""
     features = list(features)
     blocks = hash_blocks(df, key, label, features, seed)
     if not features or not repeats:
         return df.sparkSession.createDataFrame([], "feature string, importance_mean double, importance_std double")
     plain = blocks.select(F.explode_outer("rows").alias("r")).select("r.label", "r.f")
     base = regression_metrics(predict(plain), "label", "prediction").first()
-    scored = predict(permuted(blocks, len(features), repeats))
+    scored = predict_permuted(blocks, repeats) if predict_permuted else predict(permuted(blocks, len(features), repeats))
     r2 = regression_metrics(scored, "label", "prediction", ["feature", "repeat"])
     drop = F.lit(base["r2"] if base else None).cast("double") - F.col("r2")
     names = F.array(*[F.lit(f) for f in features])
