@@ -303,13 +303,15 @@ class LicenceModel:
         return F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), F.array(*map(F.lit, self.probes)))
 
     def score(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (paragraph) with words ``_w`` and probabilities ``_p``.
+        """``rows`` (paragraph) with probabilities ``_p``.
 
         The words and then the probabilities are written before they are used
         again: a filter on a computed column would else be carried down to the
-        words and take every paragraph apart once per word."""
-        split = stored(rows.withColumn("_w", words(F.col("paragraph"))), "licence-candidates", "zstd")
-        return stored(_probabilities(split, self.vocabulary, self.model).drop("_g", "_x"), "licence-scores", "zstd")
+        words and take every paragraph apart once per word.  Of the words only
+        those of the vocabulary are written, the others as null."""
+        known = _known_words(words(F.col("paragraph")), _spelled(self.vocabulary))
+        split = stored(rows.withColumn("_w", known), "licence-candidates", "zstd")
+        return stored(_probabilities(split, self.vocabulary, self.model).drop("_g", "_x", "_w"), "licence-scores", "zstd")
 
     def known(self) -> Column:
         return 1 - F.get("_p", len(self.families) - 1)
@@ -320,10 +322,11 @@ class LicenceModel:
         each = F.slice("_p", 1, len(self.families) - 1)
         likely = F.get(F.array(*[F.lit(f) for f in self.families]),
                        F.array_position(each, F.array_max(each)).cast("int") - 1)
-        believed = scored.where(self.known() >= self.threshold).withColumn("_named", _named(F.col("_w")))
+        believed = scored.where(self.known() >= self.threshold).withColumn(
+            "_named", _let(words(F.col("paragraph")), _named))
         return (believed.withColumn("probability", self.known()).withColumn("family", likely)
                 .withColumn("confirmed", F.array_contains("_named", F.col("family")))
-                .withColumn("disputed", (F.size("_named") > 0) & ~F.col("confirmed")).drop("_p", "_w", "_named"))
+                .withColumn("disputed", (F.size("_named") > 0) & ~F.col("confirmed")).drop("_p", "_named"))
 
 
 def _probabilities(rows: DataFrame, vocabulary: list[str], model: LogisticRegressionModel) -> DataFrame:
@@ -333,6 +336,14 @@ def _probabilities(rows: DataFrame, vocabulary: list[str], model: LogisticRegres
     return got.withColumn("_p", vector_to_array("_q")).drop("_q")
 
 
+def _spelled(vocabulary: list[str]) -> list[str]:
+    return sorted({w for g in vocabulary for w in g.split()})
+
+
+def _known_words(w: Column, among: list[str]) -> Column:
+    return F.transform(w, lambda x: F.when(x.isin(among), x))
+
+
 def _known_grams(w: Column, among: list[str]) -> Column:
     """The one to three word grams that hold no other words than these."""
     def of(t: Column) -> Column:
@@ -340,12 +351,12 @@ def _known_grams(w: Column, among: list[str]) -> Column:
         run = lambda n: F.transform(at, lambda i: F.concat(
             *[x for k in range(n) for x in (F.lit(" "), F.get(t, i + k))][1:]))
         return F.array_compact(F.concat(t, run(2), run(3)))
-    return _let(F.transform(w, lambda x: F.when(x.isin(among), x)), of)
+    return _let(_known_words(w, among), of)
 
 
 def _vectors(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
     """``rows`` (``_w``) with the feature vector ``_x``."""
-    g = rows.withColumn("_g", _known_grams(F.col("_w"), sorted({w for g in vocabulary for w in g.split()})))
+    g = rows.withColumn("_g", _known_grams(F.col("_w"), _spelled(vocabulary)))
     return CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_g", outputCol="_x").setBinary(True).transform(g)
 
 
