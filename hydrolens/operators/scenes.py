@@ -119,9 +119,13 @@ def cells_of_outlines(outlines: DataFrame, cell_deg: float = DEFAULT_CELL_DEG, r
     fine = (coarse.where("border").withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
             .select("scene_id", "edges", (F.col("cx") * refine + F.col("i")).alias("cx"),
                     (F.col("cy") * refine + F.col("j")).alias("cy")))
-    # cells that need no test carry no edges
-    fine = _cover(fine, cell_deg / refine).select("scene_id", "cx", "cy", "border",
-                                                  F.when(F.col("border"), F.col("edges")).alias("edges"))
+    # cells that need no test carry no edges, the others those that can decide it: a point has an edge on it or to its right
+    size, slack = cell_deg / refine, cell_deg / refine * 1e-6
+    decides = lambda e: ((F.greatest(e["x1"], e["x2"]) >= F.col("cx") * size - slack)
+                         & (F.greatest(e["y1"], e["y2"]) >= F.col("cy") * size - slack)
+                         & (F.least(e["y1"], e["y2"]) <= (F.col("cy") + 1) * size + slack))
+    fine = _cover(fine, size).select("scene_id", "cx", "cy", "border",
+                                     F.when(F.col("border"), F.filter("edges", decides)).alias("edges"))
     return coarse.where(~F.col("border")).select("scene_id", "cx", "cy"), fine
 
 
@@ -129,18 +133,19 @@ def containing_outlines(samples: DataFrame, outlines: DataFrame, key: str = "sam
                         lat: str = "latitude", cell_deg: float = DEFAULT_CELL_DEG, refine: int = 4) -> DataFrame:
     """(sample, scene) pairs where the point lies in the scene's outline.  Points
     meet coarse inside cells and fine cells by equal cell numbers; only points in
-    a fine border cell are tested edge by edge.  Samples without a place match
-    nothing."""
+    a fine border cell are tested edge by edge, and a place once for all its
+    samples.  Samples without a place match nothing."""
     inside, fine = cells_of_outlines(outlines, cell_deg, refine)
     size = cell_deg / refine
     p = samples.select(key, F.col(lon).cast("double").alias("_x"), F.col(lat).cast("double").alias("_y")).where(
         "_x IS NOT NULL AND _y IS NOT NULL")
-    p = p.withColumns({"cx": F.floor(F.col("_x") / size), "cy": F.floor(F.col("_y") / size)})
-    coarse = p.select(key, F.floor(F.col("cx") / refine).alias("cx"), F.floor(F.col("cy") / refine).alias("cy"))
+    at = p.select("_x", "_y").distinct().withColumns({"cx": F.floor(F.col("_x") / size), "cy": F.floor(F.col("_y") / size)})
+    coarse = at.select("_x", "_y", F.floor(F.col("cx") / refine).alias("cx"), F.floor(F.col("cy") / refine).alias("cy"))
     exact = ~F.col("border") | in_ring(F.col("_x"), F.col("_y"), F.col("edges"))
     # the explodes hide the cells' number from the static estimate: shuffle both sides, never broadcast them
-    return (coarse.hint("merge").join(inside, ["cx", "cy"]).select(key, "scene_id")
-            .unionByName(p.hint("merge").join(fine, ["cx", "cy"]).where(exact).select(key, "scene_id")))
+    met = (coarse.hint("merge").join(inside, ["cx", "cy"]).select("_x", "_y", "scene_id")
+           .unionByName(at.hint("merge").join(fine, ["cx", "cy"]).where(exact).select("_x", "_y", "scene_id")))
+    return p.hint("merge").join(met, ["_x", "_y"]).select(key, "scene_id")
 
 
 def best_scene(samples: DataFrame, scenes: DataFrame, key: str = "sample_id",

@@ -1,6 +1,7 @@
 """Outlines, projection, binned densities and the ingest front against plain restatements."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hydrolens.functions.geo import with_utm_forward, with_utm_inverse
 from hydrolens.operators.profile import binned_kde
-from hydrolens.operators.scenes import containing_outlines
+from hydrolens.operators.scenes import cells_of_outlines, containing_outlines
 from hydrolens.plans.ingest import FIELDS, ingest
 
 
@@ -84,3 +85,19 @@ def test_ingest_keeps_every_line(spark, tmp_path):
                           "outside the globe": 2}
     assert sum(out.counts.values()) == len(lines)
     assert out.rejects.where(F.col("reject_reason") == "outside the globe").count() == 2
+
+
+def test_border_cells_carry_only_the_edges_that_decide(spark):
+    ring = [{"lon": math.cos(2 * math.pi * i / 60), "lat": math.sin(2 * math.pi * i / 60)} for i in range(60)]
+    outlines = spark.createDataFrame([(1, ring)], "scene_id long, ring array<struct<lon: double, lat: double>>")
+    _, fine = cells_of_outlines(outlines, 0.25, 4)
+    assert max(r["n"] for r in fine.where("border").select(F.size("edges").alias("n")).collect()) <= 20
+    rng = random.Random(5)
+    points = [(i, rng.uniform(-1.1, 1.1), rng.uniform(-1.1, 1.1)) for i in range(400)]
+    points += [(400 + i, x, y) for i, x, y in points] + [(900, None, 0.5)]
+    samples = spark.createDataFrame(points, "sample_id long, longitude double, latitude double")
+    got = sorted(r["sample_id"] for r in containing_outlines(samples, outlines, cell_deg=0.25, refine=4).collect())
+    a = math.pi / 60
+    inside = lambda x, y: all(x * math.cos(2 * a * i + a) + y * math.sin(2 * a * i + a) < math.cos(a)
+                              for i in range(60))
+    assert got == [i for i, x, y in points[:800] if inside(x, y)]
