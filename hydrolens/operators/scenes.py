@@ -3,12 +3,16 @@ window, and nearest-pixel band sampling -- all as equi joins.
 
 A pure interval/containment condition plans as a nested-loop join.  Both
 sides here get equi keys instead: a grid cell (scenes are exploded to the
-few cells their footprint covers, a sample has one) and a time bucket of
-``bucket_days`` days (a scene has one bucket, a sample is exploded to the
-buckets its window touches).  Smaller cells and buckets mean fewer false
-candidates before the exact check, at the price of more exploded rows.  Each (sample, scene) pair meets in exactly
-one (cell, bucket), so no candidate is duplicated; the exact footprint and
-half-open time window are re-checked after the equi join.
+few cells their footprint covers, a sample has one) and, for the best scene,
+a time bucket (a scene has one bucket, a sample is exploded to the buckets its
+window touches).  Smaller cells and buckets mean fewer false candidates before
+the exact check, at the price of more exploded rows, and every exploded row is
+shuffled.  The best scene therefore meets in square tiles of ``TILE_CELLS``
+cells a side and buckets as long as the window: a footprint four cells wide is
+copied 2.25 times on average (25 times by cells), a sample twice.  Each
+(sample, scene) pair meets in exactly one (tile, bucket), so no candidate is
+duplicated; the exact footprint and half-open time window are re-checked after
+the equi join.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_CELL_DEG = 0.25     # ~ a quarter of a Sentinel-2 tile: few cells per footprint, few false candidates
 DEFAULT_WINDOW_DAYS = 30
-DEFAULT_BUCKET_DAYS = 10    # a sample's ±30-day window touches 6-7 buckets; a scene has one
+TILE_CELLS = 8              # cells to a side of the tiles in which samples meet the scenes of their window
 
 
 def _cell(c, size):
@@ -26,7 +30,8 @@ def _cell(c, size):
 
 
 def _scene_keys(scenes: DataFrame, cell_deg: float, bucket_days: int) -> DataFrame:
-    """Scenes exploded to the grid cells their footprint covers, + time bucket."""
+    """Scenes exploded to the grid cells of ``cell_deg`` their footprint covers, +
+    time bucket."""
     day = F.unix_date(F.col("acquired_at").cast("date"))
     return (scenes
             .withColumn("_cx", F.explode(F.sequence(_cell("min_lon", cell_deg), _cell("max_lon", cell_deg))))
@@ -151,7 +156,7 @@ def containing_outlines(samples: DataFrame, outlines: DataFrame, key: str = "sam
 def best_scene(samples: DataFrame, scenes: DataFrame, key: str = "sample_id",
                lon: str = "longitude", lat: str = "latitude", date: str = "sample_date",
                window_days: int = DEFAULT_WINDOW_DAYS, cell_deg: float = DEFAULT_CELL_DEG,
-               bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
+               bucket_days: int | None = None) -> DataFrame:
     """For each sample, the least cloudy scene whose footprint contains the
     point and whose acquisition time is in ``[date - w, date + w)``.
 
@@ -161,24 +166,25 @@ def best_scene(samples: DataFrame, scenes: DataFrame, key: str = "sample_id",
     ``acquired_at`` and the scene's raster origin ``scene_min_lon``/``scene_min_lat``.
 
     ``scenes`` needs: scene_id, min_lon, min_lat, max_lon, max_lat,
-    acquired_at (timestamp), cloud_pct.
+    acquired_at (timestamp), cloud_pct.  ``bucket_days``: the whole window unless
+    given, so a sample meets two buckets.
     """
+    tile, bucket = cell_deg * TILE_CELLS, bucket_days or max(2 * window_days, 1)
     sk = _scene_keys(scenes.select("scene_id", "min_lon", "min_lat", "max_lon", "max_lat",
-                                   "acquired_at", "cloud_pct"), cell_deg, bucket_days)
-    smk = _sample_keys(samples.select(key, lon, lat, date), lon, lat, date, cell_deg, window_days, bucket_days)
+                                   "acquired_at", "cloud_pct"), tile, bucket)
+    smk = _sample_keys(samples.select(key, lon, lat, date), lon, lat, date, tile, window_days, bucket)
     start = F.col(date).cast("date").cast("timestamp_ntz")
     lo = F.date_sub(F.col(date).cast("date"), window_days).cast("timestamp_ntz")
     hi = F.date_add(F.col(date).cast("date"), window_days).cast("timestamp_ntz")
     at = F.col("acquired_at").cast("timestamp_ntz")
     # both sides grow with the data and the explodes hide their true size
-    # from the static estimate: shuffle both (sort-merge, AQE splits hot cells)
+    # from the static estimate: shuffle both (sort-merge, AQE splits hot tiles)
     cand = (smk.hint("merge").join(sk, ["_cx", "_cy", "_tb"], "inner")
             .where(contains(lon, lat) & (at >= lo) & (at < hi))
             .withColumn("_dt", F.abs(_seconds_between(start, at))))
-    # min_by over a struct is a sort aggregate, partial before the shuffle
+    # min of a struct is a sort aggregate, partial before the shuffle; its first three fields decide
     best = (cand.groupBy(key)
-            .agg(F.min_by(F.struct("scene_id", "cloud_pct", "acquired_at", "min_lon", "min_lat"),
-                          F.struct("cloud_pct", "_dt", "scene_id")).alias("_b"))
+            .agg(F.min(F.struct("cloud_pct", "_dt", "scene_id", "acquired_at", "min_lon", "min_lat")).alias("_b"))
             .select(key, "_b.scene_id", "_b.cloud_pct", "_b.acquired_at",
                     F.col("_b.min_lon").alias("scene_min_lon"), F.col("_b.min_lat").alias("scene_min_lat")))
     return (samples.join(best, key, "left")

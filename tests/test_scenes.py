@@ -1,6 +1,9 @@
 """Best scene in a window: boundaries and ties, against a brute-force statement."""
 
 import datetime as dt
+import random
+
+import pytest
 
 from hydrolens.operators.scenes import best_scene, containing_scenes
 
@@ -57,6 +60,29 @@ def test_repartition_invariance(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("window, cell", [(30, 0.06), (1, 0.06), (0, 0.25), (45, 1.0)])
+def test_best_scene_copies_few_rows(spark, monkeypatch, window, cell):
+    """Right beside tile and bucket borders, and without a copy of a row for every cell and bucket."""
+    rng = random.Random(7)
+    samples = [(i, dt.date(1969, 11, 1) + dt.timedelta(days=rng.randrange(150)), rng.randrange(-30, 30) * 0.05,
+                rng.randrange(-30, 30) * 0.05) for i in range(500)]
+    scenes = []
+    for i in range(600):
+        x, y = rng.randrange(-30, 30) * 0.05, rng.randrange(-30, 30) * 0.05
+        at = dt.datetime(1969, 11, 1) + dt.timedelta(days=rng.randrange(-30, 180), hours=rng.choice([0, 0, 5, 23]))
+        scenes.append((i, x - 0.12, y - 0.12, x + 0.12, y + 0.12, at, float(rng.randrange(4))))
+    s = spark.createDataFrame(samples + [(900, None, 0.0, 0.0), (901, samples[0][1], None, 0.0)], _frames(spark)[0].schema)
+    sc = spark.createDataFrame(scenes + [(-1, None, -0.5, 0.5, 0.5, T(0), 0.0), (-2, -0.5, -0.5, 0.5, 0.5, None, 0.0)],
+                               _frames(spark)[1].schema)
+    met, join = [], type(s).join
+    monkeypatch.setattr(type(s), "join", lambda left, right, *a, **k: met.append((left, right)) or join(left, right, *a, **k))
+    out = best_scene(s, sc, window_days=window, cell_deg=cell)
+    monkeypatch.undo()
+    assert {r["sample_id"]: r["scene_id"] for r in out.collect()} == _brute(samples, scenes, window) | {900: None, 901: None}
+    left, right = met[0]
+    assert left.count() <= 2 * len(samples) + 2 and right.count() < 3 * len(scenes)
+
+
 def test_incremental_enrichment_resumes(spark, tmp_path):
     """Two runs over a growing folder: each sample is enriched exactly once."""
     from hydrolens.plans.enrich import enrich
