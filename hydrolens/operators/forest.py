@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 import sys
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +39,16 @@ from .ordered import row_number
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: rows of a node that one task grows
-PIECE = 200_000
+PIECE = 1 << 20
+#: nodes of so many rows are searched row by row; rows and histogram cells searched at a time, so that they stay in the processor's cache
+FEW = 8
+CELLS = 1 << 17
 #: nodes of the trees that a scoring task holds (14 bytes each)
 HELD_NODES = 8_000_000
 #: rows of a scored block
 BLOCK = 4096
+#: (row, feature, bin) cells that permuted scores are kept in at a time (8 bytes each)
+CHANGED_CELLS = 1 << 21
 MAX_DEPTH = 30
 _PART = "tree int, node long, size int, feature binary, cut binary, below binary, value binary, gains array<double>"
 
@@ -77,14 +81,26 @@ def _mix(a: np.ndarray) -> np.ndarray:
         return a ^ (a >> np.uint64(31))
 
 
+#: Poisson(1): chance of at most k; and k by the first 12 bits of an even number, 255 where they don't decide
+_CHANCES = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+_BY_BITS = np.searchsorted(_CHANCES, np.arange(4097) / 4096, side="right").astype(np.uint8)
+_BY_BITS = np.where(_BY_BITS[:-1] == _BY_BITS[1:], _BY_BITS[:-1], 255).astype(np.uint8)
+
+
 def _draws(ids: np.ndarray, tree: int, seed: int, bootstrap: bool) -> np.ndarray:
     """Number of times each row is in the tree's bag: once, or Poisson(1)."""
-    if not bootstrap:
-        return np.ones(len(ids), np.uint8)
+    return _drawn(_mix(ids.astype(np.uint64)), tree, seed) if bootstrap else np.ones(len(ids), np.uint8)
+
+
+def _drawn(mixed: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """The draws of the rows whose numbers are ``mixed``."""
     salt = _mix(np.array([(seed << 20) + tree], np.uint64))[0]
-    u = (_mix(_mix(ids.astype(np.uint64)) ^ salt) >> np.uint64(11)).astype("float64") * 2.0 ** -53
-    chances = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
-    return np.searchsorted(chances, u, side="right").astype(np.uint8)
+    h = _mix(mixed ^ salt)
+    out = _BY_BITS[(h >> np.uint64(52)).astype(np.int64)]
+    open_ = np.flatnonzero(out == 255)
+    u = (h[open_] >> np.uint64(11)).astype("float64") * 2.0 ** -53
+    out[open_] = np.searchsorted(_CHANCES, u, side="right")
+    return out
 
 
 def _asked(tree: int, nodes: np.ndarray, p: int, subset: int, seed: int):
@@ -96,32 +112,87 @@ def _asked(tree: int, nodes: np.ndarray, p: int, subset: int, seed: int):
     return np.argsort(np.argsort(order, axis=1), axis=1) < subset
 
 
-def _best(hist, nodes: int, p: int, min_leaf: int, asked):
-    """(feature or -1, cut, gain, weight, sum) per node.  ``hist(j)`` gives the
-    weights and sums of feature j's bins, each (nodes, bins)."""
+def _best(wl, sl, weight, total, codes, min_leaf: int, asked):
+    """(feature or -1, cut, gain) per node.  ``wl`` and ``sl`` (candidates, features,
+    nodes) are weight and sum of the rows up to each candidate cut and are
+    overwritten, ``codes`` the candidates' bins."""
+    p, nodes = wl.shape[1:]
+    wr, sr = weight - wl, total - sl
+    bad = np.minimum(wl, wr) < max(min_leaf, 1)
+    if asked is not None:
+        bad |= ~asked.T
+    for w, s in ((wl, sl), (wr, sr)):
+        np.maximum(w, 1, out=w)
+        s *= s
+        s /= w
+    score = np.add(sl, sr, out=sl)
+    np.putmask(score, bad, -np.inf)
+    got = np.maximum.reduce(score, axis=0)
+    whole = total * total / np.maximum(weight, 1)
+    # equal gains may differ in their last digits: the first one counts
+    near = 1e-9 * np.maximum(got - whole, 0) + 1e-13 * np.abs(got)
+    near[~np.isfinite(got)] = 0
+    far = score < got - near
+    cuts = np.minimum.reduce(np.maximum(codes, far.view(np.uint8) * np.uint8(255)), axis=0)
     top, feature, cut = np.full(nodes, -np.inf), np.full(nodes, -1, np.int16), np.zeros(nodes, np.uint8)
-    weight = total = None
     for j in range(p):
-        w, s = hist(j)
-        w, s = np.cumsum(w, axis=1), np.cumsum(s, axis=1)
-        if weight is None:
-            weight, total = w[:, -1].copy(), s[:, -1].copy()
-        wl, sl = w[:, :-1], s[:, :-1]
-        wr, sr = weight[:, None] - wl, total[:, None] - sl
-        fits = (wl >= max(min_leaf, 1)) & (wr >= max(min_leaf, 1))
-        if asked is not None:
-            fits &= asked[:, j:j + 1]
-        score = np.where(fits, sl * sl / np.maximum(wl, 1) + sr * sr / np.maximum(wr, 1), -np.inf)
-        got = score.max(axis=1)
-        # equal gains may differ in their last digits: the first one counts
-        near = 1e-9 * np.maximum(got - total * total / np.maximum(weight, 1), 0) + 1e-13 * np.abs(got)
-        near[~np.isfinite(got)] = 0
-        c = np.argmax(score >= (got - near)[:, None], axis=1)
-        better = got > top + near
-        top[better], feature[better], cut[better] = got[better], j, c[better]
-    gain = top - total * total / np.maximum(weight, 1)
+        better = got[j] > top + near[j]
+        top[better], feature[better], cut[better] = got[j, better], j, cuts[j, better]
+    gain = top - whole
     feature[~(gain > 1e-12 * np.maximum(top, 1e-300))] = -1
-    return feature, cut, gain, weight, total
+    return feature, cut, gain
+
+
+def _best_of_bins(w, s, weight, total, min_leaf: int, asked):
+    """``_best`` of the weights and sums (bins, features, nodes) of all bins,
+    which are overwritten."""
+    for b in range(1, len(w)):
+        w[b] += w[b - 1]
+        s[b] += s[b - 1]
+    cuts = np.arange(len(w) - 1, dtype=np.uint8)[:, None, None]
+    return _best(w[:-1], s[:-1], weight, total, cuts, min_leaf, asked)
+
+
+def _search(x, wf, sums, start, size, weight, total, bins: int, min_leaf: int, asked):
+    """Best split of every node.  The rows of a node lie together; ``start`` and
+    ``size`` say where, nodes of more than ``FEW`` rows come first.  A node of few
+    rows is searched over its rows' own bins, the others in groups over all
+    bins."""
+    p, n = len(x), len(size)
+    feature, cut, gain = np.full(n, -1, np.int16), np.zeros(n, np.uint8), np.zeros(n)
+
+    def found(some, got):
+        feature[some], cut[some], gain[some] = got
+    mask = lambda some: None if asked is None else asked[some]
+    for k in range(2, FEW + 1):
+        mine = np.flatnonzero(size == k)
+        for i in range(0, len(mine), max(1, CELLS // (k * p))):
+            some = mine[i:i + max(1, CELLS // (k * p))]
+            at = start[some] + np.arange(k)[:, None]
+            xs = np.ascontiguousarray(x[:, at].swapaxes(0, 1))
+            wl, sl = np.zeros(xs.shape), np.zeros(xs.shape)
+            for q in range(k):
+                below = xs[q] <= xs
+                wl += below * wf[at[q]]
+                sl += below * sums[at[q]]
+            found(some, _best(wl, sl, weight[some], total[some], xs, min_leaf, mask(some)))
+    big = np.flatnonzero(size > FEW)
+    group = np.arange(len(big)) // max(1, CELLS // (bins * p)) + np.cumsum(size[big]) // CELLS
+    firsts = np.flatnonzero(np.diff(group, prepend=-1))
+    for i, e in zip(firsts, [*firsts[1:], len(big)]):
+        some, m = big[i:e], e - i
+        lo, hi = start[some[0]], start[some[-1]] + size[some[-1]]
+        own = np.repeat(np.arange(m), size[some])
+        ws, ss, cell = wf[lo:hi], sums[lo:hi], np.empty(hi - lo, np.int64)
+        w, s = np.empty((bins, p, m)), np.empty((bins, p, m))
+        for j in range(p):
+            np.multiply(x[j, lo:hi], m, out=cell, dtype=np.int64)
+            if m > 1:
+                cell += own
+            w[:, j] = np.bincount(cell, ws, bins * m).reshape(bins, m)
+            s[:, j] = np.bincount(cell, ss, bins * m).reshape(bins, m)
+        found(some, _best_of_bins(w, s, weight[some], total[some], min_leaf, mask(some)))
+    return feature, cut, gain
 
 
 def _grow(x, y, w, tree: int, root: int, levels: int, bins: int, min_leaf: int, subset: int, seed: int):
@@ -130,21 +201,21 @@ def _grow(x, y, w, tree: int, root: int, levels: int, bins: int, min_leaf: int,
     p = x.shape[1]
     features, cuts, lefts, values = [], [], [], []
     gains = np.zeros(p)
-    heap, node, wf, first = np.array([root], np.int64), np.zeros(len(y), np.int64), w.astype("float64"), 0
-    columns = [np.ascontiguousarray(x[:, j]).astype(np.int64) for j in range(p)]
+    heap, wf, first = np.array([root], np.int64), w.astype("float64"), 0
     mean = float((wf * y).sum() / wf.sum())
     sums = wf * (y - mean)
+    x = np.ascontiguousarray(x.T)
+    laid, size = np.zeros(1, np.int64), np.array([len(y)])  # the nodes in the order in which their rows lie
     for level in range(levels + 1):
         n = len(heap)
-
-        def hist(j):
-            at = node * bins + columns[j]
-            return (np.bincount(at, wf, n * bins).reshape(n, bins), np.bincount(at, sums, n * bins).reshape(n, bins))
+        start = np.empty(n, np.int64)
+        start[laid] = np.cumsum(size[laid]) - size[laid]
+        node = np.repeat(laid, size[laid])
+        weight, total = np.bincount(node, wf, n), np.bincount(node, sums, n)
+        feature, cut = np.full(n, -1, np.int16), np.zeros(n, np.uint8)
         if level < levels and p:
-            feature, cut, gain, weight, total = _best(hist, n, p, min_leaf, _asked(tree, heap, p, subset, seed))
-        else:
-            feature, cut = np.full(n, -1, np.int16), np.zeros(n, np.uint8)
-            weight, total = np.bincount(node, wf, n), np.bincount(node, sums, n)
+            feature, cut, gain = _search(x, wf, sums, start, size, weight, total, bins, min_leaf,
+                                         _asked(tree, heap, p, subset, seed))
         split = feature >= 0
         rank = np.cumsum(split) - 1
         left = np.where(split, first + n + 2 * rank, 0).astype(np.int32)
@@ -156,16 +227,23 @@ def _grow(x, y, w, tree: int, root: int, levels: int, bins: int, min_leaf: int,
             break
         gains += np.bincount(feature[split], gain[split], p)
         heap = np.column_stack([2 * heap[split], 2 * heap[split] + 1]).ravel()
-        stays = split[node]
-        if not stays.all():
-            node, wf, sums = node[stays], wf[stays], sums[stays]
-            columns = [c[stays] for c in columns]
-        f = feature[node]
-        right = np.zeros(len(node), np.int64)
-        for j in np.unique(f):
-            mine = f == j
-            right[mine] = columns[j][mine] > cut[node[mine]]
-        node = 2 * rank[node] + right
+        # a child's rows stay in their order; children of few rows come last
+        at = np.flatnonzero(split[node])
+        node = node[at]
+        right = x[feature[node], at] > cut[node]
+        new = 2 * rank[node] + right
+        size = np.bincount(new, minlength=len(heap))
+        laid = np.argsort(size <= FEW, kind="stable")
+        begin = np.empty(len(heap), np.int64)
+        begin[laid] = np.cumsum(size[laid]) - size[laid]
+        to_right = np.cumsum(right) - right  # rows before this one that go to the right
+        own = np.flatnonzero(np.diff(node, prepend=-1))  # where the node's rows begin
+        own = np.repeat(own, np.diff(own, append=len(at)))
+        to_right -= to_right[own]
+        place = begin[new] + np.where(right, to_right, np.arange(len(at)) - own - to_right)
+        order = np.empty(len(at), np.int64)
+        order[place] = at
+        x, wf, sums = np.take(x, order, axis=1), wf[order], sums[order]
         first += n
     return tuple(map(np.concatenate, (features, cuts, lefts, values))) + (gains,)
 
@@ -198,6 +276,132 @@ def _whole(top, pieces):
     return tuple(map(np.concatenate, zip(*parts)))
 
 
+def _packed(tree):
+    """A tree for ``_said`` and ``_spread``: one number per node, of its left child, cut, feature
+    and whether it is a leaf, and the values.  Whoever is on a leaf stays there."""
+    feature, cut, left, value = tree
+    leaf = feature < 0
+    return (np.where(leaf, np.arange(len(leaf)), left).astype(np.int64) << 24 | np.where(leaf, 255, cut).astype(np.int64) << 16
+            | np.where(leaf, 0, feature).astype(np.int64) << 1 | leaf, value)
+
+
+def _said(tree, x) -> np.ndarray:
+    """What the packed tree says of each row; the rows that still walk are few at
+    the end, so those on leaves are set aside now and then."""
+    packed, value = tree
+    out, flat = np.empty(len(x)), x.ravel()
+    row, at, turn = np.arange(len(x), dtype=np.int32), np.zeros(len(x), np.int64), 0
+    begin = row * np.int32(x.shape[1])
+    while len(row):
+        turn += 1
+        node = packed.take(at)
+        code = node.astype(np.int32)
+        if turn % 4 == 1:
+            leaf = (code & 1).astype(bool)
+            if leaf.any():
+                out[row[leaf]] = value.take(at[leaf])
+                row, begin, node, code = row[~leaf], begin[~leaf], node[~leaf], code[~leaf]
+        cell = code >> 1
+        cell &= 32767
+        cell += begin
+        code >>= 16
+        code &= 255
+        at = node >> 24
+        at += flat.take(cell) > code
+    return out
+
+
+def _wanted(x, shifted, bins: int):
+    """(rows, features, bins + 1): how many of the bins below b are met when the
+    row's value of the feature is replaced by any of ``shifted`` (feature, values)."""
+    seen = np.zeros((len(x), x.shape[1], bins), np.uint8)
+    for j, v in shifted:
+        seen[np.arange(len(x)), j, v] = 1
+    out = np.zeros((len(x), x.shape[1], bins + 1), np.uint8)
+    np.cumsum(seen, axis=2, out=out[:, :, 1:], dtype=np.uint8)
+    return out
+
+
+def _spread(tree, x, last, wanted, held) -> None:
+    """Add to ``held`` (rows, features, bins + 1, as one array) what the tree says of
+    each row when one feature has another bin, as steps: its running sum over the
+    bins is the prediction at each bin that is ``wanted``.
+
+    A row walks down once.  At each node the other side is taken by a branch on
+    which only the node's feature changes, for the bins that lead there; it
+    branches again at that feature alone.  Copies that no node tells apart are thus
+    never walked one by one.  ``last`` is each feature's last bin."""
+    packed, value = tree
+    n, p = x.shape
+    width = np.int32(wanted.shape[2])
+    flat, seen, one = x.ravel(), wanted.ravel(), np.int32(1)
+    low, high = np.zeros(n * p, np.int32), np.tile(last.astype(np.int32), n)
+    row, at = np.arange(n, dtype=np.int32) * np.int32(p), np.zeros(n, np.int64)
+    # branches: cell of the changed feature, first cell of the row, node, first and last bin
+    ways = [np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+
+    def met(cell, lo, hi):
+        return seen.take(cell * width + hi + one) > seen.take(cell * width + lo)
+    turn = 0
+    while len(row) or len(ways[0]):
+        turn += 1
+        more = []
+        if len(row):
+            node = packed.take(at)
+            leaf = (node & 1) == 1
+            if leaf.any():
+                cell = (row[leaf][:, None] + np.arange(p, dtype=np.int32)).ravel()
+                v = np.repeat(value[at[leaf]], p)
+                held[cell * width + low[cell]] += v
+                held[cell * width + high[cell] + one] -= v
+                row, node = row[~leaf], node[~leaf]
+            code = node.astype(np.int32)
+            cut = code >> 16 & 255
+            cell = row + (code >> 1 & 32767)
+            right = flat.take(cell) > cut
+            lo, hi = low.take(cell), high.take(cell)
+            above, below = np.maximum(lo, cut + one), np.minimum(hi, cut)
+            lo_other, hi_other = np.where(right, lo, above), np.where(right, below, hi)
+            low[cell], high[cell] = np.where(right, above, lo), np.where(right, hi, below)
+            left = node >> 24
+            at = left + right
+            k = np.flatnonzero(lo_other <= hi_other)
+            k = k[met(cell[k], lo_other[k], hi_other[k])]
+            more.append((cell[k], row[k], left[k] + ~right[k], lo_other[k], hi_other[k]))
+        if len(ways[0]):
+            cell, begin, spot, lo, hi = ways
+            node = packed.take(spot)
+            code = node.astype(np.int32)
+            if turn % 3 == 0:
+                done = (code & 1).astype(bool)
+                if done.any():
+                    k = np.flatnonzero(done)
+                    v, c = value.take(spot[k]), cell[k] * width
+                    np.add.at(held, c + lo[k], v)
+                    np.add.at(held, c + hi[k] + one, -v)
+                    k = np.flatnonzero(~done)
+                    cell, begin, lo, hi, node, code = (a.take(k) for a in (cell, begin, lo, hi, node, code))
+            cut = code >> 16
+            cut &= 255
+            asked = code >> 1
+            asked &= 32767
+            asked += begin
+            spot = node >> 24
+            spot += flat.take(asked) > cut
+            # the changed feature itself is asked for; leaves ask for nothing
+            k = np.flatnonzero((asked == cell) & ((code & 1) == 0))
+            if len(k):
+                left, c = node[k] >> 24, cut[k]
+                spot[k] = left + (lo[k] > c)
+                both = (lo[k] <= c) & (hi[k] > c)
+                k, left, c = k[both], left[both], c[both]
+                new = met(cell[k], c + one, hi[k])
+                more.append((cell[k][new], begin[k][new], left[new] + 1, c[new] + one, hi[k][new]))
+                hi[k] = c
+            ways = [cell, begin, spot, lo, hi]
+        ways = [np.concatenate(a) for a in zip(ways, *more)]
+
+
 # ---------------------------------------------------------------- fitting
 def find_cuts(rows: DataFrame, p: int, max_bins: int) -> list[list[float]]:
     """Cut points of each entry of ``f``: half-way between all values where there
@@ -304,16 +508,18 @@ class RandomForest:
             for batch in batches:
                 ids, y = batch.column(0).to_numpy(), batch.column(2).to_numpy() - mean
                 x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, p)
+                mixed = _mix(ids.astype(np.uint64))
                 for t, slots in todo.items():
-                    w = _draws(ids, t, seed, bootstrap)
+                    w = _drawn(mixed, t, seed) if bootstrap else np.ones(len(ids), np.uint8)
                     top = [np.array(a, d) for a, d in zip(tops[t][:3], (np.int8, np.uint8, np.int32))]
-                    place = places[t][_walk(top, x)]
-                    mine = (w > 0) & (place >= 0)
-                    at, ws = place[mine] * bins, w[mine].astype("float64")
+                    mine = np.flatnonzero(w)
+                    place = places[t][_walk(top, x[mine])]
+                    mine, at = mine[place >= 0], place[place >= 0] * bins
+                    ws = w[mine].astype("float64")
                     got = sums.setdefault(t, np.zeros((len(slots), p, 2, bins)))
-                    xs, ys = x[mine], ws * y[mine]
+                    xs, ys = np.ascontiguousarray(x[mine].T), ws * y[mine]
                     for j in range(p):
-                        k = at + xs[:, j]
+                        k = at + xs[j]
                         for i, v in enumerate((ws, ys)):
                             got[:, j, i] += np.bincount(k, v, len(slots) * bins).reshape(-1, bins)
             out = [(t, slots[i], got[i].tobytes()) for t, got in sums.items() for slots in [todo[t]] for i in range(len(slots))]
@@ -325,7 +531,9 @@ class RandomForest:
             t, slot = (k.as_py() for k in key)
             h = sum(np.frombuffer(b).reshape(p, 2, bins) for b in sorted(map(bytes, _blobs(table.column("h")))))
             asked = _asked(t, np.array([tops[t][4][slot]]), p, subset, seed)
-            f, c, g, w, s = (a[0].item() for a in _best(lambda j: (h[j, :1], h[j, 1:2]), 1, p, min_leaf, asked))
+            w, s = h[0].sum(axis=1)
+            f, c, g = (a[0].item() for a in _best_of_bins(h[:, 0].T[:, :, None].copy(), h[:, 1].T[:, :, None].copy(),
+                                                          np.array([w]), np.array([s]), min_leaf, asked))
             left = h[f, 0, :c + 1].sum() if f >= 0 else 0
             return pa.table({"tree": [t], "slot": [slot], "f": pa.array([f], pa.int32()), "c": pa.array([c], pa.int32()),
                              "g": [float(g)], "value": [mean + s / w], "l": pa.array([int(left)], pa.int64()),
@@ -363,14 +571,16 @@ class RandomForest:
             for batch in batches:
                 ids, y = batch.column(0).to_numpy(), batch.column(2).to_numpy()
                 x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, p)
+                mixed = _mix(ids.astype(np.uint64))
                 for t, top in tops.items():
-                    w = _draws(ids, t, seed, bootstrap)
-                    at = _walk([np.array(a, d) for a, d in zip(top[:3], (np.int8, np.uint8, np.int32))], x)
-                    at[(w == 0) | ~np.isnan(np.array(top[3]))[at]] = -1
+                    w = _drawn(mixed, t, seed) if bootstrap else np.ones(len(ids), np.uint8)
+                    drawn = np.flatnonzero(w)
+                    at = _walk([np.array(a, d) for a, d in zip(top[:3], (np.int8, np.uint8, np.int32))], x[drawn])
+                    at[~np.isnan(np.array(top[3]))[at]] = -1
                     out = []
                     for i in np.unique(at[at >= 0]):
-                        mine = at == i
-                        out.append((t, top[4][i], int(ids[mine][0]), x[mine].tobytes(), y[mine].tobytes(), w[mine].tobytes()))
+                        mine = drawn[at == i]
+                        out.append((t, top[4][i], int(ids[mine[0]]), x[mine].tobytes(), y[mine].tobytes(), w[mine].tobytes()))
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, d) for c, d in zip(zip(*out), (
                             pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
@@ -417,15 +627,18 @@ class ForestModel:
         blocks = rows.select("_hl_id", vector_to_array("features").alias("f"))
         blocks = stored(blocks.mapInArrow(packed, "block long, x binary, own binary"), "forest-blocks")
 
+        def summed(trees, x):
+            return sum(_said(t, x) for t in trees)
+
         def numbered(own, sums):
-            return pa.table({"_hl_id": np.frombuffer(own, np.int64), "prediction": sums[0]})
-        got = self._scored(blocks, 1, lambda x: [x], numbered, "_hl_id long, prediction double")
+            yield pa.table({"_hl_id": np.frombuffer(own, np.int64), "prediction": sums})
+        got = self._scored(blocks, F.hash("block"), _packed, summed, numbered, "_hl_id long, prediction double")
         return rows.join(got, "_hl_id").drop("_hl_id")
 
     def permuted(self, blocks: DataFrame, repeats: int) -> DataFrame:
         """(feature, repeat, label, prediction) of every row of ``hash_blocks`` with
-        one feature permuted, as ``importance.permuted`` does it; the copies only
-        exist inside a task."""
+        one feature permuted, as ``importance.permuted`` does it.  A row's copies
+        differ in one value, so they are scored together (``_spread``)."""
         cuts, p = self.cuts, len(self.cuts)
 
         def packed(batches):
@@ -437,40 +650,68 @@ class ForestModel:
                                                       pa.array([y.tobytes()], pa.binary())], ["block", "x", "own"])
         coded = stored(blocks.select("block", "rows").mapInArrow(packed, "block long, x binary, own binary"), "forest-blocks")
 
-        def turns(x):
+        last = np.array([len(c) for c in cuts], np.int32)
+        bins = int(last.max(initial=0)) + 1
+        chunk = max(1, min(BLOCK, CHANGED_CELLS // (p * (bins + 1))))
+
+        def moved(x):
+            """(feature, the bins that its rows get) of every turn."""
             size = len(x)
             for turn in range(p * repeats):
-                shift = 1 + (turn * 7919) % (size - 1) if size > 1 else 0
-                moved = x.copy()
-                moved[:, turn % p] = np.roll(x[:, turn % p], -shift)
-                yield moved
+                yield turn % p, np.roll(x[:, turn % p], -(1 + (turn * 7919) % (size - 1) if size > 1 else 0))
+
+        def summed(trees, x):
+            out = np.empty((p * repeats, len(x)))
+            turns = list(moved(x))
+            for lo in range(0, len(x), chunk):
+                part = slice(lo, lo + chunk)
+                mine, values = np.ascontiguousarray(x[part]), [(j, v[part]) for j, v in turns]
+                wanted = _wanted(mine, values, bins)
+                held = np.zeros(wanted.size)
+                for tree in trees:
+                    _spread(tree, mine, last, wanted, held)
+                held = held.reshape(wanted.shape)
+                for b in range(1, bins):
+                    held[:, :, b] += held[:, :, b - 1]
+                for turn, (j, v) in enumerate(values):
+                    out[turn, part] = held[np.arange(len(mine)), j, v]
+            return out.ravel()
 
         def told(own, sums):
             y = np.frombuffer(own)
-            turn = np.repeat(np.arange(p * repeats, dtype=np.int32), len(y))
-            return pa.table({"feature": turn % p, "repeat": turn // p, "label": np.tile(y, p * repeats),
-                             "prediction": sums.ravel()})
-        return self._scored(coded, p * repeats, turns, told, "feature int, repeat int, label double, prediction double")
-
-    def _scored(self, blocks: DataFrame, copies: int, variants, told, schema: str) -> DataFrame:
-        """``told`` of every block (block, x, own) and the trees' mean for each of the
-        ``variants`` of its rows.  Trees are dealt into groups of a bounded number of
-        nodes, blocks into slices; a task takes one of each, trees first."""
+            sums = sums.reshape(p * repeats, -1)
+            for lo in range(0, p * repeats, 15):
+                turn = np.repeat(np.arange(lo, min(lo + 15, p * repeats), dtype=np.int32), len(y))
+                yield pa.table({"feature": turn % p, "repeat": turn // p, "label": np.tile(y, len(turn) // max(len(y), 1)),
+                                "prediction": sums[lo:lo + 15].ravel()})
+        return self._scored(coded, F.col("block"), _packed, summed, told, "feature int, repeat int, label double, prediction double")
+
+    def _scored(self, blocks: DataFrame, dealt, held, summed, told, schema: str) -> DataFrame:
+        """``told`` of every block (block, x, own) and the trees' mean of ``summed``,
+        which adds up the trees, as ``held`` makes them, over the block's rows.  Trees
+        are dealt into groups of a bounded number of nodes, blocks into slices by ``dealt``; a task
+        takes one of each, trees first.  Where one group holds all trees, it tells the
+        mean at once; more groups than that are made only for tables of few blocks."""
         spark, p, tops, n_trees = blocks.sparkSession, len(self.cuts), self.tops, len(self.tops)
-        par = spark.sparkContext.defaultParallelism
-        groups = min(n_trees, max(8, math.ceil(sum(self.sizes.values()) / HELD_NODES)))
-        slices = max(1, math.ceil(2 * par / groups))
+        par, n_blocks = spark.sparkContext.defaultParallelism, max(1, blocks.count())
+        groups = min(n_trees, max(math.ceil(sum(self.sizes.values()) / HELD_NODES), math.ceil(par / n_blocks)))
+        slices = min(n_blocks, max(1, math.ceil(3 * par / groups)))
         of_group = {g: [t for t in sorted(tops) if t % groups == g] for g in range(groups)}
         every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
         none = F.lit(None).cast("binary")
+        # a number per pair of group and slice, chosen so that each pair gets a partition of its own
+        n = groups * slices
+        own_part = {r["p"]: r["id"] for r in spark.range(32 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).collect()}
+        numbers = F.array(*[F.lit(own_part.get(i, i)).cast("long") for i in range(n)])
         trees = self.parts.select((F.col("tree") % groups).alias("g"), every(slices).alias("s"), F.lit(0).alias("kind"),
                                   F.col("tree").cast("long").alias("a"), F.col("node").alias("b"), "feature", "cut", "below",
                                   "value")
-        rows = blocks.select(every(groups).alias("g"), F.pmod(F.hash("block"), F.lit(slices)).alias("s"),
+        rows = blocks.select(every(groups).alias("g"), F.pmod(dealt, F.lit(slices)).cast("int").alias("s"),
                              F.lit(1).alias("kind"), F.col("block").alias("a"), F.lit(0).cast("long").alias("b"),
-                             F.col("x").alias("feature"), none.alias("cut"), none.alias("below"), none.alias("value"))
+                             F.col("x").alias("feature"), (F.col("own") if groups == 1 else none).alias("cut"),
+                             none.alias("below"), none.alias("value"))
 
-        def summed(batches):
+        def sums_of(batches):
             key, forest, pieces = None, None, {}
             for batch in batches:
                 cols = [batch.column(i).to_pylist() for i in range(5)]
@@ -483,21 +724,27 @@ class ForestModel:
                             np.int8, np.uint8, np.int32, np.float64))]))
                         continue
                     if forest is None:
-                        forest = [_whole(tops[t], pieces.pop(t, [])) for t in of_group[g]]
-                    x = np.frombuffer(four[0], np.uint8).reshape(-1, p)
-                    out = []
-                    for k, several in groupby(enumerate(variants(x)), lambda v: v[0] // 15):
-                        many = np.concatenate([v for _, v in several])
-                        out.append(sum(t[3][_walk(t, many)] for t in forest))
-                    yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([g], pa.int32()), pa.array(
-                        [np.concatenate(out).tobytes()], pa.binary())], ["block", "g", "sums"])
-        sums = (trees.unionByName(rows).repartition(2 * groups * slices, "g", "s")
-                .sortWithinPartitions("g", "s", "kind", "a", "b").mapInArrow(summed, "block long, g int, sums binary"))
+                        forest = [held(_whole(tops[t], pieces.pop(t, []))) for t in of_group[g]]
+                    yield a, g, bytes(four[1]), summed(forest, np.frombuffer(four[0], np.uint8).reshape(-1, p))
+
+        def partial(batches):
+            for a, g, _, sums in sums_of(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([g], pa.int32()), pa.array(
+                    [sums.tobytes()], pa.binary())], ["block", "g", "sums"])
+
+        def whole(batches):
+            for _, _, own, sums in sums_of(batches):
+                for table in told(own, sums / n_trees):
+                    yield from table.to_batches()
 
         def added(own, got):
             blobs = _blobs(got.sort_by("g").column("sums"))
-            return told(bytes(_blobs(own.column("own"))[0]), (sum(np.frombuffer(b) for b in blobs) / n_trees)
-                        .reshape(copies, -1))
+            return pa.concat_tables(told(bytes(_blobs(own.column("own"))[0]), sum(np.frombuffer(b) for b in blobs) / n_trees))
+        met = (trees.unionByName(rows).withColumn("part", F.get(numbers, F.col("g") * slices + F.col("s")))
+               .repartition(n, "part").sortWithinPartitions("g", "s", "kind", "a", "b").drop("part"))
+        if groups == 1:
+            return met.mapInArrow(whole, schema)
+        sums = met.mapInArrow(partial, "block long, g int, sums binary")
         return blocks.select("block", "own").groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(added, schema)
 
     def save(self, path: str) -> None:

@@ -61,3 +61,63 @@ def test_permuted_scores_are_those_of_the_copies(rows):
     a, b = (sorted(map(tuple, d.select(*order).collect())) for d in (got, plain))
     assert len(a) == 3600 and [r[:3] for r in a] == [r[:3] for r in b]
     assert [r[3] for r in a] == pytest.approx([r[3] for r in b])
+
+
+class _Counted:
+    """A tree's nodes, and how many are looked up."""
+
+    def __init__(self, nodes):
+        self.nodes, self.n = nodes, 0
+
+    def take(self, at):
+        self.n += len(at)
+        return self.nodes.take(at)
+
+
+def _table(n, p, bins, seed=5):
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, bins, (n, p)).astype(np.uint8), rng.normal(size=n), rng.integers(1, 4, n).astype(np.uint8)
+
+
+def test_copies_of_a_row_are_not_walked_one_by_one():
+    x, y, w = _table(6000, 12, 16)
+    tree = forest._grow(x, y, w, 0, 1, 30, 16, 1, 12, 42)[:4]
+    rows, turns = x[:300], [(j, np.roll(x[:300, j], -k)) for k in range(1, 11) for j in range(12)]
+    nodes, value = forest._packed(tree)
+    assert (forest._said((nodes, value), rows) == value[forest._walk(tree, rows)]).all()
+    wanted = forest._wanted(rows, turns, 16)
+    held, counted = np.zeros(wanted.size), _Counted(nodes)
+    forest._spread((counted, value), rows, np.full(12, 15), wanted, held)
+    told = np.cumsum(held.reshape(wanted.shape), axis=2)
+    steps = 0
+    for j, v in turns:
+        copy = rows.copy()
+        copy[:, j] = v
+        single = _Counted(nodes)
+        want = forest._said((single, value), copy)
+        steps += single.n
+        assert told[np.arange(300), j, v] == pytest.approx(want)
+    assert counted.n * 4 < steps
+
+
+def test_nodes_of_few_rows_split_as_others(monkeypatch):
+    x, y, w = _table(3000, 5, 20)
+    y = np.round(y)  # many equal gains
+    for subset, least in ((5, 1), (2, 4)):
+        args = (x, y, w, 7, 1, 30, 20, least, subset, 42)
+        monkeypatch.setattr(forest, "FEW", 1)
+        want = forest._grow(*args)
+        monkeypatch.setattr(forest, "FEW", 6)
+        monkeypatch.setattr(forest, "CELLS", 300)
+        got = forest._grow(*args)
+        monkeypatch.undo()
+        for a, b in zip(got, want):
+            assert a == pytest.approx(b, rel=1e-9, abs=1e-9)
+
+
+def test_few_trees_are_told_by_the_task_that_scores_them(rows):
+    model = L.random_forest(n_trees=4, max_depth=6).fit(rows)
+    blocks = importance.hash_blocks(rows, "k", "label", ["a", "b", "c"], block=20)
+    plan = model.permuted(blocks, 2)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" not in plan
+    assert model.permuted(blocks, 2).count() == 3600
