@@ -81,6 +81,41 @@ def test_order_is_the_sorted_suffixes():
             assert got[begin[i] + o] == min(least[j] for j, t in enumerate(strings) if s[o:o + 6] in t)
 
 
+def test_a_bucket_travels_as_one_row_and_is_ordered_in_parts(monkeypatch):
+    import pyarrow as pa
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(900)]
+    texts = [" ".join(rng.choices(words, k=1500)).encode() for _ in range(4)]
+    blocks = [texts[:2] + [texts[3]], [texts[2], texts[0][1000:6000], texts[3]]]
+    names, kinds = ("doc_ids", "lengths", "texts", "pieces"), [("block", pa.int64()), ("n_bytes", pa.int64())]
+    rows = []
+    for k, docs in enumerate(blocks):
+        lengths = np.array([len(t) for t in docs], "<i8")
+        rows.append({"block": k, "n_bytes": int(lengths.sum()), "doc_ids": (np.arange(3) + 3 * k).astype("<i8").tobytes(),
+                     "lengths": lengths.tobytes(), "texts": X.zstandard.ZstdCompressor().compress(b"".join(docs)),
+                     "pieces": X.find_pieces(b"".join(docs), lengths)})
+    schema = pa.schema(kinds + [(c, pa.binary()) for c in names])
+    anchors = pa.Table.from_batches(list(X._send_anchors(1)(pa.RecordBatch.from_pylist([r], schema=schema) for r in rows)))
+    marks = X._mark_anchors(1000)(anchors)
+    sent = pa.concat_tables([X._send_pieces(1)(pa.Table.from_pylist([r], schema=schema),
+                                               marks.filter(pa.compute.equal(marks["block"], r["block"]))) for r in rows])
+    assert sent.num_rows == 2  # one row per block and bucket
+    orders, build = [], X.least_holders
+    monkeypatch.setattr(X, "least_holders", lambda strings, *a: orders.append(set(strings)) or build(strings, *a))
+    told = X._order_bucket("file:///nowhere")(sent)
+    assert told["block"].to_pylist() == [0, 1]
+    every = set().union(*orders)
+    assert len(orders) == X.PARTS and sum(map(len, orders)) == len(every)  # no string in two parts
+    assert max(map(len, orders)) < len(every) / 2
+    kind = lambda t, k: t.append_column("kind", pa.array([k] * t.num_rows))
+    met = pa.concat_tables([kind(marks, 1), kind(told, 2)])
+    docs = [(i, t) for i, t in enumerate(blocks[0] + blocks[1])]
+    got = [r for k in (0, 1) for r in X._remove(1)(pa.Table.from_pylist([rows[k]], schema=schema), met.filter(
+        pa.compute.equal(met["block"], k))).to_pylist()]
+    assert [tuple(r.values()) for r in got] == [(d, *r) for (d, _), r in zip(docs, removed(
+        [(d, t.decode()) for d, t in docs]))]
+
+
 def test_sharding(spark, odd, empty):
     rows = odd_rows()
     out = H.shard_documents(odd, n_shards=4).collect()
